@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofweave.llm import encoding, neardup, packing, splitting, topn, unify
+from proofweave.llm import encoding, neardup, packing, replies, splitting, topn, unify
 from proofweave.sources.tables import table
 
 
@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.pairs_of_ids(links, members)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective question and reply pairs with their defect."""
+    return replies.defective_pairs(table(spark, folder, "chat_cache"))
+
+
 def quoted_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``tbl, row_key, text`` of all quotes and of all paragraphs of case documents."""
     parts = [table(spark, folder, name).select(F.lit(name).alias("tbl"), F.col(key).cast("string").alias("row_key"), F.col("quote").alias("text")) for name, key in (("evidence", "id"), ("propositions", "id"), ("links", "link_id"))]
@@ -81,4 +86,4 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p9_containers(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p8_ids, p8_roundtrip, p9_containers, p9_fill)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p8_ids, p8_roundtrip, p9_containers, p9_fill)}
