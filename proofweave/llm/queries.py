@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofweave.llm import encoding, neardup, packing, replies, splitting, topn, unify
+from proofweave.llm import encoding, neardup, packing, replies, residue, splitting, topn, unify
 from proofweave.sources.tables import table
 
 
@@ -86,4 +86,16 @@ def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p9_containers(spark, folder))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p8_ids, p8_roundtrip, p9_containers, p9_fill)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold open template slots or consist of residue."""
+    return residue.residue(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """How the two models do on hosts the training never saw, against the weak labels."""
+    _, _, report = residue.train(table(spark, folder, "documents"))
+    rows = [tuple(x if isinstance(x, str) else int(x) for x in r) for r in report]
+    return spark.createDataFrame(rows, "model string, n_train long, n_valid long, true_positive long, false_positive long, false_negative long")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_validation)}
