@@ -50,6 +50,8 @@ ENTRIES = 1_000_000
 
 _ADDRESS = np.uint64((1 << 40) - 1)
 _RANGES = 16
+#: The quick check of the one text form, for RE2.
+_UNSTABLE = r"[^\x00-\x7f\x{a1}-\x{ac}\x{ae}-\x{2ff}\x{2010}-\x{2027}\x{20a0}-\x{20bf}]"
 _rng = np.random.default_rng(20240607)
 _SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 # Blocks cut from shuffled rows of all slots: every slot is used before one is used again.
@@ -65,6 +67,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_SKETCHED = ["part", "blob", "n", "class_id", "id"]
+
+
 class Words:
     """Hashed words of a batch of texts; remembers the hashes of words it has seen."""
 
@@ -75,8 +80,12 @@ class Words:
         """Word hashes of all texts, and the offsets of every text in them."""
         import xxhash
 
-        plain = pa.array([t if t is None or t.isascii() else unify_text(t)[0] for t in texts.to_pylist()], pa.string())
-        lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(plain, "")), pattern=r"[^\p{L}\p{N}]+")
+        plain = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(plain, pattern=_UNSTABLE)
+        if pc.any(odd).as_py():
+            fixed = [unify_text(t)[0] for t in pc.filter(plain, odd).to_pylist()]
+            plain = pc.replace_with_mask(plain, odd, pa.array(fixed, plain.type))
+        lists = pc.split_pattern_regex(pc.utf8_lower(plain), pattern=r"[^\p{L}\p{N}]+")
         coded = pc.dictionary_encode(lists.flatten())
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
@@ -113,9 +122,9 @@ def _buckets(pairs: np.ndarray) -> np.ndarray:
     return (pairs >> np.uint64(42)).astype(np.int64)
 
 
-def _sketch(base: DataFrame) -> tuple[np.ndarray, int]:
+def _sketch(base: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
     """A weight class per counter (0: the pair occurs once; k: 2^((k-1)/8) times the rarest weight's
-    inverse) and the number of texts."""
+    inverse), the number of texts, and the membership ``class_id, id``; all from one pass."""
     wide = SKETCH // _RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +134,14 @@ def _sketch(base: DataFrame) -> tuple[np.ndarray, int]:
             at, times = np.unique(_buckets(pairs), return_counts=True)
             counts[at] += times.astype(np.uint32)
             n += len(keys)
+            nothing = pa.nulls(len(keys))
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), nothing.cast(pa.int64()), pa.array(keys.view(np.int64)), batch.column(0)], names=_SKETCHED)
         blobs = []
         for k in range(_RANGES):
             part = counts[k * wide : (k + 1) * wide]
             at = np.flatnonzero(part).astype(np.uint32)
             blobs.append(at.tobytes() + part[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n] + [0] * (_RANGES - 1), pa.int64())], names=["part", "blob", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n] + [0] * (_RANGES - 1), pa.int64()), pa.nulls(_RANGES, pa.int64()), pa.nulls(_RANGES, pa.string())], names=_SKETCHED)
 
     def add(table: pa.Table) -> pa.Table:
         counts, n = np.zeros(wide, np.uint64), 0
@@ -141,7 +152,9 @@ def _sketch(base: DataFrame) -> tuple[np.ndarray, int]:
             n += more.as_py()
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-    got = base.mapInArrow(count, "part int, blob binary, n long").groupBy("part").applyInArrow(add, "part int, blob binary, n long").collect()
+    both = materialize(base.mapInArrow(count, "part int, blob binary, n long, class_id long, id string"), "sketch")
+    members = both.where("class_id <> 0").select("class_id", "id").distinct()
+    got = both.where("part is not null").select("part", "blob", "n").groupBy("part").applyInArrow(add, "part int, blob binary, n long").collect()
     counts, n = np.zeros(SKETCH, np.float64), 0
     for r in got:
         counts[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(r["blob"], np.uint32)
@@ -149,7 +162,7 @@ def _sketch(base: DataFrame) -> tuple[np.ndarray, int]:
     floor = max(RARE * n, 1.0)
     classes = 1 + np.rint(8 * np.log2(np.sqrt(np.maximum(counts, floor) / floor))).clip(0, 254)
     classes[counts < 2] = 0
-    return classes.astype(np.uint8), n
+    return classes.astype(np.uint8), n, members
 
 
 _INVERSE = np.concatenate([[np.inf], 2.0 ** (np.arange(255) / 8)]).astype(np.float32)
@@ -312,17 +325,10 @@ def class_links(records: DataFrame, key: str, text: str, threshold: float = THRE
     record with word pairs. Class ids are 64-bit keys of the word sequence.
     """
     base = records.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    classes, n = _sketch(base)
+    classes, n, members = _sketch(base)
     pairs = materialize(_candidates(base, classes, n), "pairs")
     sent = base.sparkSession.sparkContext.broadcast(_filter(pairs))
 
-    def member(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            _, _, keys = words.pairs(batch.column(1))
-            out = pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0)], names=["class_id", "id"])
-            yield out.filter(pa.array(keys != 0))
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -333,7 +339,6 @@ def class_links(records: DataFrame, key: str, text: str, threshold: float = THRE
             out = pa.RecordBatch.from_arrays([pa.array(address.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(1)], names=["address", "class_id", "text"])
             yield out.filter(pa.array(wanted))
 
-    members = materialize(base.mapInArrow(member, "class_id long, id string").distinct(), "members")
     # One shuffle of the texts that occur in a candidate; both sides of the pair join reuse it.
     texts = base.mapInArrow(look, "address long, class_id long, text string").repartition("address").groupBy("address", "class_id").agg(F.min("text").alias("text"))
     side = {s: texts.select(F.col("address").alias(s), F.col("class_id").alias(f"class_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
