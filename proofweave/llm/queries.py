@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofweave.llm import encoding, neardup, packing, replies, residue, splitting, topn, unify
+from proofweave.llm import encoding, neardup, packing, replies, residue, scans, splitting, topn, unify
 from proofweave.sources.tables import table
 
 
@@ -64,6 +64,21 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top.select(F.col("grp").alias("prop_id"), "rank_no", F.col("item").alias("evidence_id"))
 
 
+def _scan(spark: SparkSession, folder: str) -> scans.Scan:
+    clean = table(spark, folder, "case_docs").select(F.explode("paragraphs").alias("p")).select(F.col("p.text").alias("text"))
+    return scans.Scan(table(spark, folder, "scan_paras"), clean)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Noisy lines of scanned pages with their noise."""
+    return _scan(spark, folder).noise()
+
+
+def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The scanned documents as continuous repaired paragraphs."""
+    return _scan(spark, folder).paragraphs()
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return encoding.encode(table(spark, folder, "documents"))
@@ -98,4 +113,4 @@ def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, n_train long, n_valid long, true_positive long, false_positive long, false_negative long")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_validation)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p7_found, p7_paragraphs, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_validation)}

@@ -72,7 +72,7 @@ _GRAMMAR = frozenset(
     " el los las del una y es con no se al su en por para il lo gli di della del che è non per alla nel".split()
 )
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
-_SEGMENT = re.compile(r"[^\n]+?(?:[.!?:](?=\s|$)|\n|$)")
+_SEGMENT = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|\n|$)")
 
 
 def _words(text: str) -> list[str]:
