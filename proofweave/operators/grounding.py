@@ -1,0 +1,128 @@
+"""Citations held against their sources.
+
+Defined results: an unknown source is ``fabricated_src`` with score 0; a blank quote against a known source is
+``no_quote`` with score 1, which does not pass; scores from 0.999 are ``exact``, from the threshold ``fuzzy``,
+else ``misquote``. Passing are exact and fuzzy.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from proofweave.functions import text as X
+
+THRESHOLD = 0.86
+#: Quotes that are held against one copy of a source's text.
+QUOTES_PER_COPY = 256
+
+
+def guard_form(text: str) -> str:
+    """Lower case, compatibility forms folded, marks as blanks, single blanks."""
+    folded = unicodedata.normalize("NFKC", text).lower()
+    return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in folded).split())
+
+
+def window_ratio(quote: str, source: str) -> float:
+    """The best similarity of the quote with a stretch of the source of its length, both in guard form."""
+    if not quote:
+        return 0.0
+    if quote in source:
+        return 1.0
+    n = len(quote)
+    matcher = SequenceMatcher(b=quote)  # the second text is the one that is indexed
+
+    def ratio(piece: str) -> float:
+        matcher.set_seqs(quote, piece)
+        return matcher.ratio()
+
+    if n >= len(source):
+        return ratio(source)
+    best = 0.0
+    for start in range(0, len(source) - n + 1, max(1, n // 8)):
+        piece = source[start : start + n]
+        matcher.set_seqs(quote, piece)
+        # Cheap upper bounds first; only a stretch that could beat the best is compared in full.
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+            best = max(best, matcher.ratio())
+            if best == 1.0:
+                break
+    return best
+
+
+def verify_citations(citations: DataFrame, bundle: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``claim_id, source_id, status, score`` for ``citations(claim_id, source_id, quote)`` against
+    ``bundle(source_id, text)``. Ids are joined in their canonical form; where the bundle names an id twice
+    the longest text counts."""
+    texts = bundle.select(X.citation_key(F.col("source_id")).alias("key"), "text").groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    joined = citations.withColumn("key", X.citation_key(F.col("source_id"))).join(texts, "key", "left").select("claim_id", "source_id", "quote", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms: dict[str, str] = {}
+        for batch in batches:
+            status, score = [], []
+            for quote, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if source is None:
+                    status.append("fabricated_src")
+                    score.append(0.0)
+                elif not (quote or "").strip():
+                    status.append("no_quote")
+                    score.append(1.0)
+                else:
+                    if source not in forms:
+                        if len(forms) > 1_000:
+                            forms.clear()
+                        forms[source] = guard_form(source)
+                    r = window_ratio(guard_form(quote), forms[source])
+                    status.append("exact" if r >= 0.999 else "fuzzy" if r >= threshold else "misquote")
+                    score.append(r)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status), pa.array(score)], names=["claim_id", "source_id", "status", "score"])
+
+    return joined.mapInArrow(check, "claim_id string, source_id string, status string, score double")
+
+
+def guard(checks: DataFrame) -> DataFrame:
+    """``claim_id, verified, n, n_ok``: a claim is verified if it has citations and all of them pass."""
+    ok = F.col("status").isin("exact", "fuzzy")
+    return checks.groupBy("claim_id").agg(F.bool_and(ok).alias("verified"), F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok"))
+
+
+def quarantine_reasons(checks: DataFrame) -> DataFrame:
+    """``claim_id, reason`` of claims with failing citations."""
+    bad = checks.where(~F.col("status").isin("exact", "fuzzy"))
+    return bad.groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "source_id", "status"))), "; ").alias("reason"))
+
+
+def quotes_in_sources(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, doc_id, quote_ok`` for ``quotes(id, doc_id, quote)`` against ``docs(doc_id, full_text)``.
+
+    Quotes are packed per document, at most :data:`QUOTES_PER_COPY` a pack on average, before the join, so a
+    document's text travels once per pack instead of once per quote, and no pack grows with the data.
+    """
+    counts = quotes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    salted = quotes.join(counts, "doc_id").withColumn("pack", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / QUOTES_PER_COPY)))
+    packs = salted.groupBy("doc_id", "pack").agg(F.collect_list(F.struct("id", X.quote_form(F.col("quote")).alias("q"))).alias("quotes"))
+    joined = packs.join(docs.select("doc_id", X.quote_form(F.col("full_text")).alias("body")), "doc_id")
+    found = F.transform("quotes", lambda x: F.struct(x["id"].alias("id"), X.quote_found(x["q"], F.col("body")).alias("quote_ok")))
+    return joined.select("doc_id", F.inline(found)).select("id", "doc_id", "quote_ok")
+
+
+def verify_matrix(props: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+    """``prop_id, link_id, status, ok``: every citation of the matrix, of a proposition itself (``link_id`` is
+    0) or of a link. Existence is judged by ``known(doc_id)``; the quote by the flag stored with it."""
+    key = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", X.citation_key(F.col(c)))
+    cited = props.select("prop_id", F.lit(0).cast("long").alias("link_id"), key("doc_id").alias("key"), "quote", "quote_ok").unionByName(links.select("prop_id", "link_id", key("doc_id").alias("key"), "quote", "quote_ok"))
+    docs = known.select(key("doc_id").alias("key")).where("key is not null").distinct().withColumn("known", F.lit(True))
+    judged = cited.join(docs, "key", "left")
+    status = F.when(F.col("known").isNull(), "fabricated_src").when(X.strip(F.coalesce("quote", F.lit(""))) == "", "no_quote").when(F.coalesce("quote_ok", F.lit(False)), "exact").otherwise("misquote")
+    return judged.select("prop_id", "link_id", status.alias("status")).withColumn("ok", F.col("status") == "exact")
+
+
+def verify_summary(checks: DataFrame) -> DataFrame:
+    """``total, verified, flagged``."""
+    return checks.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("verified"), F.count_if(~F.col("ok")).alias("flagged"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from proofweave.plans import references_queries
+from types import SimpleNamespace
 
-_MODULES = (references_queries,)
+from proofweave.plans import core_oracle, core_queries, references_queries
+
+_MODULES = (SimpleNamespace(QUERIES=core_queries.QUERIES, ORACLE=core_oracle.ORACLE), references_queries)
 
 
 def queries() -> dict:
