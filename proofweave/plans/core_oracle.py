@@ -198,4 +198,5 @@ ORACLE = {
       mutual AS (SELECT x.a, x.b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a) SELECT a AS id, min(b) AS loop FROM mutual GROUP BY a""",
     "human_review": f"""WITH RECURSIVE {_RANK}, {_STATUS[len(_BASE) + 2:]} SELECT prop_id, status, row_number() OVER (ORDER BY CASE status WHEN 'MISSING' THEN 0 WHEN 'undermined' THEN 1 ELSE 2 END, coalesce(rank, 0) DESC, prop_id) AS rnk
       FROM st LEFT JOIN ranked ON ranked.id = prop_id WHERE status <> 'supported' ORDER BY rnk LIMIT 8""",
+    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }

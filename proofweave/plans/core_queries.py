@@ -16,6 +16,7 @@ from proofweave.operators import stress as T
 from proofweave.session import materialize
 from proofweave.sources import views as V
 from proofweave.sources.tables import table
+from proofweave.streaming import jobs as streams
 
 QUERY_EVERY = 50
 
@@ -352,6 +353,10 @@ def stress_score(spark, d):
     return T.score(_findings(spark, d))
 
 
+def event_windows(spark, d):
+    return streams.event_windows(table(spark, d, "events"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -359,6 +364,6 @@ QUERIES = {
         contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
         rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
-        fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score,
+        fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, event_windows,
     )
 }
