@@ -36,10 +36,10 @@ NOTHING = frozenset(
 # Frequent function words of the languages told apart.
 FUNCTION_WORDS = {
     "en": "the of and to in that was is by for on with which as at from not it be had has were been who what when how did does about say are any there why would an this or his her their no under after before because",
-    "fr": "le la les de des du un une et est que qui dans pour par sur avec pas ne au aux ce cette son sa ses en il elle quel quelle quelles quels dit était sont avant après sans jamais fois malgré lors comme avait devait peut nous vous",
+    "fr": "le la les de des du un une et est que qui dans pour par sur avec pas ne au aux ce cette son sa ses en il elle quel quelle quelles quels dit était sont avant après sans jamais fois malgré lors comme avait devait peut nous vous l d n qu s c preuves concernent",
     "de": "der die das den dem des ein eine einen einem einer und ist war wer wie was welche welcher nicht mit für von zu im am auf bei nach vor aus über durch ohne wegen hat hatte wurde sich als auch trotz sagt zum zur während in an so",
     "es": "el la los las de del un una y es que en por para con no se al su sus lo como quién qué cuándo era fue había debía antes después sin tras durante dice sobre pruebas más nunca dos veces pero esta este",
-    "it": "il lo la i gli le di del della dei delle dello un una e è che in per con non si al alla ai nel nella sul su come chi cosa era aveva doveva prima dopo senza mai durante quali dicono gli ha da dal sono più questa questo",
+    "it": "il lo la i gli le di del della dei delle dello un una e è che in per con non si al alla ai nel nella sul su come chi cosa era aveva doveva prima dopo senza mai durante quali dicono gli ha da dal sono più questa questo l d dell all nell prove riguardano",
 }
 _LANGUAGES = {name: frozenset(words.split()) for name, words in FUNCTION_WORDS.items()}
 
@@ -227,8 +227,13 @@ def is_truncated(reply: str) -> bool:
     return len(lines) > 1 or len(words(text)) > 6
 
 
+def _plain_words(text: str) -> list[str]:
+    """Words outside quotations, elided articles on their own."""
+    return re.findall(r"[^\W_]+", outside_quotes(text).lower())
+
+
 def _hits(text: str) -> dict[str, int]:
-    found = words(outside_quotes(text))
+    found = _plain_words(text)
     return {name: sum(w in bag for w in found) for name, bag in _LANGUAGES.items()}
 
 
@@ -267,7 +272,7 @@ def is_other_language(question: str | None, reply: str) -> bool:
     if not want or not got or want == got:
         return False
     hits = _hits(plain)
-    own = sum(w in _LANGUAGES[want] and w not in _LANGUAGES[got] for w in words(plain))
+    own = sum(w in _LANGUAGES[want] and w not in _LANGUAGES[got] for w in _plain_words(plain))
     return own <= 0.15 * hits[got]
 
 

@@ -41,7 +41,7 @@ PAGE_AT, SLOT_AT = 0.3, 0.5
 STATUS = r"""
     \b(?:error|erreur|fehler|errore|status|http|code)\s*(?:code)?\s*[:#]?\s*[45]\d\d(?!\d) | \b[45]\d\d\s+(?:not\s+found|bad\s+gateway|forbidden|internal|unavailable|gateway|service|unauthorized)
     | \(\s*[45]\d\d\s*\) | \[\s*[45]\d\d\s*\] | \bpage\s+not\s+found | \bnot\s+found\s+on\s+this\s+server\b | \binternal\s+server\s+error\b | \bserver\s+error\b | \bgateway\s+time-?out | \bbad\s+gateway\b
-    | \b(?:temporarily\s+)?unavailable | \bcould\s+not\s+be\s+(?:delivered|displayed|found|loaded|opened|rendered|converted)\b | \bsomething\s+(?:broke|went\s+wrong)\b | \bsign-?in\s+required\b | \baccess\s+(?:to\s+\S+\s+is\s+)?(?:denied|forbidden)\b
+    | \b(?:temporarily\s+)?unavailable | \bcould\s+not\s+be\s+(?:delivered|displayed|found|loaded|opened|rendered|converted)\b | \bsomething\s+(?:broke|went\s+wrong)\b | \bsign-?in\s+required | \A\W*gone\s*(?:[-–.:\n]|\Z) | \bincident\s+\d{3,} | \bif\s+this\s+persists\b | \breload\s+or\s+go\s+back\b | \baccess\s+(?:to\s+\S+\s+is\s+)?(?:denied|forbidden)\b
     | \boops\b | \bpermission\s+to\s+(?:view|access|open)\b | \brequest\s+access\b | \bretry\s+after\b | \btimed\s+out\b | \b(?:is|link)\s+broken\b | \bslow\s+down | \btoo\s+many\s+requests\b | \bno\s+está\s+disponible\b | \bnon\s+(?:è\s+)?disponibile\b | \bindisponible\b | \btry\s+again\s+later\b | \bcould\s+not\s+open\b | \bconversion\s+failed\b | \bunsupported\s+file\s+type\b | \bsession\s+(?:has\s+)?expired\b | \bintrouvable\b | \bnicht\s+angezeigt\b | \bno\s+(?:se\s+)?encontrad[oa]\b | \bpágina\s+no\b | \bpagina\s+non\b"""
 SCRIPTS = r"\bjava\s?script\b|\bscripts?\s+(?:enabled|to\s+run|and\s+cookies|is|are|must)\b|\b(?:active\s+)?scripting\b|<noscript|\bchecking\s+your\s+browser\b|\bbrowser\s+settings\b|\bscripts\s+enabled\b"
 FILLER = r"\blorem\b|\bipsum\b|\bdolor\s+sit\b|\bconsectetur\b|\badipiscing\b|\beiusmod\b|\b(?:asdf|qwer|jkl)\w*\b|\bgoes\s+here\b|\bplaceholder\s+text\b|\bdummy\s+text\b|\bsample\s+text\b|\b[xX]{3,}(?:\s+[xX]{3,}){2,}|\bblind(?:er)?\s*text\b|\btexte?\s+factice\b"
