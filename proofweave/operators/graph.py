@@ -381,3 +381,18 @@ def cypher(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     vertex = nodes_.select(F.concat(F.lit("MERGE (n:"), kind, F.lit(" {id: "), lit("id"), F.lit("}) SET n.label="), lit("label"), F.lit(", n.status="), lit("status"), F.lit(", n.witness="), lit("witness"), F.lit(";")).alias("statement"))
     edge = edges_.select(F.concat(F.lit("MATCH (a {id: "), lit("source"), F.lit("}), (b {id: "), lit("target"), F.lit("}) MERGE (a)-[r:"), F.col("relation"), F.lit("]->(b) SET r.confidence="), F.col("confidence").cast("string"), F.lit(";")).alias("statement"))
     return vertex.unionByName(edge)
+
+
+def community_summary(groups: DataFrame, rank: DataFrame, props: DataFrame) -> DataFrame:
+    """``community, size, propositions, evidence, lead, label`` of communities that hold a proposition; the lead
+    is the proposition of the highest rank, ties by id."""
+    texts = props.select(F.col("prop_id").alias("id"), "text", F.lit(True).alias("is_prop"))
+    held = groups.join(rank, "id", "left").join(texts, "id", "left")
+    top = F.min_by(F.struct("id", "text"), F.when(F.col("is_prop"), F.struct(-F.coalesce("rank", F.lit(0.0)), "id")))
+    rolled = held.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_prop").alias("propositions"), top.alias("top")).where("propositions > 0")
+    return rolled.select("community", "size", "propositions", (F.col("size") - F.col("propositions")).alias("evidence"), F.col("top.id").alias("lead"), X.ellipsis(F.col("top.text"), 56).alias("label"))
+
+
+def priority(rank: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` vertices of the highest rank, ties by id."""
+    return rank.orderBy(F.desc("rank"), "id").limit(n)

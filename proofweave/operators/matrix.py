@@ -236,3 +236,32 @@ def human_review(status: DataFrame, rank: DataFrame, n: int = 8) -> DataFrame:
     keys = (level, F.desc(F.coalesce("rank", F.lit(0.0))), F.col("prop_id"))
     top = risky.orderBy(*keys).limit(n)
     return top.select("prop_id", "status", F.row_number().over(Window.orderBy(*keys)).cast("long").alias("rnk"))
+
+
+def digest(props: DataFrame, status: DataFrame) -> DataFrame:
+    """``prop_id, line``: one line per proposition for a reader or a model."""
+    held = props.join(status.select("prop_id", "status"), "prop_id")
+    line = F.format_string("[%s] (%s, %s, status=%s) %s", "prop_id", F.coalesce("prop_type", F.lit("")), F.coalesce("party", F.lit("")), "status", F.coalesce("text", F.lit("")))
+    return held.select("prop_id", line.alias("line"))
+
+
+def strongest_links(links: DataFrame, n: int = 300) -> DataFrame:
+    """The ``n`` surest supporting or adverse links, ties by link id."""
+    return links.where("relation <> 'neutral'").orderBy(F.desc("confidence"), "link_id").limit(n).select("link_id", "evidence_id", "prop_id", "relation", "confidence")
+
+
+def next_ids(records: DataFrame, key: str, prefix: str, width: int) -> DataFrame:
+    """``next_id``: the id after the highest number in use; the first one for an empty table."""
+    number = F.coalesce(F.max(F.regexp_extract(key, rf"^{prefix}0*(\d+)$", 1).try_cast("long")), F.lit(0)) + 1
+    return records.agg(F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")).alias("next_id"))
+
+
+def cache_misses(jobs: DataFrame, cached: DataFrame, key: str = "key") -> DataFrame:
+    """Jobs whose content hash has no cached result."""
+    return jobs.join(cached.select(key).distinct(), key, "left_anti")
+
+
+def probative_fragility(links: DataFrame, gate: float = GATE) -> DataFrame:
+    """``prop_id, n_probative, fragile``: whether all supporting and adverse links lie below the gate."""
+    kept = links.where("relation <> 'neutral'")
+    return kept.groupBy("prop_id").agg(F.count(F.lit(1)).alias("n_probative"), F.bool_and(F.col("confidence") < gate).alias("fragile"))

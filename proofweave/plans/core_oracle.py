@@ -108,6 +108,11 @@ _GOAL_WORDS = "list_filter(list_distinct(string_split(regexp_replace(lower(coale
 _ASKED = "asked AS (SELECT DISTINCT chat_id, question FROM chat_cache WHERE chat_id % 50 = 0)"
 
 
+def _short(c: str, n: int) -> str:
+    flat = f"trim(regexp_replace(coalesce({c}, ''), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{1680}}\\x{{85}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) > {n} THEN rtrim(substring({flat}, 1, {n - 1})) || '…' ELSE {flat} END"
+
+
 def _view() -> str:
     cases = " ".join("WHEN " + " OR ".join(f"contains(low, '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in NAVIGATION_VIEWS)
     return "CASE WHEN NOT (" + " OR ".join(f"contains(low, '{p}')" for p in NAVIGATION_PHRASES) + f") THEN NULL {cases} END"
@@ -199,4 +204,14 @@ ORACLE = {
     "human_review": f"""WITH RECURSIVE {_RANK}, {_STATUS[len(_BASE) + 2:]} SELECT prop_id, status, row_number() OVER (ORDER BY CASE status WHEN 'MISSING' THEN 0 WHEN 'undermined' THEN 1 ELSE 2 END, coalesce(rank, 0) DESC, prop_id) AS rnk
       FROM st LEFT JOIN ranked ON ranked.id = prop_id WHERE status <> 'supported' ORDER BY rnk LIMIT 8""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "case_digest": f"WITH {_STATUS} SELECT prop_id, printf('[%s] (%s, %s, status=%s) %s', prop_id, coalesce(prop_type, ''), coalesce(party, ''), status, coalesce(text, '')) AS line FROM props JOIN st USING (prop_id)",
+    "strongest_edges": f"WITH {_BASE} SELECT link_id, evidence_id, prop_id, relation, confidence FROM ml WHERE relation <> 'neutral' ORDER BY confidence DESC, link_id LIMIT 300",
+    "next_ids": """SELECT 'P' || lpad(CAST(max(CAST(substring(id, 2) AS BIGINT)) + 1 AS VARCHAR), 8, '0') AS next_id FROM propositions
+      UNION ALL SELECT 'E' || lpad(CAST(max(CAST(substring(id, 2) AS BIGINT)) + 1 AS VARCHAR), 8, '0') FROM evidence""",
+    "fragile": f"WITH {_BASE} SELECT prop_id, count(*) AS n_probative, bool_and(confidence < 0.5) AS fragile FROM ml WHERE relation <> 'neutral' GROUP BY prop_id",
+    "priority": f"WITH RECURSIVE {_RANK} SELECT id, rank FROM ranked ORDER BY rank DESC, id LIMIT 10",
+    "graph_nodes": f"""WITH {_STATUS}, f AS (SELECT evidence_id, arg_min({{'q': quote, 'r': rationale, 'w': witness, 'd': doc_id}}, {{'c': -confidence, 'l': link_id}}) AS f, count(*) FILTER (relation = 'supportive') AS supports, count(*) FILTER (relation = 'adverse') AS undermines FROM ml GROUP BY evidence_id),
+      p AS (SELECT prop_id, count(*) FILTER (relation = 'supportive') AS supports, count(*) FILTER (relation = 'adverse') AS undermines FROM ml GROUP BY prop_id)
+      SELECT prop_id AS id, 'proposition' AS kind, {_short('text', 90)} AS label, status, '' AS witness, coalesce(doc_id, '') AS doc_id, coalesce(supports, 0) AS supports, coalesce(undermines, 0) AS undermines FROM props JOIN st USING (prop_id) LEFT JOIN p USING (prop_id)
+      UNION ALL SELECT evidence_id, 'evidence', {_short("coalesce(nullif(f.q, ''), nullif(f.r, ''), evidence_id)", 70)}, '', f.w, coalesce(f.d, ''), supports, undermines FROM f""",
 }

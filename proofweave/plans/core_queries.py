@@ -353,6 +353,31 @@ def stress_score(spark, d):
     return T.score(_findings(spark, d))
 
 
+def case_digest(spark, d):
+    return M.digest(V.propositions(spark, d), _status(spark, d))
+
+
+def strongest_edges(spark, d):
+    return M.strongest_links(V.matrix_links(spark, d))
+
+
+def next_ids(spark, d):
+    return M.next_ids(table(spark, d, "propositions"), "id", "P", 8).unionByName(M.next_ids(table(spark, d, "evidence"), "id", "E", 8))
+
+
+def fragile(spark, d):
+    return M.probative_fragility(V.matrix_links(spark, d))
+
+
+def priority(spark, d):
+    return G.priority(G.pagerank(_pairs(spark, d)).select("id", F.round("rank", 4).alias("rank")))
+
+
+def community_summary(spark, d):
+    pairs = _pairs(spark, d)
+    return G.community_summary(G.communities(pairs, V.matrix_links(spark, d), V.propositions(spark, d)), G.pagerank(pairs), V.propositions(spark, d))
+
+
 def event_windows(spark, d):
     return streams.event_windows(table(spark, d, "events"))
 
@@ -364,6 +389,6 @@ QUERIES = {
         contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
         rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
-        fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, event_windows,
+        fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,
     )
 }
