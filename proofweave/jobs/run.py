@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 
 from proofweave.plans import registry
-from proofweave.session import build_session
+from proofweave.session import build_session, ship
 from proofweave.sinks import files
 
 
@@ -22,7 +22,9 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--format", choices=("parquet", "csv", "json"), default="parquet")
     parser.add_argument("--master", default="local[*]")
     args = parser.parse_args(argv)
-    result = queries[args.query](build_session(args.master), args.data)
+    spark = build_session(args.master)
+    ship(spark)
+    result = queries[args.query](spark, args.data)
     if args.format == "csv":
         files.write_csv(result, args.out)
     elif args.format == "json":

@@ -86,3 +86,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers: if a worker finds it, as on an installed cluster,
+    nothing is done; else the driver serves it to all executors as a zip. Asked once per context."""
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) == sc.applicationId:
+        return
+    ship.done = sc.applicationId
+
+    def found(_):
+        import importlib.util
+
+        return importlib.util.find_spec("proofweave") is not None
+
+    found.__module__ = "__main__"  # so that it is pickled whole: the worker may not know this module
+    if sc.parallelize([0], 1).map(found).collect()[0]:
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    held = tempfile.mkdtemp(prefix="proofweave-zip-")
+    atexit.register(_remove_local, held)
+    shutil.copytree(os.path.join(root, "proofweave"), os.path.join(held, "src", "proofweave"), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(held, "proofweave"), "zip", os.path.join(held, "src")))
