@@ -240,11 +240,11 @@ def weak_page(text: str) -> int | None:
     return 0 if share <= 0.05 else None
 
 
-def _sample(docs: DataFrame, pattern: str, wanted: bool, bound: int) -> list:
+def _sample(docs: DataFrame, pattern: str, wanted: bool, bound: int) -> DataFrame:
     """At most ``bound`` rows, chosen by a hash of the text, that match the pattern or do not."""
     hit = F.coalesce(F.col("text").rlike(pattern), F.lit(False))
     rows = docs.where((F.length(F.trim("text")) > 0) & (hit if wanted else ~hit))
-    return rows.withColumn("__h", F.xxhash64("text")).orderBy("__h").limit(bound).select("text", F.coalesce("source", F.lit("")).alias("source")).collect()
+    return rows.withColumn("__h", F.xxhash64("text")).orderBy("__h").limit(bound).select("text", F.coalesce("source", F.lit("")).alias("source"))
 
 
 #: Java patterns that prepare the sample: wording of pages, and constructs.
@@ -258,23 +258,38 @@ def _held_out(source: str) -> bool:
     return xxhash.xxh32_intdigest(source, seed=7) % HOLD_OUT == 0
 
 
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weakly labelled cases of texts, their parts and their constructs."""
+    for batch in batches:
+        out: list[tuple[str, str, np.ndarray, int]] = []
+        for text, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            label = weak_page(text)
+            if label is not None:
+                out.append(("page", source, page_features(text), label))
+                for m in list(_SEGMENT.finditer(text))[:6]:
+                    part = m.group(0)
+                    if part.strip() and (not label or (len(part.strip()) >= 8 and not frame(part))):
+                        out.append(("page", source, page_features(part), label))
+            for a, b, said in slots(text):
+                out.append(("slot", source, slot_features(text, a, b), weak_slot(text, a, b, said)))
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["model", "source", "features", "label"])
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[Linear | None, Linear | None, list[tuple[str, int, int, int, int, int]]]:
     """``(page model, slot model, validation)``; validation rows are ``(model, n_train, n_valid, true positive,
     false positive, false negative)`` against the weak labels of unseen hosts."""
     base = docs.select("text", "source")
-    rows = _sample(base, _PAGE_JAVA, True, sample) + _sample(base, _PAGE_JAVA, False, sample) + _sample(base, _SLOT_JAVA, True, sample)
-    page: list[tuple[str, np.ndarray, int]] = []
-    slot: list[tuple[str, np.ndarray, int]] = []
-    for r in rows:
-        label = weak_page(r["text"])
-        if label is not None:
-            page.append((r["source"], page_features(r["text"]), label))
-            if label:  # each part of a residue text stands for itself as well
-                page.extend((r["source"], page_features(m.group(0)), 1) for m in list(_SEGMENT.finditer(r["text"]))[:6] if len(m.group(0).strip()) >= 8 and not frame(m.group(0)))
-            else:
-                page.extend((r["source"], page_features(m.group(0)), 0) for m in list(_SEGMENT.finditer(r["text"]))[:6] if m.group(0).strip())
-        for a, b, said in slots(r["text"]):
-            slot.append((r["source"], slot_features(r["text"], a, b), weak_slot(r["text"], a, b, said)))
+    rows = _sample(base, _PAGE_JAVA, True, sample).unionByName(_sample(base, _PAGE_JAVA, False, sample)).unionByName(_sample(base, _SLOT_JAVA, True, sample))
+    # The sample is labelled and turned into features by the workers; the driver gets sets of small numbers.
+    spread = rows.repartition(2 * docs.sparkSession.sparkContext.defaultParallelism)
+    got = spread.mapInArrow(_label, "model string, source string, features array<int>, label int").toArrow()
+    features = got["features"].combine_chunks()
+    flat, bounds = features.values.to_numpy(zero_copy_only=False), features.offsets.to_numpy()
+    cases = [(m, s, flat[bounds[k] : bounds[k + 1]], y) for k, (m, s, y) in enumerate(zip(got["model"].to_pylist(), got["source"].to_pylist(), got["label"].to_pylist(), strict=True))]
+    cases.sort(key=lambda c: (c[0], c[1], c[3], c[2].tobytes()))  # the models do not depend on the order of arrival
+    page = [c[1:] for c in cases if c[0] == "page"]
+    slot = [c[1:] for c in cases if c[0] == "slot"]
     report, models = [], []
     for name, cases in (("page", page), ("slot", slot)):
         fit, check = [c for c in cases if not _held_out(c[0])], [c for c in cases if _held_out(c[0])]
