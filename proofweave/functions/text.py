@@ -93,8 +93,7 @@ def quote_found(quote: Column, source: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Search tokens with repetitions; none for null."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def label_of(c: Column) -> Column:

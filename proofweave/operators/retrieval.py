@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
 #: Bytes of the query terms up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Cells of the term by query matrix that is sent to the tasks at once (8 bytes each).
+CELLS = 4_000_000
 #: Query vectors that are sent to the tasks at once.
 VECTORS_AT_ONCE = 4_096
 
@@ -25,7 +28,8 @@ def term_counts(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFram
     """``key, term, tf, dl`` of every document: distinct terms are counted inside the row's array, without a
     shuffle of single tokens."""
     held = docs.select(key, words.alias("w")).withColumn("dl", F.size("w"))
-    return held.select(key, "dl", "w", F.explode(F.array_distinct("w")).alias("term")).select(key, "term", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"), "dl")
+    each = held.select(key, "dl", "w", F.explode(F.array_distinct("w")).alias("term"))
+    return each.select(key, "term", (F.col("dl") - F.size(F.array_remove("w", F.col("term")))).alias("tf"), "dl")
 
 
 def bm25_stats(docs: DataFrame, words: Column) -> DataFrame:
@@ -36,29 +40,78 @@ def bm25_stats(docs: DataFrame, words: Column) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words: Column, k: int = 25, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words: Column, k: int = 25, k1: float = K1, b: float = B, by_matrix: bool | None = None) -> DataFrame:
     """``query_id, doc_id, rnk, score`` for ``queries(query_id, ...)`` and ``docs(doc_id, ...)``.
 
-    A repeated query token adds again. The query side (terms with their weight) is broadcast if its checked
-    size allows, so the corpus is scored without being shuffled; only scored pairs are.
+    A repeated query token adds again. If the query terms are within :data:`BROADCAST_BYTES` (checked), they
+    go to the tasks as term by query matrices in blocks, and every batch of documents is scored as a matrix
+    product of which only the best rows of each query are shuffled. Beyond that bound documents and queries
+    are joined by term. ``by_matrix`` forces one of the two in tests.
     """
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
-    size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)).alias("b")).first()["b"]
     held = docs.select("doc_id", doc_words.alias("w"))
     shape = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
-    n, mean = shape["n"], shape["mean"] or 1.0
-    counts = term_counts(docs, doc_words)
+    n, mean = shape["n"], float(shape["mean"] or 1.0)
+    if by_matrix is None:
+        by_matrix = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
     wanted = asked.select("term").distinct()
-    small = size <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda d: d)
-    df = held.select(F.explode(F.array_distinct("w")).alias("term")).join(hint(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("m") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.lit(float(mean))))
-    scored = counts.join(hint(weighed), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    if by_matrix:
+        wanted = F.broadcast(wanted)
+    df = held.select(F.explode(F.array_distinct("w")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(df, "term").select("query_id", "term", (F.col("m") * idf * (k1 + 1)).alias("weight"))
+    if by_matrix:
+        scored = _scored_by_matrix(weighed, held, k, k1, b, mean)
+    else:
+        part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.lit(mean)))
+        scored = term_counts(docs, doc_words).join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rnk", F.row_number().over(order).cast("long")).where(F.col("rnk") <= k).select("query_id", "doc_id", "rnk", "score")
 
 
+def _scored_by_matrix(weighed: DataFrame, held: DataFrame, k: int, k1: float, b: float, mean: float) -> DataFrame:
+    """``query_id, doc_id, score``: of every batch of documents the best ``k`` of each query, ties included."""
+    kinds = {f.name: f.dataType.simpleString() for f in weighed.schema} | {f.name: f.dataType.simpleString() for f in held.schema}
+    shape = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+    local = weighed.toPandas()
+    names = np.asarray(sorted(local["query_id"].unique()), object)
+    at_once = max(1, CELLS // max(local["term"].nunique(), 1))
+    out = held.sparkSession.createDataFrame([], shape)
+    for at in range(0, len(names), at_once):
+        block = names[at : at + at_once]
+        part = local[local["query_id"].isin(set(block))]
+        terms = sorted(part["term"].unique())
+        matrix = np.zeros((len(terms), len(block)))
+        matrix[np.searchsorted(terms, part["term"].to_numpy(object)), np.searchsorted(block, part["query_id"].to_numpy(object))] = part["weight"]
+        sent = held.sparkSession.sparkContext.broadcast((list(block), terms, matrix))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            block, terms, matrix = sent.value
+            table, ids = pa.array(terms, pa.string()), pa.array(block)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2_000):
+                    yield _score_batch(batch.slice(start, 2_000), table, ids, matrix, k, k1, b, mean)
+
+        out = out.unionByName(held.mapInArrow(score, shape))
+    return out
+
+
+def _score_batch(batch: pa.RecordBatch, table: pa.Array, ids: pa.Array, matrix: np.ndarray, k: int, k1: float, b: float, mean: float) -> pa.RecordBatch:
+    lists = batch.column(1)
+    offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+    length = np.diff(offsets)
+    term = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=table), -1), np.int64)
+    row = np.repeat(np.arange(len(length)), length)[term >= 0]
+    cell, tf = np.unique(row * len(table) + term[term >= 0], return_counts=True)
+    row, term = cell // len(table), cell % len(table)
+    weight = np.zeros((len(length), len(table)))
+    weight[row, term] = tf / (tf + k1 * (1 - b + b * np.maximum(length[row], 1) / mean))
+    scores = np.round(weight @ matrix, 9)
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(scores.shape[1])
+    doc, query = np.nonzero((scores >= least) & (scores > 0))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(doc)), pa.array(scores[doc, query])], names=["query_id", "doc_id", "score"])
+
+
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 25, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, vec_id, rnk, sim``: nearest vectors by cosine, zero vectors at similarity 0.
 

@@ -16,9 +16,9 @@ def frames(spark, queries, docs):
     return spark.createDataFrame(queries, "query_id string, q string"), spark.createDataFrame(docs, "doc_id string, text string")
 
 
-def top(spark, queries, docs, k=25):
+def top(spark, queries, docs, k=25, by_matrix=None):
     q, d = frames(spark, queries, docs)
-    return R.bm25_top(q, d, X.tokens(F.col("q")), X.tokens(F.col("text")), k)
+    return R.bm25_top(q, d, X.tokens(F.col("q")), X.tokens(F.col("text")), k, by_matrix=by_matrix)
 
 
 def test_hand_worked(spark):
@@ -40,12 +40,14 @@ def model(query, docs, k1=1.5, b=0.75):
     return out
 
 
-def test_as_modelled(spark):
+@pytest.mark.parametrize(("by_matrix", "cells"), [(True, 4_000_000), (True, 7), (False, 0)])
+def test_as_modelled(spark, by_matrix, cells, monkeypatch):
+    monkeypatch.setattr(R, "CELLS", cells)
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
     docs = [(f"d{i:02}", " ".join(rng.choices(words, k=rng.randint(0, 9)))) for i in range(30)]
     queries = [(f"q{i}", " ".join(rng.choices(words, k=4))) for i in range(5)]
-    got = {(r["query_id"], r["doc_id"]): r["score"] for r in top(spark, queries, docs).collect()}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in top(spark, queries, docs, by_matrix=by_matrix).collect()}
     for name, q in queries:
         want = model(q, docs)
         assert {d for n, d in got if n == name} == set(sorted(want, key=lambda d: (-round(want[d], 9), d))[:25])
@@ -55,7 +57,9 @@ def test_as_modelled(spark):
 
 
 def test_nothing(spark):
-    assert top(spark, [("q", None), ("r", "")], [("1", None)]).count() == 0
+    for way in (True, False):
+        assert top(spark, [("q", None), ("r", "")], [("1", None)], by_matrix=way).count() == 0
+        assert top(spark, [("q", "alpha")], [("1", None), ("2", "")], by_matrix=way).count() == 0
 
 
 def test_fusion(spark):
