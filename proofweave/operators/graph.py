@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofweave.functions import text as X
+from proofweave.operators.skew import numbered
 from proofweave.session import materialize, shuffle_width
 
 #: Edges of a component up to which a sequential kernel takes it.
@@ -323,8 +324,8 @@ def communities(pairs: DataFrame, links: DataFrame, props: DataFrame, most: int
         labels = labels.unionByName(_synchronous_labels(tagged.where(F.col("m") > most).select("a", "b")).where(~F.startswith("id", F.lit("\x01"))))
     labels = materialize(labels, "labels")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    numbered = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long") - 1)
-    return labels.join(numbered, "label").select("id", "community")
+    places = numbered(sizes, "place", F.desc("n"), F.asc("label"))
+    return labels.join(places, "label").select("id", (F.col("place") - 1).alias("community"))
 
 
 def _synchronous_labels(pairs: DataFrame, rounds: int = 20) -> DataFrame:

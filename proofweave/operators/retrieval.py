@@ -35,9 +35,9 @@ def term_counts(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFram
 def bm25_stats(docs: DataFrame, words: Column) -> DataFrame:
     """``term, df, idf`` of the corpus."""
     sets = docs.select(F.array_distinct(words).alias("w"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
+    n = F.lit(docs.count())
     df = sets.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words: Column, k: int = 25, k1: float = K1, b: float = B, by_matrix: bool | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofweave.session import materialize
+
 #: Most keys that are ever treated as hot, so the list is bounded whatever the data holds.
 MOST_HOT = 256
 
@@ -34,3 +36,18 @@ def salts(key: Column, keys: list, pieces: int) -> Column:
     """The array of salts under which the other side of a join must hold ``key``."""
     every = F.sequence(F.lit(0), F.lit(pieces - 1))
     return F.when(is_hot(key, keys), every).otherwise(F.array(F.lit(0)))
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``rows`` with their place (from 1) in a total order, without gathering them: range partitions are
+    numbered within and offset by the sizes of those before, one number per partition."""
+    spark = rows.sparkSession
+    held = materialize(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["__p"], r["count"]) for r in held.groupBy("__p").count().collect())
+    before, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, before))
+        before += n
+    starts = spark.createDataFrame(offsets or [(0, 0)], "__p int, __before long")
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return held.join(F.broadcast(starts), "__p").withColumn(name, F.col("__before") + within).drop("__p", "__before")

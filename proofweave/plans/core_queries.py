@@ -27,7 +27,7 @@ def _every(column: str, prefix: int = 1) -> F.Column:
 
 
 def _status(spark: SparkSession, d: str) -> DataFrame:
-    return M.statuses(V.propositions(spark, d), V.matrix_links(spark, d))
+    return M.statuses(V.propositions(spark, d, "prop_id"), V.matrix_links(spark, d, "relation", "confidence"))
 
 
 def matrix_status(spark, d):
@@ -47,11 +47,11 @@ def case_summary(spark, d):
 
 
 def party_type_counts(spark, d):
-    return M.party_type_counts(V.propositions(spark, d))
+    return M.party_type_counts(V.propositions(spark, d, "prop_id", "party", "prop_type"))
 
 
 def count_phrases(spark, d):
-    return M.phrase(M.party_type_counts(V.propositions(spark, d)))
+    return M.phrase(M.party_type_counts(V.propositions(spark, d, "prop_id", "party", "prop_type")))
 
 
 def matrix_csv(spark, d):
@@ -59,43 +59,43 @@ def matrix_csv(spark, d):
 
 
 def load_bearing(spark, d):
-    return M.load_bearing(V.matrix_links(spark, d))
+    return M.load_bearing(V.matrix_links(spark, d, "relation"))
 
 
 def evidence_load(spark, d):
-    return M.evidence_load(V.matrix_links(spark, d))
+    return M.evidence_load(V.matrix_links(spark, d, "relation"))
 
 
 def contradicted(spark, d):
-    return M.contradicted(V.propositions(spark, d), V.matrix_links(spark, d))
+    return M.contradicted(V.propositions(spark, d, "prop_id"), V.matrix_links(spark, d, "relation"))
 
 
 def sole_witness(spark, d):
-    return M.sole_witness(V.matrix_links(spark, d))
+    return M.sole_witness(V.matrix_links(spark, d, "relation", "witness"))
 
 
 def spof(spark, d):
-    return M.single_points(V.matrix_links(spark, d))
+    return M.single_points(V.matrix_links(spark, d, "relation"))
 
 
 def witness_pairs(spark, d):
-    return M.witness_groups(V.matrix_links(spark, d))
+    return M.witness_groups(V.matrix_links(spark, d, "relation", "witness"))
 
 
 def contradictions(spark, d):
-    return M.contradictions(V.matrix_links(spark, d))
+    return M.contradictions(V.matrix_links(spark, d, "relation"))
 
 
 def case_collapse(spark, d):
-    return M.case_collapse(V.matrix_links(spark, d))
+    return M.case_collapse(V.matrix_links(spark, d, "relation", "witness"))
 
 
 def valid_ids(spark, d):
-    return M.valid_reliances(V.reliances(spark, d), V.propositions(spark, d))
+    return M.valid_reliances(V.reliances(spark, d), V.propositions(spark, d, "prop_id"))
 
 
 def valid_deps(spark, d):
-    return M.valid_dependencies(V.dependencies(spark, d), V.propositions(spark, d))
+    return M.valid_dependencies(V.dependencies(spark, d), V.propositions(spark, d, "prop_id"))
 
 
 def weak_arguments(spark, d):
@@ -107,7 +107,7 @@ def weak_premises(spark, d):
 
 
 def missing_docs(spark, d):
-    used = V.evidence(spark, d).select("doc_id").unionByName(V.propositions(spark, d).select("doc_id"))
+    used = V.evidence(spark, d, "evidence_id", "doc_id").select("doc_id").unionByName(V.propositions(spark, d, "prop_id", "doc_id").select("doc_id"))
     return M.missing_documents(table(spark, d, "case_docs"), used.where("doc_id is not null"))
 
 
@@ -118,7 +118,7 @@ def apply_additions(spark, d):
     new_props = methods.select(F.format_string("U%04d", "method_id").alias("prop_id"))
     relation = F.when(F.col("risk_level") == "conservative", "adverse").when(F.col("risk_level") == "moderate", "supportive")
     new_links = V.reliances(spark, d).join(methods, "method_id").select("prop_id", F.format_string("UE%04d", "method_id").alias("evidence_id"), relation.alias("relation"), "confidence")
-    return M.apply_additions(V.propositions(spark, d), V.matrix_links(spark, d), new_props, new_links)
+    return M.apply_additions(V.propositions(spark, d, "prop_id"), V.matrix_links(spark, d, "relation", "confidence"), new_props, new_links)
 
 
 def _questions(spark, d) -> DataFrame:
@@ -127,42 +127,42 @@ def _questions(spark, d) -> DataFrame:
 
 def goal_filter(spark, d):
     goals = _questions(spark, d).select(F.col("query_id").alias("goal_id"), "question")
-    return M.goal_matches(goals, V.propositions(spark, d), X.goal_words(F.col("question")))
+    return M.goal_matches(goals, V.propositions(spark, d, "prop_id", "text", "prop_type", "party"), X.goal_words(F.col("question")))
 
 
 def keyword_topk(spark, d):
-    return M.keyword_top(_questions(spark, d), V.propositions(spark, d), X.chat_words(F.col("question")))
+    return M.keyword_top(_questions(spark, d), V.propositions(spark, d, "prop_id", "text"), X.chat_words(F.col("question")))
 
 
 def matrix_signature(spark, d):
-    return M.signature(V.propositions(spark, d), _status(spark, d))
+    return M.signature(V.propositions(spark, d, "prop_id", "text"), _status(spark, d))
 
 
 def tokens(spark, d):
-    docs = C_evidence_text(spark, d)
+    docs = _evidence_text(spark, d)
     return R.term_counts(docs, X.tokens(F.col("text"))).select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
-def C_evidence_text(spark, d) -> DataFrame:
+def _evidence_text(spark, d) -> DataFrame:
     """``doc_id, text``: the retrieval text of every evidence record."""
-    return V.evidence(spark, d).select(F.col("evidence_id").alias("doc_id"), F.concat_ws(" ", F.coalesce("assertion", F.lit("")), F.coalesce("quote", F.lit(""))).alias("text"), "quote")
+    return V.evidence(spark, d, "evidence_id", "assertion", "quote").select(F.col("evidence_id").alias("doc_id"), F.concat_ws(" ", F.coalesce("assertion", F.lit("")), F.coalesce("quote", F.lit(""))).alias("text"), "quote")
 
 
 def bm25_stats(spark, d):
-    return R.bm25_stats(C_evidence_text(spark, d), X.tokens(F.col("text"))).select("term", "df", F.round("idf", 9).alias("idf"))
+    return R.bm25_stats(_evidence_text(spark, d), X.tokens(F.col("text"))).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def _asked(spark, d) -> DataFrame:
-    return V.propositions(spark, d).where(_every("prop_id")).select(F.col("prop_id").alias("query_id"), F.col("text").alias("q"))
+    return V.propositions(spark, d, "prop_id", "text").where(_every("prop_id")).select(F.col("prop_id").alias("query_id"), F.col("text").alias("q"))
 
 
 def bm25_topk(spark, d):
-    return R.bm25_top(_asked(spark, d), C_evidence_text(spark, d), X.tokens(F.col("q")), X.tokens(F.col("text"))).select("query_id", "doc_id", "rnk", F.round("score", 6).alias("score"))
+    return R.bm25_top(_asked(spark, d), _evidence_text(spark, d), X.tokens(F.col("q")), X.tokens(F.col("text"))).select("query_id", "doc_id", "rnk", F.round("score", 6).alias("score"))
 
 
 def rrf(spark, d):
     """Fusion of two rankings: by the whole record, and by its quote alone."""
-    docs, asked, q = C_evidence_text(spark, d), _asked(spark, d), X.tokens(F.col("q"))
+    docs, asked, q = _evidence_text(spark, d), _asked(spark, d), X.tokens(F.col("q"))
     whole = R.bm25_top(asked, docs, q, X.tokens(F.col("text")), 100)
     quoted = R.bm25_top(asked, docs, q, X.tokens(F.col("quote")), 100)
     return R.fuse([whole, quoted]).select("query_id", "doc_id", "rnk", F.round("score", 9).alias("score"))
@@ -210,12 +210,12 @@ def document_pages(spark, d):
 
 
 def verify_quote(spark, d):
-    quotes = V.evidence(spark, d).where("doc_id is not null").select(F.col("evidence_id").alias("id"), "doc_id", "quote")
+    quotes = V.evidence(spark, d, "evidence_id", "doc_id", "quote").where("doc_id is not null").select(F.col("evidence_id").alias("id"), "doc_id", "quote")
     return C.quotes_in_sources(quotes, V.case_docs(spark, d))
 
 
 def canon_id(spark, d):
-    raw = V.evidence(spark, d).select(F.explode(F.array("doc_id", "paragraph", X.citation_label(F.col("doc_id"), F.col("paragraph")))).alias("raw")).where("raw is not null").distinct()
+    raw = V.evidence(spark, d, "evidence_id", "doc_id", "paragraph").select(F.explode(F.array("doc_id", "paragraph", X.citation_label(F.col("doc_id"), F.col("paragraph")))).alias("raw")).where("raw is not null").distinct()
     return raw.select("raw", X.citation_key(F.col("raw")).alias("canon"))
 
 
@@ -252,7 +252,7 @@ def scan_metadata(spark, d):
 
 
 def verify_matrix(spark, d):
-    return C.verify_matrix(V.propositions(spark, d), V.matrix_links(spark, d), table(spark, d, "case_docs").select("doc_id"))
+    return C.verify_matrix(V.propositions(spark, d, "prop_id", "doc_id", "quote", "quote_ok"), V.matrix_links(spark, d, "quote", "quote_ok", "doc_id"), table(spark, d, "case_docs").select("doc_id"))
 
 
 def verify_summary(spark, d):
@@ -260,7 +260,7 @@ def verify_summary(spark, d):
 
 
 def _checks(spark, d) -> DataFrame:
-    cited = V.evidence(spark, d).where(_every("evidence_id"))
+    cited = V.evidence(spark, d, "evidence_id", "doc_id", "quote").where(_every("evidence_id"))
     citations = cited.select(F.col("evidence_id").alias("claim_id"), F.coalesce("doc_id", F.lit("")).alias("source_id"), "quote")
     bundle = V.case_docs(spark, d).where("full_text <> ''").select(F.col("doc_id").alias("source_id"), F.col("full_text").alias("text"))
     return C.verify_citations(citations, bundle)
@@ -275,21 +275,21 @@ def guard(spark, d):
 
 
 def graph_edges(spark, d):
-    e = G.edges(V.matrix_links(spark, d)).unionByName(G.dependency_edges(valid_deps(spark, d)))
+    e = G.edges(V.matrix_links(spark, d, "relation", "confidence", "rationale", "quote")).unionByName(G.dependency_edges(valid_deps(spark, d)))
     return e.select("source", "target", "relation", "confidence")
 
 
 def graph_nodes(spark, d):
-    props, links = V.propositions(spark, d), V.matrix_links(spark, d)
+    props, links = V.propositions(spark, d, "prop_id", "text", "doc_id"), V.matrix_links(spark, d, "relation", "confidence", "rationale", "quote", "witness", "doc_id")
     return G.nodes(props, links, M.statuses(props, links))
 
 
 def graph_cypher(spark, d):
-    return G.cypher(graph_nodes(spark, d), G.edges(V.matrix_links(spark, d)))
+    return G.cypher(graph_nodes(spark, d), G.edges(V.matrix_links(spark, d, "relation", "confidence", "rationale", "quote")))
 
 
 def probative_edges(spark, d):
-    return G.probative_pairs(V.matrix_links(spark, d))
+    return G.probative_pairs(V.matrix_links(spark, d, "relation"))
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -311,12 +311,12 @@ def fragments(spark, d):
 
 
 def ego_2hop(spark, d):
-    centers = V.propositions(spark, d).where(_every("prop_id")).select(F.col("prop_id").alias("center"))
+    centers = V.propositions(spark, d, "prop_id").where(_every("prop_id")).select(F.col("prop_id").alias("center"))
     return G.ego(_pairs(spark, d), centers, 2)
 
 
 def communities(spark, d):
-    return G.communities(_pairs(spark, d), V.matrix_links(spark, d), V.propositions(spark, d))
+    return G.communities(_pairs(spark, d), V.matrix_links(spark, d, "relation", "witness"), V.propositions(spark, d, "prop_id"))
 
 
 def articulation(spark, d):
@@ -325,7 +325,7 @@ def articulation(spark, d):
 
 def best_articulation(spark, d):
     pairs = _pairs(spark, d)
-    return G.best_articulation(G.articulation(pairs), G.pagerank(pairs), V.propositions(spark, d))
+    return G.best_articulation(G.articulation(pairs), G.pagerank(pairs), V.propositions(spark, d, "prop_id"))
 
 
 def cycles(spark, d):
@@ -338,8 +338,8 @@ def human_review(spark, d):
 
 
 def _findings(spark, d) -> DataFrame:
-    props = V.propositions(spark, d)
-    links = materialize(V.matrix_links(spark, d), "links")
+    props = V.propositions(spark, d, "prop_id", "quote_ok", "prop_type", "responds_to")
+    links = materialize(V.matrix_links(spark, d, "relation", "confidence", "quote_ok", "doc_id"), "links")
     status = materialize(M.statuses(props, links), "status")
     deps = valid_deps(spark, d)
     return T.findings(props, links, status, M.contradicted(props, links), M.single_points(links), G.articulation(G.probative_pairs(links)), G.cycles(deps), M.weak_reliances(V.reliances(spark, d), status), M.weak_premises(deps, status))
@@ -354,11 +354,11 @@ def stress_score(spark, d):
 
 
 def case_digest(spark, d):
-    return M.digest(V.propositions(spark, d), _status(spark, d))
+    return M.digest(V.propositions(spark, d, "prop_id", "prop_type", "party", "text"), _status(spark, d))
 
 
 def strongest_edges(spark, d):
-    return M.strongest_links(V.matrix_links(spark, d))
+    return M.strongest_links(V.matrix_links(spark, d, "relation", "confidence"))
 
 
 def next_ids(spark, d):
@@ -366,7 +366,7 @@ def next_ids(spark, d):
 
 
 def fragile(spark, d):
-    return M.probative_fragility(V.matrix_links(spark, d))
+    return M.probative_fragility(V.matrix_links(spark, d, "relation", "confidence"))
 
 
 def priority(spark, d):
@@ -375,7 +375,7 @@ def priority(spark, d):
 
 def community_summary(spark, d):
     pairs = _pairs(spark, d)
-    return G.community_summary(G.communities(pairs, V.matrix_links(spark, d), V.propositions(spark, d)), G.pagerank(pairs), V.propositions(spark, d))
+    return G.community_summary(G.communities(pairs, V.matrix_links(spark, d, "relation", "witness"), V.propositions(spark, d, "prop_id", "text")), G.pagerank(pairs), V.propositions(spark, d, "prop_id", "text"))
 
 
 def event_windows(spark, d):

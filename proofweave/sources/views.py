@@ -1,7 +1,7 @@
 """The star schema as the operators see it: one row per record, withdrawn records left out.
 
-Repeated deliveries are equal but for their load time, which no view keeps, so a distinct over the columns in
-use folds them; Catalyst drops what a query does not read before the shuffle.
+Repeated deliveries are equal but for their load time, which no view keeps, so a distinct folds them. A distinct
+shuffles every column it is given, so a view takes the columns that its reader needs; the key is always kept.
 """
 
 from __future__ import annotations
@@ -12,33 +12,46 @@ from pyspark.sql import functions as F
 from proofweave.sources.tables import table
 
 RELATIONS = ("supportive", "adverse", "neutral")
+PLACE = ("witness", "doc_id", "page", "paragraph")
 
 
-def propositions(spark: SparkSession, folder: str) -> DataFrame:
+def _kept(rows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """The keys and the wanted columns (all if none is named), once."""
+    return (rows.select(*dict.fromkeys((*keys, *columns))) if columns else rows).distinct()
+
+
+def propositions(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """``prop_id, prop_type, text, party, responds_to, quote, quote_ok, doc_id, page, paragraph``."""
     rows = table(spark, folder, "propositions").where("deleted_at is null")
-    return rows.select(F.col("id").alias("prop_id"), "prop_type", "text", "party", "responds_to", "quote", "quote_ok", "source.doc_id", "source.page", "source.paragraph").distinct()
+    named = rows.select(F.col("id").alias("prop_id"), "prop_type", "text", "party", "responds_to", "quote", "quote_ok", "source.doc_id", "source.page", "source.paragraph")
+    return _kept(named, ("prop_id",), columns)
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
+def evidence(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """``evidence_id, assertion, witness, quote, quote_ok, doc_id, page, paragraph``."""
     rows = table(spark, folder, "evidence").where("deleted_at is null")
-    return rows.select(F.col("id").alias("evidence_id"), "assertion", "witness", "quote", "quote_ok", "source.doc_id", "source.page", "source.paragraph").distinct()
+    named = rows.select(F.col("id").alias("evidence_id"), "assertion", "witness", "quote", "quote_ok", "source.doc_id", "source.page", "source.paragraph")
+    return _kept(named, ("evidence_id",), columns)
 
 
-def links(spark: SparkSession, folder: str) -> DataFrame:
+def links(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """``link_id, prop_id, evidence_id, relation, confidence, rationale, quote, quote_ok``; a null or NaN
     confidence is 0."""
     rows = table(spark, folder, "links").where(F.col("relation").isin(*RELATIONS))
     sure = F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)) + F.lit(0.0)
-    return rows.select("link_id", "prop_id", "evidence_id", "relation", sure.alias("confidence"), "rationale", "quote", "quote_ok").distinct()
+    named = rows.select("link_id", "prop_id", "evidence_id", "relation", sure.alias("confidence"), "rationale", "quote", "quote_ok")
+    return _kept(named, ("link_id", "prop_id", "evidence_id"), columns)
 
 
-def matrix_links(spark: SparkSession, folder: str) -> DataFrame:
+def matrix_links(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Links whose proposition and evidence both exist, with the evidence's witness and place."""
-    known = propositions(spark, folder).select("prop_id")
-    place = evidence(spark, folder).select("evidence_id", F.coalesce("witness", F.lit("")).alias("witness"), "doc_id", "page", "paragraph")
-    return links(spark, folder).join(place, "evidence_id").join(known, "prop_id", "left_semi")
+    own = tuple(c for c in columns if c not in PLACE)
+    place = tuple(c for c in PLACE if not columns or c in columns)
+    known = propositions(spark, folder, "prop_id")
+    held = evidence(spark, folder, "evidence_id", *place)
+    if "witness" in place:
+        held = held.withColumn("witness", F.coalesce("witness", F.lit("")))
+    return links(spark, folder, *(own or (("link_id",) if columns else ()))).join(held, "evidence_id").join(known, "prop_id", "left_semi")
 
 
 def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
