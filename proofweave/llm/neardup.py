@@ -22,7 +22,9 @@ copies; repeated rows of an id count once; equal texts under different ids are n
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ from proofweave.llm.unify import unify_text
 from proofweave.session import materialize, shuffle_width
 
 #: Fingerprint slots, blocks, slots of a block.
-SLOTS, BLOCKS, WIDTH = 80, 25, 4
+SLOTS, BLOCKS, WIDTH = 80, 27, 4
 #: Slots of which two bits each travel with a block, and how many of them must agree.
-CHECKED, AGREE = 32, 18
+CHECKED, AGREE = 32, 17
 #: Counters of the frequency sketch (4 MiB of one byte each when broadcast).
 SKETCH = 1 << 22
 #: Share of all texts below which a word pair counts as rare.
@@ -50,8 +52,6 @@ ENTRIES = 1_000_000
 
 _ADDRESS = np.uint64((1 << 40) - 1)
 _RANGES = 16
-#: The quick check of the one text form, for RE2.
-_UNSTABLE = r"[^\x00-\x7f\x{a1}-\x{ac}\x{ae}-\x{2ff}\x{2010}-\x{2027}\x{20a0}-\x{20bf}]"
 _rng = np.random.default_rng(20240607)
 _SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
 # Blocks cut from shuffled rows of all slots: every slot is used before one is used again.
@@ -70,38 +70,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SKETCHED = ["part", "blob", "n", "class_id", "id"]
 
 
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character of the basic plane: its lower case, and a class: 1 for letters and digits, plus 2
+    if the one text form may change it (halves of characters beyond the plane among them)."""
+    lower, kind = np.arange(1 << 16, dtype=np.uint16), np.full(1 << 16, 2, np.uint8)
+    for first, last in ((0, 0x7F), (0xA1, 0xAC), (0xAE, 0x2FF), (0x2010, 0x2027), (0x20A0, 0x20BF)):
+        kind[first : last + 1] = 0
+    for c in range(1 << 16):
+        small = chr(c).lower()
+        if len(small) == 1:
+            lower[c] = ord(small)
+        kind[c] += unicodedata.category(chr(c))[0] in "LN"
+    return lower, kind
+
+
 class Words:
-    """Hashed words of a batch of texts; remembers the hashes of words it has seen."""
+    """Hashed words of batches of texts. A batch is handled as one array of characters; a word's hash is a
+    polynomial over them, read off prefix sums, so no word is ever made into an object.
+
+    Letters beyond the basic plane are rare enough to be spelled out (``u1d400``) before.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.powers = self.inverse = np.empty(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, 1 << 20)
+            self.powers = np.cumprod(np.full(n, self._BASE, np.uint64), dtype=np.uint64)
+            self.inverse = np.cumprod(np.full(n, pow(self._BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+
+    @staticmethod
+    def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of all texts, each closed by a 0, and the places of these."""
+        joined = "\0".join(texts) + "\0"
+        points = np.frombuffer(joined.encode("utf-16-le", "surrogatepass"), np.uint16)
+        ends = np.flatnonzero(points == 0)
+        return (points, ends) if len(ends) == len(texts) else Words._points([t.replace("\0", " ") for t in texts])
+
+    @staticmethod
+    def _settled(text: str) -> str:
+        text = unify_text(text)[0]
+        if any(ord(c) > 0xFFFF for c in text):
+            text = "".join(f"u{ord(c):x}" if ord(c) > 0xFFFF and c.isalnum() else c for c in text)
+        return text
 
     def hashes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Word hashes of all texts, and the offsets of every text in them."""
-        import xxhash
-
-        plain = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(plain, pattern=_UNSTABLE)
-        if pc.any(odd).as_py():
-            fixed = [unify_text(t)[0] for t in pc.filter(plain, odd).to_pylist()]
-            plain = pc.replace_with_mask(plain, odd, pa.array(fixed, plain.type))
-        lists = pc.split_pattern_regex(pc.utf8_lower(plain), pattern=r"[^\p{L}\p{N}]+")
-        coded = pc.dictionary_encode(lists.flatten())
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        seen = self.seen
-        if len(seen) > 1_000_000:
-            seen.clear()
-        table = np.empty(len(coded.dictionary), np.uint64)
-        for k, word in enumerate(coded.dictionary.to_pylist()):
-            h = seen.get(word)
-            if h is None:
-                h = seen[word] = xxhash.xxh3_64_intdigest(word) if word else 0
-            table[k] = h
-        words = table[np.asarray(coded.indices)] if len(table) else np.empty(0, np.uint64)
-        offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-        keep = words != 0
-        return words[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+        held = pc.fill_null(texts, "").to_pylist()
+        if not held:
+            return np.empty(0, np.uint64), np.zeros(1, np.int64)
+        lower, kind = _characters()
+        points, ends = self._points(held)
+        kinds = kind[points]
+        odd = np.flatnonzero(kinds >= 2)
+        if len(odd):
+            for k in np.unique(np.searchsorted(ends, odd)):
+                held[k] = self._settled(held[k])
+            points, ends = self._points(held)
+            kinds = kind[points]
+        is_word = (kinds & 1).view(bool)
+        # The array ends in a 0, which is no word, so changes come in pairs.
+        change = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1
+        if is_word[0]:
+            change = np.concatenate([[0], change])
+        first, last = change[::2], change[1::2]
+        self._grow(len(points))
+        sums = lower[points] * self.powers[: len(points)]
+        np.cumsum(sums, out=sums)
+        words = _mix((sums[last - 1] - sums[first] + lower[points[first]] * self.powers[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+        return words, np.concatenate([[0], np.searchsorted(first, ends)])
 
     def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of adjacent word pairs, the offsets of every text in them, and a key of every text's word

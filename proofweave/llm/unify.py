@@ -16,6 +16,7 @@ Null stays null, an empty text stays empty; texts of any length are handled whol
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -46,11 +47,8 @@ KINDS = ("fullwidth", "mark", "invisible", "space", "mixed")
 @lru_cache(maxsize=1)
 def _patterns() -> dict:
     unstable = r"[^\x00-\x7f\xa1-\xac\xae-\u02ff\u2010-\u2027\u20a0-\u20bf]"
-    inside = rf"[\p{{L}}\p{{N}}\p{{M}}{INVISIBLE}]"
     return {
         "unstable": regex.compile(unstable),
-        # A starter that is no letter (a sign with a mark on it) is taken along as context.
-        "segment": regex.compile(rf"(?:{inside}|[^\s\w](?=\p{{M}}))*{unstable}(?:{inside}|{unstable})*"),
         "fullwidth": regex.compile(r"[\uff01-\uff5e]"),
         "mark": regex.compile(r"\p{M}"),
         "invisible": regex.compile(rf"[{INVISIBLE}]"),
@@ -73,18 +71,50 @@ def _fold_word(match) -> str:
 
 def _fix_segment(segment: str, kinds: set) -> str:
     p = _patterns()
-    for kind in ("fullwidth", "mark", "invisible", "space"):
-        if p[kind].search(segment):
-            kinds.add(kind)
-    for word in p["word"].findall(segment):
-        if p["foreign"].search(word) and p["latin"].search(word):
-            kinds.add("mixed")
-    out = p["invisible"].sub("", segment)
-    out = p["space"].sub(" ", out)
-    out = p["compat"].sub(lambda m: unicodedata.normalize("NFKC", m.group(0)), out)
+    out = segment
+    if p["mark"].search(out):
+        kinds.add("mark")
+    if p["foreign"].search(out) and any(p["foreign"].search(w) and p["latin"].search(w) for w in p["word"].findall(out)):
+        kinds.add("mixed")
+    if p["invisible"].search(out):
+        kinds.add("invisible")
+        out = p["invisible"].sub("", out)
+    if p["space"].search(out):
+        kinds.add("space")
+        out = p["space"].sub(" ", out)
+    if p["compat"].search(out):
+        if p["fullwidth"].search(out):
+            kinds.add("fullwidth")
+        out = p["compat"].sub(lambda m: unicodedata.normalize("NFKC", m.group(0)), out)
     if not unicodedata.is_normalized("NFC", out):
         out = unicodedata.normalize("NFC", out)
-    return p["word"].sub(_fold_word, out)
+    return p["word"].sub(_fold_word, out) if p["foreign"].search(out) else out
+
+
+@lru_cache(maxsize=1 << 16)
+def _reach(char: str) -> int:
+    """1 for characters that belong to a word, 2 for unstable ones (both: 3)."""
+    p = _patterns()
+    inside = unicodedata.category(char)[0] in "LNM" or bool(p["invisible"].match(char))
+    return inside + 2 * bool(p["unstable"].match(char))
+
+
+def _segments(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that must be normalised: words around an unstable character, and such characters alone; a
+    mark takes the sign before it along."""
+    last, n = 0, len(text)
+    for m in _patterns()["unstable"].finditer(text):
+        start, end = m.span()
+        if start < last:
+            continue
+        while end < n and _reach(text[end]):
+            end += 1
+        while start > last and _reach(text[start - 1]) & 1:
+            start -= 1
+        if start == m.start() > last and unicodedata.category(text[start])[0] == "M" and not text[start - 1].isspace():
+            start -= 1
+        yield start, end
+        last = end
 
 
 def unify_text(text: str | None) -> tuple[str | None, list[str]]:
@@ -93,10 +123,10 @@ def unify_text(text: str | None) -> tuple[str | None, list[str]]:
         return text, []
     kinds: set[str] = set()
     pieces, last = [], 0
-    for m in _patterns()["segment"].finditer(text):
-        pieces.append(text[last : m.start()])
-        pieces.append(_fix_segment(m.group(0), kinds))
-        last = m.end()
+    for start, end in _segments(text):
+        pieces.append(text[last:start])
+        pieces.append(_fix_segment(text[start:end], kinds))
+        last = end
     pieces.append(text[last:])
     out = "".join(pieces)
     # Two stable neighbours can meet when an invisible character between them vanishes.
