@@ -66,7 +66,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
 
 
-def pagerank(pairs: DataFrame, damping: float = 0.85, iterations: int = 60, cut_every: int = 15) -> DataFrame:
+def pagerank(pairs: DataFrame, damping: float = 0.85, iterations: int = 60, cut_every: int = 5) -> DataFrame:
     """``id, rank``: undirected PageRank after a fixed number of iterations, divided by the largest.
 
     Vertices without edges are not part of ``pairs``, so no rank dangles. The adjacency stays partitioned by
