@@ -1,20 +1,20 @@
 """Near-duplicate records with small edits.
 
-Similarity is the Jaccard share of the sets of adjacent word pairs. Every text gets a fingerprint of
-:data:`SLOTS` minimum hashes over its word pairs. The fingerprint is split into :data:`BLOCKS` overlapping
-blocks of :data:`WIDTH` slots: texts whose fingerprints are close in Hamming distance share a whole block
-with near certainty (pigeonhole), unrelated ones hardly ever. Texts are joined on equal blocks, the
-candidates' Hamming distance is verified on a part of the fingerprint that travels with the block, and an
-exact check of the word pairs follows.
-
-Word pairs that occur once in the whole corpus cannot be shared and are left out of the fingerprint; the
-rest is weighted by the inverse root of its corpus frequency. The frequencies are counted over all texts in
-a sketch of fixed size (:data:`SKETCH`), so what is broadcast does not grow with the data; they steer only
-which candidates arise, never what counts as similar.
-
-Blocks travel as packed binary columns, one row per task and target partition, and are sorted and joined
-in numpy. Texts that are equal are folded before they are paired. Recall of the block stage is measured in
-``tests/llm/test_neardup.py`` and in the README.
+Similarity is the Jaccard share of the sets of adjacent word pairs. Candidates come from an exact prefix
+join: the word pairs of every text are put in one global order, rarest first, and only the first
+``size - ceil(threshold * size) + 1`` of them are joined on. Two texts whose share reaches the threshold have
+a word pair in common there, whatever their other word pairs are, so none is missed. What travels with a
+word pair are the size of the text, the place of the word pair in it and a signature of
+:data:`SIGNATURE` parities; they bound the common word pairs from above, and a pair of texts is dropped only
+where that bound lies below the threshold. An exact check of the word pairs follows.
+
+Word pairs that occur once in the whole corpus cannot be shared and are not joined on, but keep their place
+in the order. The frequencies are counted over all texts in a sketch of fixed size (:data:`SKETCH`), so what
+is broadcast does not grow with the data; they steer only the order, never what counts as similar.
+
+Entries travel as packed binary columns, one row per task and target partition, and are sorted and joined
+in numpy. Texts that are equal are folded before they are paired. The join is held against all pairs in
+``tests/llm/test_neardup.py``.
 
 Defined results: null parts count as empty; texts of fewer than two words have no word pairs and so no near
 copies; repeated rows of an id count once; equal texts under different ids are near copies of each other.
@@ -35,28 +35,27 @@ from pyspark.sql import functions as F
 from proofweave.llm.unify import unify_text
 from proofweave.session import materialize, shuffle_width
 
-#: Fingerprint slots, blocks, slots of a block.
-SLOTS, BLOCKS, WIDTH = 80, 27, 4
-#: Slots of which two bits each travel with a block, and how many of them must agree.
-CHECKED, AGREE = 32, 17
+#: Parities of a text's signature.
+SIGNATURE = 256
+#: Slots of which :func:`_two_bits` packs two bits each.
+CHECKED = 32
 #: Counters of the frequency sketch (4 MiB of one byte each when broadcast).
 SKETCH = 1 << 22
-#: Share of all texts below which a word pair counts as rare.
-RARE = 0.01
 #: Bits of the filter that keeps texts without candidates from the verification (2 MiB when broadcast).
 FILTER = 1 << 24
 #: Similarity from which a pair is a near copy in the evidence table.
 THRESHOLD = 0.5
-#: Block entries that one logical partition should hold.
+#: Pairs of entries that are compared at once.
+AT_ONCE = 500_000
+#: Entries that one logical partition should hold.
 ENTRIES = 1_000_000
 
 _ADDRESS = np.uint64((1 << 40) - 1)
 _RANGES = 16
 _rng = np.random.default_rng(20240607)
-_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) | np.uint64(1)
-# Blocks cut from shuffled rows of all slots: every slot is used before one is used again.
-_BLOCK_SLOTS = np.concatenate([_rng.permutation(SLOTS) for _ in range(-(-BLOCKS * WIDTH // SLOTS))])[: BLOCKS * WIDTH].reshape(BLOCKS, WIDTH)
-_BLOCK_SEEDS = _rng.integers(1, 1 << 63, (BLOCKS, WIDTH + 1), dtype=np.uint64) | np.uint64(1)
+_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, CHECKED, dtype=np.uint64) | np.uint64(1)
+#: Slack for rounding in the bounds, which may only let more candidates pass.
+_SLACK = 1e-6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SKETCHED = ["part", "blob", "n", "class_id", "id"]
+_SKETCHED = ["part", "blob", "class_id", "id"]
 
 
 @lru_cache(maxsize=1)
@@ -164,65 +163,66 @@ def _buckets(pairs: np.ndarray) -> np.ndarray:
 
 
 def _sketch(base: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
-    """A weight class per counter (0: the pair occurs once; k: 2^((k-1)/8) times the rarest weight's
-    inverse), the number of texts, and the membership ``class_id, id``; all from one pass."""
+    """A frequency class per counter (0: the pair occurs once; else 8 classes per doubling), the number of
+    occurrences of word pairs that occur again, and the membership ``class_id, id``; all from one pass."""
     wide = SKETCH // _RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, n = Words(), np.zeros(SKETCH, np.uint32), 0
+        words, counts = Words(), np.zeros(SKETCH, np.uint32)
         for batch in batches:
             pairs, _, keys = words.pairs(batch.column(1))
             at, times = np.unique(_buckets(pairs), return_counts=True)
             counts[at] += times.astype(np.uint32)
-            n += len(keys)
             nothing = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), nothing.cast(pa.int64()), pa.array(keys.view(np.int64)), batch.column(0)], names=_SKETCHED)
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), pa.array(keys.view(np.int64)), batch.column(0)], names=_SKETCHED)
         blobs = []
         for k in range(_RANGES):
             part = counts[k * wide : (k + 1) * wide]
             at = np.flatnonzero(part).astype(np.uint32)
             blobs.append(at.tobytes() + part[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n] + [0] * (_RANGES - 1), pa.int64()), pa.nulls(_RANGES, pa.int64()), pa.nulls(_RANGES, pa.string())], names=_SKETCHED)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(_RANGES, pa.int64()), pa.nulls(_RANGES, pa.string())], names=_SKETCHED)
 
     def add(table: pa.Table) -> pa.Table:
-        counts, n = np.zeros(wide, np.uint64), 0
-        for blob, more in zip(table["blob"], table["n"], strict=True):
+        counts = np.zeros(wide, np.uint64)
+        for blob in table["blob"]:
             raw = np.frombuffer(blob.as_buffer(), np.uint32)
             half = len(raw) // 2
             counts[raw[:half]] += raw[half:]
-            n += more.as_py()
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    both = materialize(base.mapInArrow(count, "part int, blob binary, n long, class_id long, id string"), "sketch")
+    both = materialize(base.mapInArrow(count, "part int, blob binary, class_id long, id string"), "sketch")
     members = both.where("class_id <> 0").select("class_id", "id").distinct()
-    got = both.where("part is not null").select("part", "blob", "n").groupBy("part").applyInArrow(add, "part int, blob binary, n long").collect()
-    counts, n = np.zeros(SKETCH, np.float64), 0
+    got = both.where("part is not null").select("part", "blob").groupBy("part").applyInArrow(add, "part int, blob binary").collect()
+    counts = np.zeros(SKETCH, np.float64)
     for r in got:
         counts[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(r["blob"], np.uint32)
-        n += r["n"]
-    floor = max(RARE * n, 1.0)
-    classes = 1 + np.rint(8 * np.log2(np.sqrt(np.maximum(counts, floor) / floor))).clip(0, 254)
+    classes = np.rint(8 * np.log2(np.maximum(counts, 1))).clip(0, 255)
     classes[counts < 2] = 0
-    return classes.astype(np.uint8), n, members
-
-
-_INVERSE = np.concatenate([[np.inf], 2.0 ** (np.arange(255) / 8)]).astype(np.float32)
-
-
-def fingerprints(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have a fingerprint, and their slots (``SLOTS`` x rows, unsigned 32 bit)."""
-    scale = _INVERSE[classes[_buckets(pairs)]]
-    shared = np.isfinite(scale)
-    kept = np.concatenate([[0], np.cumsum(shared)])[offsets]
-    rows = np.flatnonzero(np.diff(kept) > 0)
-    pairs, scale, starts = pairs[shared], scale[shared], kept[:-1][rows]
-    slots = np.empty((SLOTS, len(rows)), np.uint32)
-    if len(rows):
-        for k in range(SLOTS):
-            value = ((pairs * _SLOT_MULTIPLIERS[k]) >> np.uint64(32)).astype(np.float32)
-            value *= scale
-            slots[k] = np.minimum.reduceat(value, starts).view(np.uint32)
-    return rows, slots
+    return classes.astype(np.uint8), int(counts[counts >= 2].sum()), members
+
+
+def prefixes(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """What is joined on: word pairs, and of each its row and its place in the row's order; then, for all
+    rows, the numbers of different word pairs and the signatures (rows x ``SIGNATURE / 64``)."""
+    n = len(offsets) - 1
+    row, kinds = np.repeat(np.arange(n), np.diff(offsets)), classes[_buckets(pairs)]
+    order = np.lexsort((pairs, row * 256 + kinds))
+    pairs, row, kinds = pairs[order], row[order], kinds[order]
+    first = np.ones(len(pairs), bool)
+    first[1:] = (pairs[1:] != pairs[:-1]) | (row[1:] != row[:-1])
+    pairs, row, kinds = pairs[first], row[first], kinds[first]
+    sizes = np.bincount(row, minlength=n).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(pairs)) - starts[row]
+    some = np.flatnonzero(sizes)
+    signs = np.zeros((n, SIGNATURE // 64), np.uint64)
+    if len(some):
+        bit, word = np.uint64(1) << (pairs & np.uint64(63)), (pairs >> np.uint64(6)) % np.uint64(SIGNATURE // 64)
+        for k in range(SIGNATURE // 64):
+            signs[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts[some])
+    length = sizes - np.ceil(threshold * sizes - _SLACK).astype(np.int64) + 1
+    joined = (place < length[row]) & (kinds > 0)
+    return pairs[joined], row[joined], place[joined], sizes, signs
 
 
 def _two_bits(slots: np.ndarray) -> np.ndarray:
@@ -253,23 +253,20 @@ def _unpack(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _candidates(base: DataFrame, classes: np.ndarray, n: int) -> DataFrame:
-    """``a, b``: addresses (40 bits of the text key) of texts that share a block and pass the Hamming check."""
-    parts = max(4 * shuffle_width(base.sparkSession), -(-BLOCKS * n // ENTRIES))
+def _candidates(base: DataFrame, classes: np.ndarray, occurrences: int, threshold: float) -> DataFrame:
+    """``a, b``: addresses (40 bits of the text key) of texts that may reach the threshold."""
+    parts = max(4 * shuffle_width(base.sparkSession), -(-occurrences // ENTRIES))
     sent = base.sparkSession.sparkContext.broadcast(classes)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Words(), [], 0
         for batch in batches:
             pairs, offsets, keys = words.pairs(batch.column(1))
-            rows, slots = fingerprints(pairs, offsets, sent.value)
-            address, bits = keys[rows] & _ADDRESS, _two_bits(slots)
-            for b in range(BLOCKS):
-                key = np.full(len(rows), _BLOCK_SEEDS[b, WIDTH], np.uint64)
-                for k in range(WIDTH):
-                    key = _mix(key + slots[_BLOCK_SLOTS[b, k]].astype(np.uint64) * _BLOCK_SEEDS[b, k])
-                held.append(((key % np.uint64(parts)).astype(np.int64), np.hstack([_pack(key >> np.uint64(40), 3), _pack(address, 5), _pack(bits, 8)])))
-                size += len(rows)
+            pairs, row, place, sizes, signs = prefixes(pairs, offsets, sent.value, threshold)
+            key = _mix(pairs)
+            packed = [_pack(key >> np.uint64(40), 3), _pack((keys & _ADDRESS)[row], 5), signs[row].view(np.uint8), _pack(sizes[row], 4), _pack(place, 4)]
+            held.append(((key % np.uint64(parts)).astype(np.int64), np.hstack(packed)))
+            size += len(row)
             if size > 1_500_000:
                 yield _by_part(held)
                 held, size = [], 0
@@ -277,30 +274,41 @@ def _candidates(base: DataFrame, classes: np.ndarray, n: int) -> DataFrame:
             yield _by_part(held)
 
     def join(table: pa.Table) -> pa.Table:
-        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["blob"]]).reshape(-1, 16)
-        key, address, bits = _unpack(raw[:, :3]), _unpack(raw[:, 3:8]), _unpack(raw[:, 8:])
-        order = np.lexsort((address, key))
-        key, address, bits = key[order], address[order], bits[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (address[1:] != address[:-1])  # equal texts once
-        key, address, bits = key[first], address[first], bits[first]
-        left, right, step = [], [], 1
-        at = np.arange(len(key))
-        while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
-            near = at[_agreeing(bits[at], bits[at + step]) >= AGREE]
-            left.append(address[near])
-            right.append(address[near + step])
-            step += 1
+        wide = SIGNATURE // 8
+        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["blob"]]).reshape(-1, wide + 16)
+        both, signs = _unpack(raw[:, :3]) << np.uint64(40) | _unpack(raw[:, 3:8]), np.ascontiguousarray(raw[:, 8 : wide + 8]).view(np.uint64)
+        sizes, place = _unpack(raw[:, wide + 8 : wide + 12]).astype(np.int64), _unpack(raw[:, wide + 12 :]).astype(np.int64)
+        order = np.lexsort((place, signs[:, 0], both))
+        same = (both[order[1:]] == both[order[:-1]]) & (signs[order[1:]] == signs[order[:-1]]).all(1)
+        order = order[np.concatenate([[True], ~same])] if len(order) else order  # equal texts once, at the first place
+        order = order[np.lexsort((sizes[order], both[order] >> np.uint64(40)))]
+        both, signs, sizes, rest = both[order], signs[order], sizes[order], (sizes - place)[order]
+        address, common = both & _ADDRESS, threshold / (1 + threshold)
+        # An entry meets the entries of its word pair that come after it, up to the greatest size that its place allows.
+        most = np.maximum(rest / common - sizes + _SLACK, 0).astype(np.uint64)
+        key = (both >> np.uint64(40)) << np.uint64(40)
+        ends = np.searchsorted(key + sizes.astype(np.uint64), key + most, "right")
+        begins = np.arange(1, len(key) + 1)
+        met = np.concatenate([[0], np.cumsum(np.maximum(ends - begins, 0))])
+        left, right, done = [], [], 0
+        while done < met[-1]:
+            which = np.arange(done, min(done + AT_ONCE, met[-1]))
+            at = np.searchsorted(met, which, "right") - 1
+            other = begins[at] + which - met[at]
+            done += len(which)
+            least = common * (sizes[at] + sizes[other]) - _SLACK  # common word pairs of texts at the threshold
+            near = np.minimum(rest[at], rest[other]) >= least
+            at, other, least = at[near], other[near], least[near]
+            differ = np.bitwise_count(signs[at] ^ signs[other]).sum(1, dtype=np.int64)
+            near = differ <= sizes[at] + sizes[other] - 2 * least
+            left.append(np.minimum(address[at[near]], address[other[near]]))
+            right.append(np.maximum(address[at[near]], address[other[near]]))
         a = np.concatenate(left) if left else np.empty(0, np.uint64)
         b = np.concatenate(right) if right else np.empty(0, np.uint64)
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
-        return pa.table({"a": pa.array(both[:, 0].astype(np.int64)), "b": pa.array(both[:, 1].astype(np.int64))})
+        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
+        return pa.table({"a": pa.array(pairs[:, 0].astype(np.int64)), "b": pa.array(pairs[:, 1].astype(np.int64))})
 
-    packed = base.mapInArrow(blocks, "part int, blob binary")
+    packed = base.mapInArrow(entries, "part int, blob binary")
     return packed.groupBy("part").applyInArrow(join, "a long, b long").distinct()
 
 
@@ -366,8 +374,8 @@ def class_links(records: DataFrame, key: str, text: str, threshold: float = THRE
     record with word pairs. Class ids are 64-bit keys of the word sequence.
     """
     base = records.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    classes, n, members = _sketch(base)
-    pairs = materialize(_candidates(base, classes, n), "pairs")
+    classes, occurrences, members = _sketch(base)
+    pairs = materialize(_candidates(base, classes, occurrences, threshold), "pairs")
     sent = base.sparkSession.sparkContext.broadcast(_filter(pairs))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

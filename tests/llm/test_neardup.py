@@ -81,3 +81,21 @@ def test_packed_bytes():
     a = np.asarray([[1, 5], [2, 6]] * (N.CHECKED // 2), np.uint32)
     packed = N._two_bits(a)
     assert N._agreeing(packed[:1], packed[:1])[0] == N.CHECKED
+
+
+def test_family_of_a_third_of_all_rows_is_whole(spark):
+    rng = random.Random(5)
+    base, few = rng.sample(WORDS, 24), [f"z{i}" for i in range(10)]
+
+    def copy():
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [rng.choice(few)], [w[k], rng.choice(few)]])
+        return " ".join(w)
+
+    held = [copy() for _ in range(300)] + [" ".join(rng.choices(WORDS, k=24)) for _ in range(600)]
+    sets = [grams(t) for t in held]
+    want = [(f"e{i:04}", f"e{j:04}") for i, j in combinations(range(len(held)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])]
+    links, members = N.class_links(spark.createDataFrame([(f"e{i:04}", t) for i, t in enumerate(held)], "id string, text string"), "id", "text")
+    assert len(want) > 10_000 and rows(N.pairs_of_ids(links, members)) == want
