@@ -8,14 +8,17 @@ else ``misquote``. Passing are exact and fuzzy.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofweave.functions import text as X
+from proofweave.session import shuffle_width
 
 THRESHOLD = 0.86
 #: Quotes that are held against one copy of a source's text.
@@ -35,55 +38,74 @@ def window_ratio(quote: str, source: str) -> float:
     if quote in source:
         return 1.0
     n = len(quote)
-    matcher = SequenceMatcher(b=quote)  # the second text is the one that is indexed
-
-    def ratio(piece: str) -> float:
-        matcher.set_seqs(quote, piece)
-        return matcher.ratio()
-
     if n >= len(source):
-        return ratio(source)
+        return SequenceMatcher(None, quote, source).ratio()
+    # The characters that a stretch shares with the quote bound its similarity from above. Stretches are
+    # compared in full from the highest bound down, until none is left that could beat the best.
+    starts = np.arange(0, len(source) - n + 1, max(1, n // 8))
+    letters = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32)
+    shared = np.zeros(len(starts), np.int64)
+    for letter, times in Counter(quote).items():
+        seen = np.concatenate([[0], np.cumsum(letters == ord(letter))])
+        shared += np.minimum(seen[starts + n] - seen[starts], times)
     best = 0.0
-    for start in range(0, len(source) - n + 1, max(1, n // 8)):
-        piece = source[start : start + n]
-        matcher.set_seqs(quote, piece)
-        # Cheap upper bounds first; only a stretch that could beat the best is compared in full.
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
-            if best == 1.0:
-                break
+    for k in np.argsort(-shared, kind="stable").tolist():
+        if 2.0 * int(shared[k]) / (2 * n) <= best:
+            break
+        start = int(starts[k])
+        best = max(best, SequenceMatcher(None, quote, source[start : start + n]).ratio())
     return best
 
 
 def verify_citations(citations: DataFrame, bundle: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``claim_id, source_id, status, score`` for ``citations(claim_id, source_id, quote)`` against
     ``bundle(source_id, text)``. Ids are joined in their canonical form; where the bundle names an id twice
-    the longest text counts."""
+    the longest text counts. Containment comes first, beside the join; only the quotes that miss are spread over
+    all tasks with their text and compared stretch by stretch."""
     texts = bundle.select(X.citation_key(F.col("source_id")).alias("key"), "text").groupBy("key").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     joined = citations.withColumn("key", X.citation_key(F.col("source_id"))).join(texts, "key", "left").select("claim_id", "source_id", "quote", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms: dict[str, str] = {}
         for batch in batches:
-            status, score = [], []
+            status, score, quotes, sources = [], [], [], []
             for quote, source in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if source is None:
                     status.append("fabricated_src")
                     score.append(0.0)
+                    quotes.append(None)
+                    sources.append(None)
                 elif not (quote or "").strip():
                     status.append("no_quote")
                     score.append(1.0)
+                    quotes.append(None)
+                    sources.append(None)
                 else:
                     if source not in forms:
                         if len(forms) > 1_000:
                             forms.clear()
                         forms[source] = guard_form(source)
-                    r = window_ratio(guard_form(quote), forms[source])
-                    status.append("exact" if r >= 0.999 else "fuzzy" if r >= threshold else "misquote")
-                    score.append(r)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status), pa.array(score)], names=["claim_id", "source_id", "status", "score"])
-
-    return joined.mapInArrow(check, "claim_id string, source_id string, status string, score double")
+                    form = guard_form(quote)
+                    found = form != "" and form in forms[source]
+                    status.append("exact" if found else None)
+                    score.append(1.0 if found else None)
+                    quotes.append(None if found else form)
+                    sources.append(None if found else forms[source])
+            rest = [pa.array(status, pa.string()), pa.array(score, pa.float64()), pa.array(quotes, pa.string()), pa.array(sources, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest], names=["claim_id", "source_id", "status", "score", "quote", "text"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            status, score = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for k, (quote, source) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if status[k] is None:
+                    r = score[k] = window_ratio(quote, source)
+                    status[k] = "exact" if r >= 0.999 else "fuzzy" if r >= threshold else "misquote"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(status, pa.string()), pa.array(score, pa.float64())], names=["claim_id", "source_id", "status", "score"])
+
+    once = joined.mapInArrow(check, "claim_id string, source_id string, status string, score double, quote string, text string")
+    spread = once.repartition(4 * shuffle_width(once.sparkSession), "claim_id")
+    return spread.mapInArrow(compare, "claim_id string, source_id string, status string, score double")
 
 
 def guard(checks: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def verify_summary(spark, d):
 
 
 def _checks(spark, d) -> DataFrame:
-    cited = V.evidence(spark, d, "evidence_id", "doc_id", "quote").where(_every("evidence_id"))
+    cited = V.evidence(spark, d, "evidence_id", "doc_id", "quote")
     citations = cited.select(F.col("evidence_id").alias("claim_id"), F.coalesce("doc_id", F.lit("")).alias("source_id"), "quote")
     bundle = V.case_docs(spark, d).where("full_text <> ''").select(F.col("doc_id").alias("source_id"), F.col("full_text").alias("text"))
     return C.verify_citations(citations, bundle)

@@ -4,6 +4,8 @@ import pytest
 
 from proofweave.operators import grounding as C
 from proofweave.operators import stress as T
+from proofweave.plans import registry
+from proofweave.sources import views
 from tests.conftest import rows
 
 SOURCE = "the quick brown fox jumps over the lazy dog near the river bank"
@@ -37,3 +39,9 @@ def test_score(spark):
     found = spark.createDataFrame([("critical",)] * 2 + [("high",)] * 8 + [("medium",)], "severity string")
     assert tuple(T.score(found).first()) == (41, 2, 8, 1, 0, 0)
     assert T.score(found.limit(0)).first()["score"] == 100
+
+
+def test_every_citation_is_checked(spark, data):
+    cited = rows(views.evidence(spark, data, "evidence_id"))
+    for name in ("verify_citations", "guard"):
+        assert rows(registry.queries()[name](spark, data), "claim_id") == cited
