@@ -197,15 +197,21 @@ def signature(props: DataFrame, status: DataFrame) -> DataFrame:
     return blocks.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256), 1, 16).alias("signature"))
 
 
-def goal_matches(goals: DataFrame, props: DataFrame, words: Column) -> DataFrame:
-    """``goal_id, prop_id`` where any word of a goal occurs in the proposition's text, type or party.
+def goal_matches(goals: DataFrame, props: DataFrame, words: Column, links: DataFrame | None = None) -> DataFrame:
+    """``goal_id, prop_id`` where any word of a goal occurs in the proposition's text, type or party; with
+    ``links``, also in its quote or in the witness, rationale or quote of one of its links.
 
     The goals' different words are a bounded literal that is sought in every proposition once; goals are
     joined back by word.
     """
     asked = goals.select("goal_id", F.explode(words).alias("word")).distinct()
-    hay = F.lower(F.concat_ws(" ", "text", "prop_type", "party"))
-    return contained_words(props.select("prop_id", hay.alias("hay")), "hay", asked).join(asked, "word").select("goal_id", "prop_id").distinct()
+    hay = F.lower(F.concat_ws(" ", "text", "prop_type", "party", *([] if links is None else ["quote"])))
+    found = contained_words(props.select("prop_id", hay.alias("hay")), "hay", asked)
+    if links is not None:
+        told = F.lower(F.concat_ws(" ", "witness", "rationale", "quote"))
+        found = found.unionByName(contained_words(links.select("prop_id", told.alias("hay")), "hay", asked))
+        found = found.repartition("prop_id").distinct()  # by proposition, so that the pairs need no other shuffle
+    return found.join(asked, "word").select("goal_id", "prop_id").distinct()
 
 
 def contained_words(rows: DataFrame, hay: str, asked: DataFrame, at_once: int = 2_000) -> DataFrame:

@@ -155,6 +155,9 @@ ORACLE = {
       r AS (SELECT prop_id, bool_or(confidence >= 0.5 AND relation = 'supportive') AS sup, bool_or(confidence >= 0.5 AND relation = 'adverse') AS adv, count(*) AS n FROM both_ GROUP BY prop_id)
       SELECT prop_id, CASE WHEN sup AND adv THEN 'contested' WHEN sup THEN 'supported' WHEN adv THEN 'undermined' ELSE 'MISSING' END AS status, coalesce(n, 0) AS n_links FROM every LEFT JOIN r USING (prop_id)""",
     "goal_filter": f"WITH {_BASE}, {_ASKED}, w AS (SELECT DISTINCT chat_id AS goal_id, unnest({_GOAL_WORDS}) AS word FROM asked) SELECT DISTINCT goal_id, prop_id FROM w JOIN props ON contains(lower(concat_ws(' ', text, prop_type, party)), word)",
+    "goal_filter_whole": f"""WITH {_BASE}, {_ASKED}, w AS (SELECT DISTINCT chat_id AS goal_id, unnest({_GOAL_WORDS}) AS word FROM asked),
+      hay AS (SELECT prop_id, lower(concat_ws(' ', text, prop_type, party, quote)) AS h FROM props UNION ALL SELECT prop_id, lower(concat_ws(' ', witness, rationale, quote)) FROM ml)
+      SELECT DISTINCT goal_id, prop_id FROM w JOIN hay ON contains(h, word)""",
     "keyword_topk": f"""WITH {_BASE}, {_ASKED}, w AS (SELECT DISTINCT chat_id AS query_id, unnest({_CHAT_WORDS}) AS word FROM asked),
       s AS (SELECT query_id, prop_id, count(*) AS score FROM w JOIN props ON contains(lower(coalesce(text, '')), word) GROUP BY ALL)
       SELECT * FROM (SELECT query_id, prop_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, prop_id) AS rnk FROM s) WHERE rnk <= 3""",

@@ -130,6 +130,13 @@ def goal_filter(spark, d):
     return M.goal_matches(goals, V.propositions(spark, d, "prop_id", "text", "prop_type", "party"), X.goal_words(F.col("question")))
 
 
+def goal_filter_whole(spark, d):
+    """As ``goal_filter``, whose SQL twin fixes the fields it searches, over all fields of the blueprint."""
+    goals = _questions(spark, d).select(F.col("query_id").alias("goal_id"), "question")
+    props, links = V.propositions(spark, d, "prop_id", "text", "prop_type", "party", "quote"), V.matrix_links(spark, d, "witness", "rationale", "quote")
+    return M.goal_matches(goals, props, X.goal_words(F.col("question")), links)
+
+
 def keyword_topk(spark, d):
     return M.keyword_top(_questions(spark, d), V.propositions(spark, d, "prop_id", "text"), X.chat_words(F.col("question")))
 
@@ -386,7 +393,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         matrix_status, status_counts, trial_readiness, case_summary, party_type_counts, count_phrases, matrix_csv, load_bearing, evidence_load, contradicted, sole_witness, spof, witness_pairs,
-        contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
+        contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, goal_filter_whole, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
         rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
         fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,

@@ -81,3 +81,13 @@ def test_extra_columns_do_no_harm(spark, extra):
     p, k = props(spark, "A").withColumn(extra, F.lit("x")), links(spark, ("A", "e1", "supportive", 0.9, "W")).withColumn(extra, F.lit("x"))
     assert rows(M.statuses(p, k), "status") == [("supported",)]
     assert M.load_bearing(k).count() == 1 and M.single_points(k).count() == 1
+
+
+def test_goals_are_sought_in_links_and_quotes(spark):
+    from pyspark.sql import functions as F
+
+    held = spark.createDataFrame([("A", "allegation", "a", None, None, "the berth tool", None, None, None, None), ("B", "allegation", "b", None, None, None, None, None, None, None), ("C", "allegation", "c", None, None, None, None, None, None, None), ("D", "allegation", "d", None, None, None, None, None, None, None)], PROP)
+    told = spark.createDataFrame([(1, "B", "e", "neutral", 0.1, "about BERTH plans", None, None, "", None, None, None), (2, "C", "e", "neutral", 0.1, None, None, None, "Dov Berthold", None, None, None), (3, "C", "e", "neutral", 0.1, None, "berth", None, "", None, None, None)], LINK)
+    goals = spark.createDataFrame([(1, "berth")], "goal_id long, question string")
+    assert rows(M.goal_matches(goals, held, F.array("question"), told)) == [(1, "A"), (1, "B"), (1, "C")]
+    assert rows(M.goal_matches(goals, held, F.array("question"))) == []
