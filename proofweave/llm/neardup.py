@@ -1,20 +1,27 @@
 """Near-duplicate records with small edits.
 
-Similarity is the Jaccard share of the sets of adjacent word pairs. Candidates come from an exact prefix
-join: the word pairs of every text are put in one global order, rarest first, and only the first
-``size - ceil(threshold * size) + 1`` of them are joined on. Two texts whose share reaches the threshold have
-a word pair in common there, whatever their other word pairs are, so none is missed. What travels with a
-word pair are the size of the text, the place of the word pair in it and a signature of
-:data:`SIGNATURE` parities; they bound the common word pairs from above, and a pair of texts is dropped only
-where that bound lies below the threshold. An exact check of the word pairs follows.
-
-Word pairs that occur once in the whole corpus cannot be shared and are not joined on, but keep their place
-in the order. The frequencies are counted over all texts in a sketch of fixed size (:data:`SKETCH`), so what
-is broadcast does not grow with the data; they steer only the order, never what counts as similar.
+Similarity is the Jaccard share of the sets of adjacent word pairs. Every text gets a fingerprint of
+``BLOCKS * WIDTH`` slots, minimum hashes over its word pairs, cut into :data:`BLOCKS` disjoint blocks. By the
+pigeonhole principle two fingerprints that differ in fewer than ``BLOCKS`` slots agree on a whole block; two
+that agree on a share ``s`` of their slots do so with probability ``1 - (1 - s ** WIDTH) ** BLOCKS``. Texts are
+joined on equal blocks, candidates must lie within a Hamming distance of ``CHECKED - AGREE`` of the
+:data:`CHECKED` slots that travel with a block (a radius that a pair at the threshold exceeds less than once in
+a hundred), and an exact check of the word pairs follows.
+
+Word pairs in more than :data:`RARE` of all texts weigh less, by the fourth root of their frequency, so that
+phrases common to unrelated texts seldom decide a block. In a family of near copies that makes up a large
+share of all rows the common word pairs are the family's own. Such families are seen by their *frequent
+blocks*: blocks of unweighted slots that occur in at least :data:`FREQUENT` of all texts. Texts with such a
+block also take part in an exact prefix join: their word pairs are put in one global order, rarest first, and
+the first ``size - ceil(threshold * size) + 1`` of them are joined on, so that no pair among them is missed.
+
+Frequencies are counted over all texts in sketches of fixed size, so what is broadcast does not grow with the
+data; they steer only which candidates arise, never what counts as similar. A block or word pair with very
+many texts is split into pieces that meet pairwise in different tasks (:data:`CROWD`).
 
 Entries travel as packed binary columns, one row per task and target partition, and are sorted and joined
-in numpy. Texts that are equal are folded before they are paired. The join is held against all pairs in
-``tests/llm/test_neardup.py``.
+in numpy. Texts that are equal are folded before they are paired. Recall is measured by bands of similarity
+and against all pairs in ``tests/llm/test_neardup.py``.
 
 Defined results: null parts count as empty; texts of fewer than two words have no word pairs and so no near
 copies; repeated rows of an id count once; equal texts under different ids are near copies of each other.
@@ -33,27 +40,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofweave.llm.unify import unify_text
+from proofweave.operators.graph import components
 from proofweave.session import materialize, shuffle_width
 
-#: Parities of a text's signature.
+#: Blocks of the fingerprint and slots of a block.
+BLOCKS, WIDTH = 27, 4
+#: Slots of which two bits each travel with a block, and how many of them must agree.
+CHECKED, AGREE = 32, 14
+#: Share of all texts from which a word pair loses weight.
+RARE = 0.01
+#: Unweighted slots and the blocks drawn from them by which frequent families are seen.
+PLAIN, PLAIN_BLOCKS, PLAIN_WIDTH = 100, 80, 5
+#: Share (and least number) of all texts from which a plain block is frequent.
+FREQUENT, FREQUENT_LEAST = 0.001, 8
+#: Parities of a text's signature in the prefix join.
 SIGNATURE = 256
-#: Slots of which :func:`_two_bits` packs two bits each.
-CHECKED = 32
-#: Counters of the frequency sketch (4 MiB of one byte each when broadcast).
+#: Counters of each frequency sketch (4 MiB of one byte each when broadcast).
 SKETCH = 1 << 22
-#: Bits of the filter that keeps texts without candidates from the verification (2 MiB when broadcast).
-FILTER = 1 << 24
+#: Bits per candidate of the filter that keeps other texts from the verification, and the most bits it takes.
+FILTER_EACH, FILTER_MOST = 16, 1 << 28
 #: Similarity from which a pair is a near copy in the evidence table.
 THRESHOLD = 0.5
 #: Pairs of entries that are compared at once.
 AT_ONCE = 500_000
-#: Entries that one logical partition should hold.
-ENTRIES = 1_000_000
+#: Entries that one logical partition should hold, and entries of a key from which it is split.
+ENTRIES, CROWD = 1_000_000, 200_000
+#: One in this many texts is looked at to find crowded blocks; steers only how they are split.
+GLANCE = 16
 
 _ADDRESS = np.uint64((1 << 40) - 1)
 _RANGES = 16
 _rng = np.random.default_rng(20240607)
-_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, CHECKED, dtype=np.uint64) | np.uint64(1)
+_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, BLOCKS * WIDTH, dtype=np.uint64) | np.uint64(1)
+_PLAIN_MULTIPLIERS = _rng.integers(1, 1 << 63, PLAIN, dtype=np.uint64) | np.uint64(1)
+_PLAIN_SLOTS = np.stack([_rng.permutation(PLAIN)[:PLAIN_WIDTH] for _ in range(PLAIN_BLOCKS)])
 #: Slack for rounding in the bounds, which may only let more candidates pass.
 _SLACK = 1e-6
 
@@ -66,9 +86,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SKETCHED = ["part", "blob", "class_id", "id"]
-
-
 @lru_cache(maxsize=1)
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Of every character of the basic plane: its lower case, and a class: 1 for letters and digits, plus 2
@@ -162,43 +179,127 @@ def _buckets(pairs: np.ndarray) -> np.ndarray:
     return (pairs >> np.uint64(42)).astype(np.int64)
 
 
-def _sketch(base: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
-    """A frequency class per counter (0: the pair occurs once; else 8 classes per doubling), the number of
-    occurrences of word pairs that occur again, and the membership ``class_id, id``; all from one pass."""
+def _sparse(counts: np.ndarray, least: float = 1) -> list[bytes]:
+    """The counters of at least ``least``, range by range: places, then values."""
+    out, wide = [], len(counts) // _RANGES
+    for k in range(_RANGES):
+        part = counts[k * wide : (k + 1) * wide]
+        at = np.flatnonzero(part >= max(least, 1)).astype(np.uint32)
+        out.append(at.tobytes() + part[at].astype(np.uint32).tobytes())
+    return out
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The sum of sparse counters of one range of one sketch."""
+    total = np.zeros(SKETCH // _RANGES, np.uint64)
+    for blob in table["blob"]:
+        raw = np.frombuffer(blob.as_buffer(), np.uint32)
+        half = len(raw) // 2
+        total[raw[:half]] += raw[half:]
+    at = np.flatnonzero(total).astype(np.uint32)
+    blob = at.tobytes() + np.minimum(total[at], 0xFFFFFFFF).astype(np.uint32).tobytes()
+    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary()), "n": pa.array([pc.sum(table["n"]).as_py()], pa.int64())})
+
+
+def _summed(sketches: DataFrame, how_many: int) -> tuple[list[np.ndarray], int]:
+    """Dense counters of ``how_many`` sketches given as ``part, blob, n``, and the sum of ``n``."""
     wide = SKETCH // _RANGES
+    out, n = [np.zeros(SKETCH, np.float64) for _ in range(how_many)], 0
+    for r in sketches.groupBy("part").applyInArrow(_add, "part int, blob binary, n long").toLocalIterator():
+        raw = np.frombuffer(r["blob"], np.uint32)
+        half, at = len(raw) // 2, r["part"] % _RANGES * wide
+        out[r["part"] // _RANGES][at + raw[:half]] = raw[half:]
+        n += r["n"]
+    return out, n
+
+
+def plain_blocks(pairs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have word pairs, and the counters of their unweighted blocks (``PLAIN_BLOCKS`` x rows)."""
+    rows = np.flatnonzero(np.diff(offsets) > 0)
+    at = np.empty((PLAIN_BLOCKS, len(rows)), np.int64)
+    if len(rows):
+        slots = np.empty((PLAIN, len(rows)), np.uint64)
+        for k in range(PLAIN):
+            slots[k] = np.minimum.reduceat((pairs * _PLAIN_MULTIPLIERS[k]) >> np.uint64(32), offsets[:-1][rows])
+        for b, chosen in enumerate(_PLAIN_SLOTS):
+            key = np.full(len(rows), b + 1, np.uint64)
+            for k in chosen:
+                key = _mix(key * np.uint64(31) + slots[k])
+            at[b] = (key % np.uint64(SKETCH)).astype(np.int64)
+    return rows, at
+
+
+def _survey(base: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]:
+    """A frequency class per counter of word pairs (0: the pair occurs once; else 8 classes per doubling), which
+    counters of plain blocks are frequent, the number of texts, and the membership ``class_id, id``; all from
+    one pass."""
+    names = ["part", "blob", "n", "class_id", "id"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), np.zeros(SKETCH, np.uint32)
+        words, counts, plain, n = Words(), np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64), 0
         for batch in batches:
-            pairs, _, keys = words.pairs(batch.column(1))
-            at, times = np.unique(_buckets(pairs), return_counts=True)
-            counts[at] += times.astype(np.uint32)
+            pairs, offsets, keys = words.pairs(batch.column(1))
+            counts += np.bincount(_buckets(pairs), minlength=SKETCH)
+            plain += np.bincount(plain_blocks(pairs, offsets)[1].ravel(), minlength=SKETCH)
+            n += int((keys != 0).sum())
             nothing = pa.nulls(len(keys))
-            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), pa.array(keys.view(np.int64)), batch.column(0)], names=_SKETCHED)
-        blobs = []
-        for k in range(_RANGES):
-            part = counts[k * wide : (k + 1) * wide]
-            at = np.flatnonzero(part).astype(np.uint32)
-            blobs.append(at.tobytes() + part[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(_RANGES, pa.int64()), pa.nulls(_RANGES, pa.string())], names=_SKETCHED)
-
-    def add(table: pa.Table) -> pa.Table:
-        counts = np.zeros(wide, np.uint64)
-        for blob in table["blob"]:
-            raw = np.frombuffer(blob.as_buffer(), np.uint32)
-            half = len(raw) // 2
-            counts[raw[:half]] += raw[half:]
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.minimum(counts, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), nothing.cast(pa.int64()), pa.array(keys.view(np.int64)), batch.column(0)], names=names)
+        # What a task leaves out lowers no sum by more than an eighth of the bound for frequent blocks.
+        blobs = _sparse(counts) + _sparse(plain, FREQUENT * n / 8)
+        sizes = [n] + [0] * (2 * _RANGES - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * _RANGES), pa.int32()), pa.array(blobs, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(2 * _RANGES, pa.int64()), pa.nulls(2 * _RANGES, pa.string())], names=names)
 
-    both = materialize(base.mapInArrow(count, "part int, blob binary, class_id long, id string"), "sketch")
+    both = materialize(base.mapInArrow(count, "part int, blob binary, n long, class_id long, id string"), "survey")
     members = both.where("class_id <> 0").select("class_id", "id").distinct()
-    got = both.where("part is not null").select("part", "blob").groupBy("part").applyInArrow(add, "part int, blob binary").collect()
-    counts = np.zeros(SKETCH, np.float64)
-    for r in got:
-        counts[r["part"] * wide : (r["part"] + 1) * wide] = np.frombuffer(r["blob"], np.uint32)
+    (counts, plain), n = _summed(both.where("part is not null").select("part", "blob", "n"), 2)
     classes = np.rint(8 * np.log2(np.maximum(counts, 1))).clip(0, 255)
     classes[counts < 2] = 0
-    return classes.astype(np.uint8), int(counts[counts >= 2].sum()), members
+    return classes.astype(np.uint8), np.packbits(plain >= max(7 / 8 * FREQUENT * n, FREQUENT_LEAST)), n, members
+
+
+def fingerprints(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have a fingerprint, and their slots (``BLOCKS * WIDTH`` x rows, unsigned 32 bit). Word pairs
+    that occur once in the corpus cannot be shared and are left out; ``n`` is the number of all texts."""
+    kinds = classes[_buckets(pairs)]
+    above = np.maximum(np.arange(256) / 8 - np.log2(max(RARE * n, 1.0)), 0)
+    scale = np.power(2.0, above / 4).astype(np.float32)[kinds]
+    shared = kinds > 0
+    kept = np.concatenate([[0], np.cumsum(shared)])[offsets]
+    rows = np.flatnonzero(np.diff(kept) > 0)
+    pairs, scale, starts = pairs[shared], scale[shared], kept[:-1][rows]
+    slots = np.empty((BLOCKS * WIDTH, len(rows)), np.uint32)
+    if len(rows):
+        for k in range(BLOCKS * WIDTH):
+            value = ((pairs * _SLOT_MULTIPLIERS[k]) >> np.uint64(32)).astype(np.float32)
+            value *= scale
+            slots[k] = np.minimum.reduceat(value, starts).view(np.uint32)
+    return rows, slots
+
+
+def block_keys(slots: np.ndarray) -> Iterator[np.ndarray]:
+    """The keys of every block of fingerprints, block by block."""
+    for b in range(BLOCKS):
+        key = np.full(slots.shape[1], b + 1, np.uint64)
+        for k in range(b * WIDTH, (b + 1) * WIDTH):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[k])
+        yield key
+
+
+def _crowded(base: DataFrame, classes, n: int) -> np.ndarray:
+    """Pieces of every hashed block key (``SKETCH`` small numbers, mostly 1)."""
+    names = ["part", "blob", "n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            pairs, offsets, _ = words.pairs(batch.column(1))
+            for key in block_keys(fingerprints(pairs, offsets, classes.value, n)[1]):
+                counts += np.bincount((key % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(_sparse(counts, 2), pa.binary()), pa.array([0] * _RANGES, pa.int64())], names=names)
+
+    seen = base.where(F.pmod(F.xxhash64("id"), F.lit(GLANCE)) == 0)
+    (counts,), _ = _summed(seen.mapInArrow(count, "part int, blob binary, n long"), 1)
+    return np.ceil(counts * GLANCE / CROWD).clip(1, 255).astype(np.uint8)
 
 
 def prefixes(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
@@ -253,65 +354,132 @@ def _unpack(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _candidates(base: DataFrame, classes: np.ndarray, occurrences: int, threshold: float) -> DataFrame:
-    """``a, b``: addresses (40 bits of the text key) of texts that may reach the threshold."""
-    parts = max(4 * shuffle_width(base.sparkSession), -(-occurrences // ENTRIES))
-    sent = base.sparkSession.sparkContext.broadcast(classes)
+def _in_cells(key: np.ndarray, packed: np.ndarray, address: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of split keys, repeated into every cell in which their piece meets another (or itself)."""
+    if (pieces <= 1).all():
+        return key, packed
+    split = np.flatnonzero(pieces > 1)
+    g = pieces[split].astype(np.int64)
+    at = np.repeat(split, g)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
+    own = (_mix(address[at]) % np.repeat(g, g).astype(np.uint64)).astype(np.int64)
+    cell = np.minimum(own, other) * 256 + np.maximum(own, other) + 1
+    whole = pieces <= 1
+    return np.concatenate([key[whole], _mix(key[at] + cell.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53))]), np.concatenate([packed[whole], packed[at]])
+
+
+def _candidates(base: DataFrame, classes: np.ndarray, frequent: np.ndarray, n: int, threshold: float) -> DataFrame:
+    """``a, b``: addresses (40 bits of the text key) of texts that share a block and lie within the radius, or
+    that the prefix join of texts with frequent blocks cannot tell apart."""
+    spark = base.sparkSession
+    parts = max(4 * shuffle_width(spark), -(-BLOCKS * n // ENTRIES))
+    sent = spark.sparkContext.broadcast(classes)
+    often, pieces = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(_crowded(base, sent, n))
+
+    def by_blocks(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, slots = fingerprints(pairs, offsets, sent.value, n)
+        address = keys[rows] & _ADDRESS
+        tail = np.hstack([_pack(address, 5), _pack(_two_bits(slots), 8)])
+        for key in block_keys(slots):
+            key, rest = _in_cells(key, tail, address, pieces.value[(key % np.uint64(SKETCH)).astype(np.int64)])
+            yield (key % np.uint64(parts)).astype(np.int64), np.hstack([_pack(key >> np.uint64(40), 3), rest])
+
+    def by_prefixes(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, at = plain_blocks(pairs, offsets)
+        chosen = rows[((often.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).any(0)]
+        if not len(chosen):
+            return
+        length = np.diff(offsets)[chosen]
+        inside = np.repeat(offsets[:-1][chosen] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        joined, row, place, sizes, signs = prefixes(pairs[inside], np.concatenate([[0], np.cumsum(length)]), sent.value, threshold)
+        key, address = _mix(joined), (keys[chosen] & _ADDRESS)[row]
+        packed = np.hstack([_pack(address, 5), signs[row].view(np.uint8), _pack(sizes[row], 4), _pack(place, 4)])
+        often_met = np.ceil(np.power(2.0, sent.value[_buckets(joined)] / 8) / CROWD).clip(1, 255).astype(np.uint8)
+        key, packed = _in_cells(key, packed, address, often_met)
+        yield (key % np.uint64(parts)).astype(np.int64) + parts, np.hstack([_pack(key >> np.uint64(40), 3), packed])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        words, ways = Words(), ((by_blocks, []), (by_prefixes, []))
         for batch in batches:
             pairs, offsets, keys = words.pairs(batch.column(1))
-            pairs, row, place, sizes, signs = prefixes(pairs, offsets, sent.value, threshold)
-            key = _mix(pairs)
-            packed = [_pack(key >> np.uint64(40), 3), _pack((keys & _ADDRESS)[row], 5), signs[row].view(np.uint8), _pack(sizes[row], 4), _pack(place, 4)]
-            held.append(((key % np.uint64(parts)).astype(np.int64), np.hstack(packed)))
-            size += len(row)
-            if size > 1_500_000:
+            for make, held in ways:
+                held.extend(make(pairs, offsets, keys))
+                if sum(len(p) for p, _ in held) > 1_500_000:
+                    yield _by_part(held)
+                    held.clear()
+        for _, held in ways:
+            if held:
                 yield _by_part(held)
-                held, size = [], 0
-        if held:
-            yield _by_part(held)
 
     def join(table: pa.Table) -> pa.Table:
-        wide = SIGNATURE // 8
-        raw = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table["blob"]]).reshape(-1, wide + 16)
-        both, signs = _unpack(raw[:, :3]) << np.uint64(40) | _unpack(raw[:, 3:8]), np.ascontiguousarray(raw[:, 8 : wide + 8]).view(np.uint64)
-        sizes, place = _unpack(raw[:, wide + 8 : wide + 12]).astype(np.int64), _unpack(raw[:, wide + 12 :]).astype(np.int64)
-        order = np.lexsort((place, signs[:, 0], both))
-        same = (both[order[1:]] == both[order[:-1]]) & (signs[order[1:]] == signs[order[:-1]]).all(1)
-        order = order[np.concatenate([[True], ~same])] if len(order) else order  # equal texts once, at the first place
-        order = order[np.lexsort((sizes[order], both[order] >> np.uint64(40)))]
-        both, signs, sizes, rest = both[order], signs[order], sizes[order], (sizes - place)[order]
-        address, common = both & _ADDRESS, threshold / (1 + threshold)
-        # An entry meets the entries of its word pair that come after it, up to the greatest size that its place allows.
-        most = np.maximum(rest / common - sizes + _SLACK, 0).astype(np.uint64)
-        key = (both >> np.uint64(40)) << np.uint64(40)
-        ends = np.searchsorted(key + sizes.astype(np.uint64), key + most, "right")
-        begins = np.arange(1, len(key) + 1)
-        met = np.concatenate([[0], np.cumsum(np.maximum(ends - begins, 0))])
-        left, right, done = [], [], 0
-        while done < met[-1]:
-            which = np.arange(done, min(done + AT_ONCE, met[-1]))
-            at = np.searchsorted(met, which, "right") - 1
-            other = begins[at] + which - met[at]
-            done += len(which)
-            least = common * (sizes[at] + sizes[other]) - _SLACK  # common word pairs of texts at the threshold
-            near = np.minimum(rest[at], rest[other]) >= least
-            at, other, least = at[near], other[near], least[near]
-            differ = np.bitwise_count(signs[at] ^ signs[other]).sum(1, dtype=np.int64)
-            near = differ <= sizes[at] + sizes[other] - 2 * least
-            left.append(np.minimum(address[at[near]], address[other[near]]))
-            right.append(np.maximum(address[at[near]], address[other[near]]))
-        a = np.concatenate(left) if left else np.empty(0, np.uint64)
-        b = np.concatenate(right) if right else np.empty(0, np.uint64)
+        blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["blob"]]
+        make = _same_blocks if table["part"][0].as_py() < parts else _same_prefixes
+        a, b = make(np.concatenate(blobs), threshold)
         pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.uint64)
         return pa.table({"a": pa.array(pairs[:, 0].astype(np.int64)), "b": pa.array(pairs[:, 1].astype(np.int64))})
 
-    packed = base.mapInArrow(entries, "part int, blob binary")
+    packed = base.mapInArrow(entries, "part int, blob binary").repartition(max(shuffle_width(spark), parts // 4), "part")
     return packed.groupBy("part").applyInArrow(join, "a long, b long").distinct()
 
 
+def _same_blocks(raw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Addresses of texts that share a block and lie within the Hamming radius."""
+    raw = raw.reshape(-1, 16)
+    key, address, bits = _unpack(raw[:, :3]), _unpack(raw[:, 3:8]), _unpack(raw[:, 8:])
+    order = np.lexsort((address, key))
+    key, address, bits = key[order], address[order], bits[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (address[1:] != address[:-1])  # equal texts once
+    key, address, bits = key[first], address[first], bits[first]
+    met = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    left, right = [], []
+    for at, other in _meetings(np.arange(1, len(key) + 1), met):
+        near = _agreeing(bits[at], bits[other]) >= AGREE
+        left.append(address[at[near]])
+        right.append(address[other[near]])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
+def _meetings(begins: np.ndarray, met: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of every entry and of the ``met`` entries from ``begins`` on that it meets, a bounded number at once."""
+    ends = np.concatenate([[0], np.cumsum(met)])
+    done = 0
+    while done < ends[-1]:
+        which = np.arange(done, min(done + AT_ONCE, ends[-1]))
+        at = np.searchsorted(ends, which, "right") - 1
+        yield at, begins[at] + which - ends[at]
+        done += len(which)
+
+
+def _same_prefixes(raw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Addresses of texts that share a word pair of their prefixes and that no bound separates."""
+    wide = SIGNATURE // 8
+    raw = raw.reshape(-1, wide + 16)
+    both, signs = _unpack(raw[:, :3]) << np.uint64(40) | _unpack(raw[:, 3:8]), np.ascontiguousarray(raw[:, 8 : wide + 8]).view(np.uint64)
+    sizes, place = _unpack(raw[:, wide + 8 : wide + 12]).astype(np.int64), _unpack(raw[:, wide + 12 :]).astype(np.int64)
+    order = np.lexsort((place, signs[:, 0], both))
+    same = (both[order[1:]] == both[order[:-1]]) & (signs[order[1:]] == signs[order[:-1]]).all(1)
+    order = order[np.concatenate([[True], ~same])] if len(order) else order  # equal texts once, at the first place
+    order = order[np.lexsort((sizes[order], both[order] >> np.uint64(40)))]
+    both, signs, sizes, rest = both[order], signs[order], sizes[order], (sizes - place)[order]
+    address, common = both & _ADDRESS, threshold / (1 + threshold)
+    # An entry meets the entries of its word pair that come after it, up to the greatest size that its place allows.
+    most = np.maximum(rest / common - sizes + _SLACK, 0).astype(np.uint64)
+    key = (both >> np.uint64(40)) << np.uint64(40)
+    begins = np.arange(1, len(key) + 1)
+    met = np.maximum(np.searchsorted(key + sizes.astype(np.uint64), key + most, "right") - begins, 0)
+    left, right = [], []
+    for at, other in _meetings(begins, met):
+        least = common * (sizes[at] + sizes[other]) - _SLACK  # common word pairs of texts at the threshold
+        near = np.minimum(rest[at], rest[other]) >= least
+        at, other, least = at[near], other[near], least[near]
+        differ = np.bitwise_count(signs[at] ^ signs[other]).sum(1, dtype=np.int64)
+        near = differ <= sizes[at] + sizes[other] - 2 * least
+        left.append(np.minimum(address[at[near]], address[other[near]]))
+        right.append(np.maximum(address[at[near]], address[other[near]]))
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+
+
 def _by_part(held: list) -> pa.RecordBatch:
     part = np.concatenate([p for p, _ in held])
     rows = np.concatenate([r for _, r in held])
@@ -323,47 +491,58 @@ def _by_part(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[starts], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """A bit per hashed address that occurs in ``pairs``; of fixed size."""
-    wide = FILTER // _RANGES
+def _filter(pairs: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit per hashed address that occurs in ``pairs``, and the number of pairs. A full filter would let more
+    texts through, never fewer."""
+    n = pairs.count()
+    bits = min(1 << max(FILTER_EACH * n, 1 << 16).bit_length(), FILTER_MOST)
+    wide = bits // _RANGES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER, bool)
+        held = [np.empty(0, np.uint32)]
         for batch in batches:
-            for k in (0, 1):
-                bits[_place(batch.column(k).to_numpy())] = True
-        at = np.flatnonzero(bits).astype(np.uint32)
-        part = at // wide
-        blobs = [(at[part == k] % wide).tobytes() for k in range(_RANGES)]
+            held.extend(_place(batch.column(k).to_numpy(), bits).astype(np.uint32) for k in (0, 1))
+        at = np.unique(np.concatenate(held))
+        ends = np.searchsorted(at, np.arange(_RANGES + 1) * wide)
+        blobs = [(at[ends[k] : ends[k + 1]] - np.uint32(k * wide)).tobytes() for k in range(_RANGES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_RANGES), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def merge(table: pa.Table) -> pa.Table:
-        bits = np.zeros(wide, bool)
+        marked = np.zeros(wide, bool)
         for blob in table["blob"]:
-            bits[np.frombuffer(blob.as_buffer(), np.uint32)] = True
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+            marked[np.frombuffer(blob.as_buffer(), np.uint32)] = True
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "blob": pa.array([np.packbits(marked).tobytes()], pa.binary())})
 
-    out = np.zeros(FILTER // 8, np.uint8)
-    for r in pairs.select("a", "b").mapInArrow(mark, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, blob binary").collect():
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pairs.select("a", "b").mapInArrow(mark, "part int, blob binary").groupBy("part").applyInArrow(merge, "part int, blob binary").toLocalIterator():
         out[r["part"] * wide // 8 : (r["part"] + 1) * wide // 8] = np.frombuffer(r["blob"], np.uint8)
-    return out
+    return out, n
 
 
-def _place(address: np.ndarray) -> np.ndarray:
-    return (_mix(address.astype(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+def _place(address: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(address.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
 def jaccard(texts_a: pa.Array, texts_b: pa.Array, words: Words) -> np.ndarray:
     """Share of common word pairs of two columns of texts; 0 where both have none."""
-    pa_, oa, _ = words.pairs(texts_a)
-    pb, ob, _ = words.pairs(texts_b)
-    la, lb = pa_.tolist(), pb.tolist()
-    out = np.zeros(len(texts_a))
-    for k in range(len(out)):
-        a, b = set(la[oa[k] : oa[k + 1]]), set(lb[ob[k] : ob[k + 1]])
-        common = len(a & b)
-        out[k] = common / (len(a) + len(b) - common) if a or b else 0.0
-    return out
+    n = len(texts_a)
+    both, row = [], []
+    for texts in (texts_a, texts_b):
+        pairs, offsets, _ = words.pairs(texts)
+        at = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+        order = np.lexsort((pairs, at))
+        pairs, at = pairs[order], at[order]
+        first = np.ones(len(pairs), bool)
+        first[1:] = (pairs[1:] != pairs[:-1]) | (at[1:] != at[:-1])
+        both.append(pairs[first])
+        row.append(at[first])
+    pairs, at = np.concatenate(both), np.concatenate(row)
+    order = np.lexsort((pairs, at))
+    pairs, at = pairs[order], at[order]
+    twice = (pairs[1:] == pairs[:-1]) & (at[1:] == at[:-1])
+    common = np.bincount(at[1:][twice], minlength=n) if len(at) else np.zeros(n)
+    union = np.bincount(at, minlength=n) - common
+    return common / np.maximum(union, 1)
 
 
 def class_links(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -374,22 +553,24 @@ def class_links(records: DataFrame, key: str, text: str, threshold: float = THRE
     record with word pairs. Class ids are 64-bit keys of the word sequence.
     """
     base = records.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    classes, occurrences, members = _sketch(base)
-    pairs = materialize(_candidates(base, classes, occurrences, threshold), "pairs")
-    sent = base.sparkSession.sparkContext.broadcast(_filter(pairs))
+    classes, frequent, n, members = _survey(base)
+    pairs = materialize(_candidates(base, classes, frequent, n, threshold), "pairs")
+    marked, n_pairs = _filter(pairs)
+    bits, sent = 8 * len(marked), base.sparkSession.sparkContext.broadcast(marked)
+    wide = max(shuffle_width(base.sparkSession), -(-n_pairs // ENTRIES))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
             _, _, keys = words.pairs(batch.column(1))
             address = keys & _ADDRESS
-            place = _place(address)
+            place = _place(address, bits)
             wanted = ((sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1) & (keys != 0)
             out = pa.RecordBatch.from_arrays([pa.array(address.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(1)], names=["address", "class_id", "text"])
             yield out.filter(pa.array(wanted))
 
     # One shuffle of the texts that occur in a candidate; both sides of the pair join reuse it.
-    texts = base.mapInArrow(look, "address long, class_id long, text string").repartition("address").groupBy("address", "class_id").agg(F.min("text").alias("text"))
+    texts = base.mapInArrow(look, "address long, class_id long, text string").repartition(wide, "address").groupBy("address", "class_id").agg(F.min("text").alias("text"))
     side = {s: texts.select(F.col("address").alias(s), F.col("class_id").alias(f"class_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
     both = pairs.join(side["a"], "a").join(side["b"], "b").select("class_a", "class_b", "text_a", "text_b")
 
@@ -415,6 +596,16 @@ def pairs_of_ids(links: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``id, class_id, group_id, n_links``: every record with word pairs, the class of its text, the group of
+    texts connected by links (the smallest class id of it) and the links of its text to other texts."""
+    ends = links.select("class_a", "class_b").select(F.explode(F.array("class_a", "class_b")).alias("class_id"))
+    n_links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    group = components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("id").alias("class_id"), F.col("component").alias("group_id"))
+    joined = members.join(n_links.join(group, "class_id"), "class_id", "left")
+    return joined.select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def evidence_text(evidence: DataFrame) -> DataFrame:
     """``id, text``: assertion, a blank and quote of the evidence table; null parts as empty."""
     return evidence.select("id", F.concat(F.coalesce("assertion", F.lit("")), F.lit(" "), F.coalesce("quote", F.lit(""))).alias("text"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofweave.llm import encoding, neardup, packing, replies, residue, scans, splitting, topn, unify
+from proofweave.session import materialize
 from proofweave.sources.tables import table
 
 
@@ -17,6 +18,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.pairs_of_ids(links, members)
 
 
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every evidence record with the group of near copies it belongs to."""
+    links, members = neardup.class_links(neardup.evidence_text(table(spark, folder, "evidence")), "id", "text")
+    return neardup.groups(materialize(links, "links"), members)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Defective question and reply pairs with their defect."""
     return replies.defective_pairs(table(spark, folder, "chat_cache"))
@@ -113,4 +120,4 @@ def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "model string, n_train long, n_valid long, true_positive long, false_positive long, false_negative long")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p7_found, p7_paragraphs, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_validation)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p4_found, p4_kinds, p5_found, p5_pieces, p6_found, p7_found, p7_paragraphs, p8_ids, p8_roundtrip, p9_containers, p9_fill, p10_found, p10_validation)}

@@ -99,3 +99,33 @@ def test_family_of_a_third_of_all_rows_is_whole(spark):
     want = [(f"e{i:04}", f"e{j:04}") for i, j in combinations(range(len(held)), 2) if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])]
     links, members = N.class_links(spark.createDataFrame([(f"e{i:04}", t) for i, t in enumerate(held)], "id string, text string"), "id", "text")
     assert len(want) > 10_000 and rows(N.pairs_of_ids(links, members)) == want
+
+
+def test_recall_by_bands_of_similarity(spark):
+    """Pairs of every band from the threshold on, between texts made of common phrases."""
+    rng = random.Random(3)
+    phrases = [" ".join(rng.sample(WORDS, 4)) for _ in range(120)]
+    held = []
+    for _ in range(700):
+        base = " ".join(rng.choices(phrases, k=rng.randint(5, 14)) + rng.sample(WORDS, 6))
+        held += [base, edited(rng, base, rng.randint(0, len(base.split()) // 6))]
+    sets = [grams(t) for t in held]
+    bands = {}
+    for i in range(0, len(held), 2):
+        share = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1])
+        if 0.5 <= share < 1:
+            bands.setdefault(int(10 * share), []).append((f"e{i:04}", f"e{i + 1:04}"))
+    links, members = N.class_links(spark.createDataFrame([(f"e{i:04}", t) for i, t in enumerate(held)], "id string, text string"), "id", "text")
+    got = set(rows(N.pairs_of_ids(links, members)))
+    assert set(bands) == {5, 6, 7, 8, 9} and min(map(len, bands.values())) > 30
+    for band, pairs in bands.items():
+        assert sum(p in got for p in pairs) >= 0.9 * len(pairs), band
+
+
+def test_groups(spark):
+    a, b, c = " ".join(WORDS[:30]), " ".join(WORDS[:26]), " ".join(WORDS[4:26])
+    df = spark.createDataFrame([("1", a), ("2", b), ("3", c), ("4", a), ("5", " ".join(WORDS[500:530])), ("6", None)], "id string, text string")
+    got = {r["id"]: r for r in N.groups(*N.class_links(df, "id", "text")).collect()}
+    assert set(got) == {"1", "2", "3", "4", "5"}
+    assert len({got[k]["group_id"] for k in "1234"}) == 1 and got["5"]["group_id"] == got["5"]["class_id"] != got["1"]["group_id"]
+    assert got["1"]["class_id"] == got["4"]["class_id"] and got["5"]["n_links"] == 0 and got["2"]["n_links"] == 2
