@@ -4,9 +4,10 @@ Similarity is the Jaccard share of the sets of adjacent word pairs. Every text g
 ``BLOCKS * WIDTH`` slots, minimum hashes over its word pairs, cut into :data:`BLOCKS` disjoint blocks. By the
 pigeonhole principle two fingerprints that differ in fewer than ``BLOCKS`` slots agree on a whole block; two
 that agree on a share ``s`` of their slots do so with probability ``1 - (1 - s ** WIDTH) ** BLOCKS``. Texts are
-joined on equal blocks, candidates must lie within a Hamming distance of ``CHECKED - AGREE`` of the
-:data:`CHECKED` slots that travel with a block (a radius that a pair at the threshold exceeds less than once in
-a hundred), and an exact check of the word pairs follows.
+joined on equal blocks. With a block travel :data:`CHECKED` further bits, one of each of as many unweighted
+minimum hashes, in which texts of similarity ``s`` differ at ``CHECKED * (1 - s) / 2`` places on average;
+candidates must lie within the Hamming distance :data:`RADIUS` (which keeps 94 of 100 pairs right at the
+threshold 0.5, and 999 of 1,000 from 0.6 on), and a check of the word pairs themselves follows.
 
 Word pairs in more than :data:`RARE` of all texts weigh less, by the fourth root of their frequency, so that
 phrases common to unrelated texts seldom decide a block. In a family of near copies that makes up a large
@@ -39,14 +40,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofweave.llm.unify import unify_text
+from proofweave.llm.unify import stable, unify_text
 from proofweave.operators.graph import components
 from proofweave.session import materialize, shuffle_width
 
 #: Blocks of the fingerprint and slots of a block.
 BLOCKS, WIDTH = 27, 4
-#: Slots of which two bits each travel with a block, and how many of them must agree.
-CHECKED, AGREE = 32, 14
+#: Bits that travel with a block, and at how many places they may differ.
+CHECKED, RADIUS = 64, 21
 #: Share of all texts from which a word pair loses weight.
 RARE = 0.01
 #: Unweighted slots and the blocks drawn from them by which frequent families are seen.
@@ -71,8 +72,10 @@ GLANCE = 16
 _ADDRESS = np.uint64((1 << 40) - 1)
 _RANGES = 16
 _rng = np.random.default_rng(20240607)
-_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 63, BLOCKS * WIDTH, dtype=np.uint64) | np.uint64(1)
-_PLAIN_MULTIPLIERS = _rng.integers(1, 1 << 63, PLAIN, dtype=np.uint64) | np.uint64(1)
+_SLOT_MULTIPLIERS = _rng.integers(1, 1 << 31, BLOCKS * WIDTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLAIN_MULTIPLIERS = _rng.integers(1, 1 << 31, PLAIN, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Texts whose slots are computed at once, so that the arrays stay in the processor's cache.
+_STRETCH = 1_000
 _PLAIN_SLOTS = np.stack([_rng.permutation(PLAIN)[:PLAIN_WIDTH] for _ in range(PLAIN_BLOCKS)])
 #: Slack for rounding in the bounds, which may only let more candidates pass.
 _SLACK = 1e-6
@@ -90,9 +93,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _characters() -> tuple[np.ndarray, np.ndarray]:
     """Of every character of the basic plane: its lower case, and a class: 1 for letters and digits, plus 2
     if the one text form may change it (halves of characters beyond the plane among them)."""
-    lower, kind = np.arange(1 << 16, dtype=np.uint16), np.full(1 << 16, 2, np.uint8)
-    for first, last in ((0, 0x7F), (0xA1, 0xAC), (0xAE, 0x2FF), (0x2010, 0x2027), (0x20A0, 0x20BF)):
-        kind[first : last + 1] = 0
+    lower, kind = np.arange(1 << 16, dtype=np.uint16), np.where(np.frombuffer(stable(), np.uint8), 0, 2).astype(np.uint8)
     for c in range(1 << 16):
         small = chr(c).lower()
         if len(small) == 1:
@@ -213,20 +214,37 @@ def _summed(sketches: DataFrame, how_many: int) -> tuple[list[np.ndarray], int]:
     return out, n
 
 
-def plain_blocks(pairs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have word pairs, and the counters of their unweighted blocks (``PLAIN_BLOCKS`` x rows)."""
+def _minima(pairs: np.ndarray, starts: np.ndarray, multipliers: np.ndarray, scale: np.ndarray | None = None) -> np.ndarray:
+    """Minimum hashes (multipliers x rows) of the stretches of ``pairs`` that begin at ``starts``, none empty."""
+    out = np.empty((len(multipliers), len(starts)), np.uint32)
+    ends = np.append(starts, len(pairs))
+    for at in range(0, len(starts), _STRETCH):
+        first, last = ends[at], ends[min(at + _STRETCH, len(starts))]
+        small = (pairs[first:last] >> np.uint64(20)).astype(np.uint32)
+        begin = starts[at : at + _STRETCH] - first
+        for k, m in enumerate(multipliers):
+            value = small * m
+            if scale is not None:
+                value = np.multiply(value, scale[first:last], dtype=np.float32, casting="unsafe")
+            out[k, at : at + _STRETCH] = np.minimum.reduceat(value, begin).view(np.uint32)
+    return out
+
+
+def plain_slots(pairs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have word pairs, and their unweighted slots (``PLAIN`` x rows)."""
     rows = np.flatnonzero(np.diff(offsets) > 0)
-    at = np.empty((PLAIN_BLOCKS, len(rows)), np.int64)
-    if len(rows):
-        slots = np.empty((PLAIN, len(rows)), np.uint64)
-        for k in range(PLAIN):
-            slots[k] = np.minimum.reduceat((pairs * _PLAIN_MULTIPLIERS[k]) >> np.uint64(32), offsets[:-1][rows])
-        for b, chosen in enumerate(_PLAIN_SLOTS):
-            key = np.full(len(rows), b + 1, np.uint64)
-            for k in chosen:
-                key = _mix(key * np.uint64(31) + slots[k])
-            at[b] = (key % np.uint64(SKETCH)).astype(np.int64)
-    return rows, at
+    return rows, _minima(pairs, offsets[:-1][rows], _PLAIN_MULTIPLIERS)
+
+
+def plain_blocks(slots: np.ndarray) -> np.ndarray:
+    """The counters of the unweighted blocks (``PLAIN_BLOCKS`` x rows)."""
+    at = np.empty((PLAIN_BLOCKS, slots.shape[1]), np.int64)
+    for b, chosen in enumerate(_PLAIN_SLOTS):
+        key = np.full(slots.shape[1], b + 1, np.uint64)
+        for k in chosen:
+            key = (key ^ (key >> np.uint64(29)) ^ slots[k]) * np.uint64(0x9E3779B97F4A7C15)
+        at[b] = (_mix(key) % np.uint64(SKETCH)).astype(np.int64)
+    return at
 
 
 def _survey(base: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]:
@@ -240,7 +258,7 @@ def _survey(base: DataFrame) -> tuple[np.ndarray, np.ndarray, int, DataFrame]:
         for batch in batches:
             pairs, offsets, keys = words.pairs(batch.column(1))
             counts += np.bincount(_buckets(pairs), minlength=SKETCH)
-            plain += np.bincount(plain_blocks(pairs, offsets)[1].ravel(), minlength=SKETCH)
+            plain += np.bincount(plain_blocks(plain_slots(pairs, offsets)[1]).ravel(), minlength=SKETCH)
             n += int((keys != 0).sum())
             nothing = pa.nulls(len(keys))
             yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), nothing.cast(pa.int64()), pa.array(keys.view(np.int64)), batch.column(0)], names=names)
@@ -267,13 +285,7 @@ def fingerprints(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray, n:
     kept = np.concatenate([[0], np.cumsum(shared)])[offsets]
     rows = np.flatnonzero(np.diff(kept) > 0)
     pairs, scale, starts = pairs[shared], scale[shared], kept[:-1][rows]
-    slots = np.empty((BLOCKS * WIDTH, len(rows)), np.uint32)
-    if len(rows):
-        for k in range(BLOCKS * WIDTH):
-            value = ((pairs * _SLOT_MULTIPLIERS[k]) >> np.uint64(32)).astype(np.float32)
-            value *= scale
-            slots[k] = np.minimum.reduceat(value, starts).view(np.uint32)
-    return rows, slots
+    return rows, _minima(pairs, starts, _SLOT_MULTIPLIERS, scale)
 
 
 def block_keys(slots: np.ndarray) -> Iterator[np.ndarray]:
@@ -281,8 +293,8 @@ def block_keys(slots: np.ndarray) -> Iterator[np.ndarray]:
     for b in range(BLOCKS):
         key = np.full(slots.shape[1], b + 1, np.uint64)
         for k in range(b * WIDTH, (b + 1) * WIDTH):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[k])
-        yield key
+            key = (key ^ (key >> np.uint64(29)) ^ slots[k]) * np.uint64(0x9E3779B97F4A7C15)
+        yield _mix(key)
 
 
 def _crowded(base: DataFrame, classes, n: int) -> np.ndarray:
@@ -326,21 +338,17 @@ def prefixes(pairs: np.ndarray, offsets: np.ndarray, classes: np.ndarray, thresh
     return pairs[joined], row[joined], place[joined], sizes, signs
 
 
-def _two_bits(slots: np.ndarray) -> np.ndarray:
-    """Two bits of each of the first ``CHECKED`` slots, packed into 64 bits."""
+def _bits(slots: np.ndarray) -> np.ndarray:
+    """One bit of each of the first ``CHECKED`` slots, packed into 64 bits."""
     out = np.zeros(slots.shape[1], np.uint64)
     for k in range(CHECKED):
-        bits = _mix(slots[k].astype(np.uint64) * _SLOT_MULTIPLIERS[k]) & np.uint64(3)
-        out |= bits << np.uint64(2 * k)
+        out |= ((slots[k] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(k)
     return out
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Slots, of those checked, on which two packed parts agree."""
-    differ = a ^ b
-    low = np.uint64(0x5555_5555_5555_5555)
-    wrong = (differ | (differ >> np.uint64(1))) & low
-    return CHECKED - np.bitwise_count(wrong).astype(np.int64)
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of packed bits."""
+    return np.bitwise_count(a ^ b)
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -376,40 +384,44 @@ def _candidates(base: DataFrame, classes: np.ndarray, frequent: np.ndarray, n: i
     sent = spark.sparkContext.broadcast(classes)
     often, pieces = spark.sparkContext.broadcast(frequent), spark.sparkContext.broadcast(_crowded(base, sent, n))
 
-    def by_blocks(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def by_blocks(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows, slots = fingerprints(pairs, offsets, sent.value, n)
         address = keys[rows] & _ADDRESS
-        tail = np.hstack([_pack(address, 5), _pack(_two_bits(slots), 8)])
+        tail = np.hstack([_pack(address, 5), _pack(bits[rows], 8)])
         for key in block_keys(slots):
             key, rest = _in_cells(key, tail, address, pieces.value[(key % np.uint64(SKETCH)).astype(np.int64)])
             yield (key % np.uint64(parts)).astype(np.int64), np.hstack([_pack(key >> np.uint64(40), 3), rest])
 
-    def by_prefixes(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows, at = plain_blocks(pairs, offsets)
+    def by_prefixes(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray, rows: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         chosen = rows[((often.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).any(0)]
         if not len(chosen):
             return
-        length = np.diff(offsets)[chosen]
-        inside = np.repeat(offsets[:-1][chosen] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        joined, row, place, sizes, signs = prefixes(pairs[inside], np.concatenate([[0], np.cumsum(length)]), sent.value, threshold)
-        key, address = _mix(joined), (keys[chosen] & _ADDRESS)[row]
+        wanted = np.zeros(len(keys), bool)
+        wanted[chosen] = True
+        inside, bounds, keys = pairs_of(pairs, offsets, keys, wanted)
+        joined, row, place, sizes, signs = prefixes(inside, bounds, sent.value, threshold)
+        key, address = _mix(joined), (keys & _ADDRESS)[row]
         packed = np.hstack([_pack(address, 5), signs[row].view(np.uint8), _pack(sizes[row], 4), _pack(place, 4)])
         often_met = np.ceil(np.power(2.0, sent.value[_buckets(joined)] / 8) / CROWD).clip(1, 255).astype(np.uint8)
         key, packed = _in_cells(key, packed, address, often_met)
         yield (key % np.uint64(parts)).astype(np.int64) + parts, np.hstack([_pack(key >> np.uint64(40), 3), packed])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, ways = Words(), ((by_blocks, []), (by_prefixes, []))
+        words, held, few = Words(), [], []
         for batch in batches:
             pairs, offsets, keys = words.pairs(batch.column(1))
-            for make, held in ways:
-                held.extend(make(pairs, offsets, keys))
-                if sum(len(p) for p, _ in held) > 1_500_000:
-                    yield _by_part(held)
-                    held.clear()
-        for _, held in ways:
-            if held:
-                yield _by_part(held)
+            rows, plain = plain_slots(pairs, offsets)
+            bits = np.zeros(len(keys), np.uint64)
+            bits[rows] = _bits(plain)
+            held.extend(by_blocks(pairs, offsets, keys, bits))
+            few.extend(by_prefixes(pairs, offsets, keys, rows, plain_blocks(plain)))
+            for some in (held, few):
+                if sum(len(p) for p, _ in some) > 1_500_000:
+                    yield _by_part(some)
+                    some.clear()
+        for some in (held, few):
+            if some:
+                yield _by_part(some)
 
     def join(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x.as_buffer(), np.uint8) for x in table["blob"]]
@@ -434,7 +446,7 @@ def _same_blocks(raw: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndar
     met = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
     left, right = [], []
     for at, other in _meetings(np.arange(1, len(key) + 1), met):
-        near = _agreeing(bits[at], bits[other]) >= AGREE
+        near = _distance(bits[at], bits[other]) <= RADIUS
         left.append(address[at[near]])
         right.append(address[other[near]])
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.uint64), np.empty(0, np.uint64))
@@ -523,26 +535,39 @@ def _place(address: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(address.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
+def gram_sets(pairs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different word pairs of every text, 32 bits each and sorted, and their offsets."""
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
+    both = np.unique((row << np.uint64(32)) | (pairs >> np.uint64(32)))
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.searchsorted(both >> np.uint64(32), np.arange(len(offsets)))
+
+
+def shares(a: np.ndarray, of_a: np.ndarray, b: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+    """Jaccard shares of two columns of sets; 0 where both are empty."""
+    n = len(of_a) - 1
+    keyed = [(np.repeat(np.arange(n, dtype=np.uint64), np.diff(o)) << np.uint64(32)) | s for s, o in ((a, of_a), (b, of_b))]
+    every = np.sort(np.concatenate(keyed), kind="stable")
+    common = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
+    return common / np.maximum(np.diff(of_a) + np.diff(of_b) - common, 1)
+
+
 def jaccard(texts_a: pa.Array, texts_b: pa.Array, words: Words) -> np.ndarray:
     """Share of common word pairs of two columns of texts; 0 where both have none."""
-    n = len(texts_a)
-    both, row = [], []
-    for texts in (texts_a, texts_b):
-        pairs, offsets, _ = words.pairs(texts)
-        at = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-        order = np.lexsort((pairs, at))
-        pairs, at = pairs[order], at[order]
-        first = np.ones(len(pairs), bool)
-        first[1:] = (pairs[1:] != pairs[:-1]) | (at[1:] != at[:-1])
-        both.append(pairs[first])
-        row.append(at[first])
-    pairs, at = np.concatenate(both), np.concatenate(row)
-    order = np.lexsort((pairs, at))
-    pairs, at = pairs[order], at[order]
-    twice = (pairs[1:] == pairs[:-1]) & (at[1:] == at[:-1])
-    common = np.bincount(at[1:][twice], minlength=n) if len(at) else np.zeros(n)
-    union = np.bincount(at, minlength=n) - common
-    return common / np.maximum(union, 1)
+    return shares(*gram_sets(*words.pairs(texts_a)[:2]), *gram_sets(*words.pairs(texts_b)[:2]))
+
+
+def pairs_of(pairs: np.ndarray, offsets: np.ndarray, keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word pairs, offsets and keys of the wanted rows."""
+    length = np.diff(offsets)
+    return pairs[np.repeat(wanted, length)], np.concatenate([[0], np.cumsum(length[wanted])]), keys[wanted]
+
+
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a binary column and their offsets."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint32) if data is not None and len(column) else np.empty(0, np.uint32)
+    return flat, (ends - ends[0]) // 4
 
 
 def class_links(records: DataFrame, key: str, text: str, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -562,22 +587,22 @@ def class_links(records: DataFrame, key: str, text: str, threshold: float = THRE
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            _, _, keys = words.pairs(batch.column(1))
-            address = keys & _ADDRESS
-            place = _place(address, bits)
+            pairs, offsets, keys = words.pairs(batch.column(1))
+            place = _place(keys & _ADDRESS, bits)
             wanted = ((sent.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1) & (keys != 0)
-            out = pa.RecordBatch.from_arrays([pa.array(address.view(np.int64)), pa.array(keys.view(np.int64)), batch.column(1)], names=["address", "class_id", "text"])
-            yield out.filter(pa.array(wanted))
+            pairs, offsets, keys = pairs_of(pairs, offsets, keys, wanted)
+            sets, ends = gram_sets(pairs, offsets)
+            grams = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((4 * ends).astype(np.int32).tobytes()), pa.py_buffer(sets.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array((keys & _ADDRESS).view(np.int64)), pa.array(keys.view(np.int64)), grams], names=["address", "class_id", "grams"])
 
     # One shuffle of the texts that occur in a candidate; both sides of the pair join reuse it.
-    texts = base.mapInArrow(look, "address long, class_id long, text string").repartition(wide, "address").groupBy("address", "class_id").agg(F.min("text").alias("text"))
-    side = {s: texts.select(F.col("address").alias(s), F.col("class_id").alias(f"class_{s}"), F.col("text").alias(f"text_{s}")) for s in "ab"}
-    both = pairs.join(side["a"], "a").join(side["b"], "b").select("class_a", "class_b", "text_a", "text_b")
+    texts = base.mapInArrow(look, "address long, class_id long, grams binary").repartition(wide, "address").dropDuplicates(["address", "class_id"])
+    side = {s: texts.select(F.col("address").alias(s), F.col("class_id").alias(f"class_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab"}
+    both = pairs.join(side["a"], "a").join(side["b"], "b").select("class_a", "class_b", "grams_a", "grams_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            share = jaccard(batch.column(2), batch.column(3), words)
+            share = shares(*_sets(batch.column(2)), *_sets(batch.column(3)))
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out = pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(share)], names=["class_a", "class_b", "share"])
             yield out.filter(pa.array((share >= threshold) & (a != b)))

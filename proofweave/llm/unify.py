@@ -1,14 +1,17 @@
 """One form for text that looks the same.
 
-A quick check on the JVM side isolates the texts that hold any character outside the ranges known to be
-stable; all others pass unchanged and never leave the JVM. In a flagged text only the unstable segments
-(the words or single characters around such a character, so that a mark always has its base and a
-look-alike letter its word) are normalised and spliced back into the unchanged rest.
+A quick check on the JVM side isolates the texts that hold any unstable character; all others pass unchanged
+and never leave the JVM. Whether a character is stable is derived from the form itself (:func:`stable`): its
+normalization quick-check property is Yes (it neither decomposes nor composes with what stands before it),
+it is no mark, no step of the form rewrites it and it cannot become part of a mixed word. In a flagged text
+only the unstable segments (the words or single characters around such a character, so that a mark always
+has its base and a look-alike letter its word) are normalised and spliced back into the unchanged rest.
 
 The form: full-width forms become ASCII; ligature and other compatibility letters of the Latin block are
 taken apart; marks are composed with their base (NFC); invisible characters vanish; every space separator
-becomes U+0020; Cyrillic or Greek letters that look Latin become Latin inside words that also hold Latin
-letters. Words wholly in another script, accents composed in one character and line breaks stay.
+becomes U+0020; Cyrillic or Greek letters that look Latin, with or without accents, become Latin inside words
+that also hold Latin letters. Words wholly in another script, accents composed in one character and line
+breaks stay. The form is idempotent, and invisible characters put into a text at any place do not change it.
 
 Null stays null, an empty text stays empty; texts of any length are handled whole.
 """
@@ -36,19 +39,56 @@ TWINS = {
 # Characters that take no room.
 INVISIBLE = "\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u3164\ufeff\uffa0"
 
-#: Java pattern: any character outside what is stable under this form, which is ASCII, Latin letters and
-#: signs up to U+02FF, general punctuation from U+2010 to U+2027 and currency signs.
-UNSTABLE_JAVA = r"[^\x{0}-\x{7F}\x{A1}-\x{AC}\x{AE}-\x{2FF}\x{2010}-\x{2027}\x{20A0}-\x{20BF}]"
+# Compatibility letters that are taken apart.
+COMPATIBLE = "\uff01-\uff5e\ufb00-\ufb06\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3"
 
 #: Kinds that make a text a case; ``other`` marks changes beyond them.
 KINDS = ("fullwidth", "mark", "invisible", "space", "mixed")
 
 
+@lru_cache(maxsize=1)
+def stable() -> bytes:
+    """Of every character of the basic plane, 1 if the form never changes it nor anything beside it.
+
+    Characters beyond the plane all count as unstable, which costs time and changes nothing.
+    """
+    changed = regex.compile(rf"[{INVISIBLE}{COMPATIBLE}\p{{M}}\p{{Greek}}\p{{Cyrillic}}\p{{Cs}}]|(?! )\p{{Zs}}")
+    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))  # jamo that compose by rule
+    out = bytearray(unicodedata.is_normalized("NFC", chr(code)) for code in range(1 << 16))
+    for m in changed.finditer("".join(map(chr, range(1 << 16)))):
+        out[m.start()] = 0
+    for code in range(0xC0, 1 << 16):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            seconds.add(int(parts[1], 16))
+    for code in seconds:
+        if code < len(out):
+            out[code] = 0
+    return bytes(out)
+
+
+@lru_cache(maxsize=1)
+def _stable_ranges() -> list[tuple[int, int]]:
+    table, out, first = stable() + b"\0", [], None
+    for code, is_stable in enumerate(table):
+        if is_stable and first is None:
+            first = code
+        elif not is_stable and first is not None:
+            out.append((first, code - 1))
+            first = None
+    return out
+
+
+@lru_cache(maxsize=1)
+def unstable_java() -> str:
+    """Java pattern of any unstable character."""
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _stable_ranges()) + "]"
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> dict:
-    unstable = r"[^\x00-\x7f\xa1-\xac\xae-\u02ff\u2010-\u2027\u20a0-\u20bf]"
     return {
-        "unstable": regex.compile(unstable),
+        "unstable": regex.compile("[^" + "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in _stable_ranges()) + "]"),
         "fullwidth": regex.compile(r"[\uff01-\uff5e]"),
         "mark": regex.compile(r"\p{M}"),
         "invisible": regex.compile(rf"[{INVISIBLE}]"),
@@ -56,16 +96,22 @@ def _patterns() -> dict:
         "word": regex.compile(r"[\p{L}\p{N}\p{M}]+"),
         "latin": regex.compile(r"\p{Latin}"),
         "foreign": regex.compile(r"[\p{Greek}\p{Cyrillic}]"),
-        "twin": regex.compile("[" + "".join(TWINS) + "]"),
-        "compat": regex.compile(r"[\uff01-\uff5e\ufb00-\ufb06\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3]+"),
+        "compat": regex.compile(rf"[{COMPATIBLE}]+"),
     }
 
 
+@lru_cache(maxsize=1 << 12)
+def _latin(char: str) -> str:
+    """The Latin twin of a letter with its accents, or the letter itself."""
+    base, *marks = unicodedata.normalize("NFD", char)
+    return unicodedata.normalize("NFC", TWINS[base] + "".join(marks)) if base in TWINS else char
+
+
 def _fold_word(match) -> str:
     p = _patterns()
     word = match.group(0)
     if p["foreign"].search(word) and p["latin"].search(word):
-        return p["twin"].sub(lambda m: TWINS[m.group(0)], word)
+        return p["foreign"].sub(lambda m: _latin(m.group(0)), word)
     return word
 
 
@@ -129,8 +175,8 @@ def unify_text(text: str | None) -> tuple[str | None, list[str]]:
         last = end
     pieces.append(text[last:])
     out = "".join(pieces)
-    # Two stable neighbours can meet when an invisible character between them vanishes.
-    if out != text and not unicodedata.is_normalized("NFC", out):
+    # Neighbours can meet when an invisible character between them vanishes or a letter becomes Latin.
+    if not unicodedata.is_normalized("NFC", out):
         out = unicodedata.normalize("NFC", out)
     if not kinds and out != text:
         kinds.add("other")
@@ -148,7 +194,7 @@ def _unify(texts: pd.Series) -> pd.DataFrame:
 
 def unstable(text: Column) -> Column:
     """The quick check: whether the text must be looked at; false for null."""
-    return F.coalesce(text.rlike(UNSTABLE_JAVA), F.lit(False))
+    return F.coalesce(text.rlike(unstable_java()), F.lit(False))
 
 
 def unified(rows: DataFrame, text: str, out: str = "unified", kinds: str = "kinds") -> DataFrame:

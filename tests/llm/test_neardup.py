@@ -78,9 +78,11 @@ def test_packed_bytes():
 
     values = np.asarray([0, 1, (1 << 40) - 1, 123456789], np.uint64)
     assert list(N._unpack(N._pack(values, 5))) == list(values)
-    a = np.asarray([[1, 5], [2, 6]] * (N.CHECKED // 2), np.uint32)
-    packed = N._two_bits(a)
-    assert N._agreeing(packed[:1], packed[:1])[0] == N.CHECKED
+    slots = np.asarray([[k * 977, k * 977 + 1 + k % 2] for k in range(N.CHECKED)], np.uint32)
+    packed = N._bits(slots)
+    one = [[int(x) * 0x9E3779B1 % (1 << 32) >> 31 for x in column] for column in slots.T]
+    assert [int(p) for p in packed] == [sum(bit << k for k, bit in enumerate(bits)) for bits in one]
+    assert N._distance(packed[:1], packed[:1])[0] == 0 and N._distance(packed[:1], packed[1:])[0] == sum(a != b for a, b in zip(*one, strict=True)) > 0
 
 
 def test_family_of_a_third_of_all_rows_is_whole(spark):
