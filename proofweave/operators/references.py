@@ -2,8 +2,9 @@
 
 The operator keeps *signed counts per key* from change deltas. A record adds ``+1`` existence when it is
 loaded and ``-1`` when it is withdrawn; a referring row adds ``+1`` reference when it is loaded. Keys with
-positive references and no existence are the current orphans (:func:`orphan_state`). For the row-level
-report (:func:`orphan_rows`) the existence count is read as of the referring row's own load time.
+positive references and no existence are the current orphans (:func:`orphan_state`). The row-level report
+(:func:`orphan_rows`) takes from the same counts the keys that can have been referenced without existing, and
+only for their references reads the existence count as of the referring row's own load time.
 
 Defined results for odd input: a null or blank reference is no reference; references are compared
 trimmed and upper-cased; repeated deliveries of a row count once, at the earliest load time; an array that
@@ -20,11 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofweave.operators import skew
+from proofweave.session import materialize
 
-#: Rows from which a referenced key is salted.
+#: References from which a key is salted, and references of a piece.
 HOT_ROWS = 20_000
-#: Pieces of a hot key.
-PIECES = 64
 
 _LOG = ("tbl", "field", "kind", "row_id", "ref", "loaded_at")
 
@@ -105,27 +105,36 @@ def orphan_state(counts: DataFrame) -> DataFrame:
     return counts.where((F.col("refs") > 0) & (F.col("existing") <= 0))
 
 
-def orphan_rows(log: DataFrame, existence: DataFrame, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
-    """Every orphan reference: ``tbl, field, row_id, ref, period, reason``.
+def suspects(log: DataFrame, existence: DataFrame) -> DataFrame:
+    """Keys that can have been referenced while they did not exist: ``kind, ref, refs, changes``.
 
-    References are shuffled once, by key and salt: repeated deliveries are folded and the key's existence
-    changes are joined under the same partitioning. Keys with more than ``hot_rows`` references are spread
-    over ``pieces`` partitions, for which their one existence row is repeated.
+    These are the keys with references whose existence count is not positive, and those referenced before their
+    first existence; ``changes`` are the key's existence deltas in order. References are counted as delivered.
     """
-    hot = skew.hot_keys(log, "ref", hot_rows)
-    per_key = existence.groupBy("kind", "key").agg(F.sort_array(F.collect_list(F.struct("ts", "delta"))).alias("changes"))
-    right = per_key.select("kind", F.col("key").alias("ref"), "changes", F.explode(skew.salts(F.col("key"), hot, pieces)).alias("salt"))
-    left = (
-        log.withColumn("salt", skew.salt(F.col("ref"), hot, F.col("row_id"), pieces))
-        .repartition("kind", "ref", "salt")
-        .groupBy("kind", "ref", "salt", "tbl", "field", "row_id")
-        .agg(F.min("loaded_at").alias("w"))
+    refs = log.groupBy("kind", "ref").agg(F.count(F.lit(1)).alias("refs"), F.min("loaded_at").alias("first_ref"))
+    per_key = existence.groupBy("kind", F.col("key").alias("ref")).agg(
+        F.sum("delta").alias("existing"), F.min(F.when(F.col("delta") > 0, F.col("ts"))).alias("born"), F.sort_array(F.collect_list(F.struct("ts", "delta"))).alias("changes")
     )
-    joined = left.join(right, ["kind", "ref", "salt"], "left")
+    doubtful = (F.coalesce("existing", F.lit(0)) <= 0) | (F.col("born") > F.col("first_ref"))
+    return refs.join(per_key, ["kind", "ref"], "left").where(doubtful).select("kind", "ref", "refs", "changes")
+
+
+def orphan_rows(log: DataFrame, existence: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every orphan reference: ``tbl, field, row_id, ref, period, reason``.
+
+    The signed counts name the suspect keys; only their references are joined with the existence deltas, and
+    repeated deliveries are folded after that. Keys with more than ``hot_rows`` references are spread over
+    pieces in proportion to their exact count, for which their one row of deltas is repeated.
+    """
+    keys = materialize(suspects(log, existence), "suspects")
+    hot = skew.hot_keys(keys, ["kind", "ref"], hot_rows, "refs")
+    right = skew.repeated(keys.select("kind", "ref", "changes"), hot, ["kind", "ref"])
+    left = skew.salted(log, hot, ["kind", "ref"], F.col("row_id"))
+    held = left.join(right, ["kind", "ref", "salt"]).groupBy("kind", "ref", "tbl", "field", "row_id").agg(F.min("loaded_at").alias("w"), F.first("changes").alias("changes"))
     changes = F.col("changes")
     as_of = F.aggregate(F.filter(changes, lambda c: c["ts"] <= F.col("w")), F.lit(0), lambda total, c: total + c["delta"])
     reason = F.when(changes.isNull(), "missing").when(changes[0]["ts"] > F.col("w"), "late").when(as_of <= 0, "deleted")
-    return joined.select("tbl", "field", "row_id", "ref", F.date_format("w", "yyyy-MM").alias("period"), reason.alias("reason")).where(F.col("reason").isNotNull())
+    return held.select("tbl", "field", "row_id", "ref", F.date_format("w", "yyyy-MM").alias("period"), reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

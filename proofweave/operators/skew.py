@@ -7,35 +7,29 @@ from pyspark.sql import functions as F
 
 from proofweave.session import materialize
 
-#: Most keys that are ever treated as hot, so the list is bounded whatever the data holds.
-MOST_HOT = 256
 
 
-def hot_keys(rows: DataFrame, key: str, at_least: int, most: int = MOST_HOT) -> list:
-    """Keys with more than ``at_least`` rows, at most ``most`` of them, largest first.
+def hot_keys(counts: DataFrame, keys: list[str], at_least: int, n: str = "n") -> DataFrame:
+    """``keys, pieces`` of every key with more than ``at_least`` rows: one piece for every ``at_least`` of them.
 
-    Counts are exact and pre-aggregated before the shuffle; only ``most`` keys reach the driver. A hot
-    key beyond that bound is merely not salted: results never depend on this list.
+    ``counts`` holds exact counts, aggregated map-side before their shuffle. The result is written to the
+    shared folder, so that Spark knows its size: joins with it are broadcast while it is small and shuffled
+    beyond. It has at most one row for every ``at_least`` rows counted, and no other bound.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.where(F.col("n") > at_least).orderBy(F.desc("n"), key).limit(most)
-    return [r[0] for r in top.select(key).collect()]
+    hot = counts.where(F.col(n) > at_least).select(*keys, F.ceil(F.col(n) / max(at_least, 1)).cast("int").alias("pieces"))
+    return materialize(hot, "hot")
 
 
-def is_hot(key: Column, keys: list) -> Column:
-    """Whether ``key`` is one of ``keys``; false for null."""
-    return F.coalesce(key.isin(keys), F.lit(False)) if keys else F.lit(False)
+def salted(rows: DataFrame, hot: DataFrame, keys: list[str], spread: Column, name: str = "salt") -> DataFrame:
+    """``rows`` with ``name``: 0 for ordinary keys, a piece chosen by ``spread`` for hot ones."""
+    piece = F.pmod(F.xxhash64(spread), F.coalesce("pieces", F.lit(1))).cast("int")
+    return rows.join(hot, keys, "left").withColumn(name, piece).drop("pieces")
 
 
-def salt(key: Column, keys: list, spread: Column, pieces: int) -> Column:
-    """0 for ordinary keys, a piece from ``spread`` for hot ones."""
-    return F.when(is_hot(key, keys), F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int")).otherwise(F.lit(0))
-
-
-def salts(key: Column, keys: list, pieces: int) -> Column:
-    """The array of salts under which the other side of a join must hold ``key``."""
-    every = F.sequence(F.lit(0), F.lit(pieces - 1))
-    return F.when(is_hot(key, keys), every).otherwise(F.array(F.lit(0)))
+def repeated(rows: DataFrame, hot: DataFrame, keys: list[str], name: str = "salt") -> DataFrame:
+    """The other side of a join with :func:`salted` rows: a row for every piece of its key."""
+    every = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
+    return rows.join(hot, keys, "left").withColumn(name, F.explode(every)).drop("pieces")
 
 
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
