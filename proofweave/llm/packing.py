@@ -8,6 +8,10 @@ first, into the fullest container that still takes them. All of it works on runs
 containers. In Spark every item is numbered within its size and takes the container of its number: a join
 with the plan, without any group of unbounded size.
 
+How good the plan is: rounding up costs at most the containers of one group, a :data:`GROUPS`-th of the large
+items, over the linear relaxation of the large items, before the substitution gives most of it back; small
+items waste at most :data:`LARGE` of each container while any are left.
+
 Defined results: an item larger than the capacity is divided into full containers and a rest, and only such
 an item is; an item of size 0 (null or empty text) takes no room and is put into container 0; repeated rows
 are items of their own; ties are numbered by key. An empty table gives no rows.
@@ -27,9 +31,9 @@ CAPACITY = 2_048
 #: Share of the capacity above which a size is large.
 LARGE = 0.125
 #: Groups of large sizes.
-GROUPS = 32
-#: Shards in which the items of one size are numbered.
-SHARDS = 64
+GROUPS = 64
+#: Items of one size that are numbered in one shard.
+SHARD_ROWS = 100_000
 
 
 def solve_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -203,20 +207,20 @@ def pieces(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
     return parts.select(key, "part_no", start.alias("start_token"), F.least(F.col("__n") - start, F.lit(capacity)).cast("int").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, shards: int = SHARDS) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``key, part_no, start_token, n_tokens, container_id`` for items ``key, size``."""
     items = materialize(pieces(sizes, key, size, capacity), "items")
-    # Number the items of every size: within a shard by a window, across shards by the shards' counts. A size
-    # that a third of all items share is spread over all shards.
-    items = items.withColumn("shard", F.pmod(F.xxhash64(key, "part_no"), F.lit(shards)).cast("int"))
-    counts = items.groupBy("n_tokens", "shard").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.collect()  # at most (capacity + 1) * shards rows
-    histogram: dict[int, int] = {}
-    first: list[tuple[int, int, int]] = []
-    for r in sorted(rows):
-        first.append((r["n_tokens"], r["shard"], histogram.get(r["n_tokens"], 0)))
-        histogram[r["n_tokens"]] = histogram.get(r["n_tokens"], 0) + r["n"]
+    # Number the items of every size: within a shard by a window, across shards by the shards' counts. A size has
+    # as many shards as its exact count asks for.
+    histogram = {r["n_tokens"]: r["n"] for r in items.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
     spark = sizes.sparkSession
+    width = spark.createDataFrame([(s, -(-n // shard_rows)) for s, n in sorted(histogram.items())] or [(0, 1)], "n_tokens int, shards int")
+    items = items.join(F.broadcast(width), "n_tokens").withColumn("shard", F.pmod(F.xxhash64(key, "part_no"), F.col("shards")).cast("int")).drop("shards")
+    first: list[tuple[int, int, int]] = []
+    seen: dict[int, int] = {}
+    for r in sorted(items.groupBy("n_tokens", "shard").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row per shard_rows items
+        first.append((r["n_tokens"], r["shard"], seen.get(r["n_tokens"], 0)))
+        seen[r["n_tokens"]] = seen.get(r["n_tokens"], 0) + r["n"]
     before = spark.createDataFrame(first or [(0, 0, 0)], "n_tokens int, shard int, before long")
     plan = spark.createDataFrame(make_plan(histogram, capacity) or [(0, 0, 0, 0)], "size int, lo long, hi long, container long")
     within = Window.partitionBy("n_tokens", "shard").orderBy(key, "part_no")

@@ -48,7 +48,7 @@ def test_small_cases_are_optimal_or_close(seed):
 def test_rows(spark):
     sizes = [(i, n) for i, n in enumerate([None, 0, 5, 100, 101, 250, 60, 40, 40, 60])] + [(3, 100)]
     df = spark.createDataFrame(sizes, "doc_id long, n_tokens long").selectExpr("*", "7 as shard", "'x' as number", "1 as part_no")
-    got = P.pack(df, capacity=100, shards=3).collect()
+    got = P.pack(df, capacity=100, shard_rows=2).collect()
     per_doc, per_container = Counter(), Counter()
     for r in got:
         per_doc[r["doc_id"]] += r["n_tokens"]
@@ -57,7 +57,7 @@ def test_rows(spark):
     assert max(per_container.values()) <= 100
     assert {r["doc_id"] for r in got if r["part_no"] > 0} == {4, 5}
     assert sorted(r["start_token"] for r in got if r["doc_id"] == 5) == [0, 100, 200]
-    assert P.fill(P.pack(df, capacity=100, shards=3), 100).first()["containers"] == 8
+    assert P.fill(P.pack(df, capacity=100, shard_rows=2), 100).first()["containers"] == 8
     assert P.pack(df.limit(0), capacity=100).count() == 0
 
 

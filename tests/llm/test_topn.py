@@ -34,3 +34,9 @@ def test_as_brute_force(spark, hot_rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, i string, s double")
     assert topn.top_n(df, "g", "i", "s").count() == 0
+
+
+def test_many_heavy_groups(spark):
+    cells = [(f"g{k % 300:03}", f"e{k // 300:02}", (k * 7 % 13) / 13) for k in range(300 * 12)]
+    df = spark.createDataFrame(cells, "g string, i string, s double")
+    assert rows(topn.top_n(df, "g", "i", "s", 5, hot_rows=5), "grp", "rank_no", "item") == rows(topn.top_n(df, "g", "i", "s", 5), "grp", "rank_no", "item") == brute(cells, 5)
