@@ -33,7 +33,7 @@ def test_found(docs):
 
 
 def test_unseen_hosts(docs):
-    for name, n_train, n_valid, hit, wrong, missed in R.train(docs)[2]:
+    for name, n_train, n_valid, hit, wrong, missed in R.train(docs)[1]:
         assert n_train > n_valid > 0, name
         assert hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + wrong)
 
@@ -49,3 +49,32 @@ def test_empty(docs):
 )
 def test_weak_labels(text, want):
     assert R.weak_page(text) == want
+
+
+def test_hand_labelled(spark):
+    """The models alone, trained on the documents of the test data, against labels that no rule gave."""
+    import os
+
+    import pyarrow as pa
+
+    from tests.llm.residue_cases import CASES, SLOTS
+
+    folder = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("needs the test data")
+    models, report = R.train(spark.read.parquet(folder))
+    for name, _, n_valid, hit, wrong, missed in report:
+        assert n_valid > 50 and hit >= 0.95 * (hit + missed) and hit >= 0.95 * (hit + wrong), name
+    for cases, which, precise in ((CASES, 1, 0.9), (SLOTS, 0, 0.8)):
+        got = R.found(pa.array([t for _, t in cases]), models, R.Words())[which]
+        hits = sum(bool(g) and y for (y, _), g in zip(cases, got, strict=True))
+        assert hits >= 0.9 * sum(y for y, _ in cases) and hits >= precise * sum(map(bool, got)), [(y, t) for (y, t), g in zip(cases, got, strict=True) if bool(g) != bool(y)]
+
+
+def test_long_and_broken_slots(spark, docs):
+    models, _ = R.train(docs)
+    import pyarrow as pa
+
+    long = SOUND + "I was told by {{" + "the full name of the claimant as it stands in the register " * 4 + "}} that the works were late. " + account(2)
+    open_slot, page = R.found(pa.array([long, None, "", " \n", SOUND * 300]), models, R.Words())
+    assert list(open_slot) == [True, False, False, False, False] and not page.any()
