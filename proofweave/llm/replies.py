@@ -6,9 +6,10 @@ A pair gets at most one defect, the first that holds of: ``empty``, ``copied``,
 * ``empty``: null, blank, nothing but marks, or a word for "nothing".
 * ``copied``: greedy string tiling covers the question with tiles of the reply, and outside the tiles the
   reply holds at most a short introduction before the first tile.
-* ``refusal``: a refusal grammar in five languages matches the opening of the reply outside quotations.
-* ``truncated``: a pushdown parser over fences, brackets, quotations, emphasis, lists, tables and sentences
-  ends inside a construct.
+* ``refusal``: a refusal grammar matches a sentence of the reply outside quotations, and nothing outside such
+  sentences answers the question.
+* ``truncated``: a pushdown parser over fences, code, brackets, quotations, emphasis, tags, tables, lists and
+  sentences ends inside a construct. A closer only closes the construct on top of the stack.
 * ``language``: script and function-word checks find the reply outside quotations in another language
   than the question.
 
@@ -35,13 +36,26 @@ NOTHING = frozenset(
 
 # Frequent function words of the languages told apart.
 FUNCTION_WORDS = {
-    "en": "the of and to in that was is by for on with which as at from not it be had has were been who what when how did does about say are any there why would an this or his her their no under after before because",
-    "fr": "le la les de des du un une et est que qui dans pour par sur avec pas ne au aux ce cette son sa ses en il elle quel quelle quelles quels dit était sont avant après sans jamais fois malgré lors comme avait devait peut nous vous l d n qu s c preuves concernent",
+    "en": "the of and to in that was is by for on with which as at from not it be had has have were been who what when how did does about say are any there why would an this or his her their no under after before because",
+    "fr": "le la les de des du un une et est que qui dans pour par sur avec pas ne au aux ce cette son sa ses en il elle quel quelle quelles quels dit était sont avant après sans jamais fois malgré lors comme avait devait peut nous vous l d n qu s c",
     "de": "der die das den dem des ein eine einen einem einer und ist war wer wie was welche welcher nicht mit für von zu im am auf bei nach vor aus über durch ohne wegen hat hatte wurde sich als auch trotz sagt zum zur während in an so",
-    "es": "el la los las de del un una y es que en por para con no se al su sus lo como quién qué cuándo era fue había debía antes después sin tras durante dice sobre pruebas más nunca dos veces pero esta este",
-    "it": "il lo la i gli le di del della dei delle dello un una e è che in per con non si al alla ai nel nella sul su come chi cosa era aveva doveva prima dopo senza mai durante quali dicono gli ha da dal sono più questa questo l d dell all nell prove riguardano",
+    "es": "el la los las de del un una y es que en por para con no se al su sus lo como quién qué cuándo era fue había debía antes después sin tras durante dice sobre más nunca pero esta este",
+    "it": "il lo la i gli le di del della dei delle dello un una e è che in per con non si al alla ai nel nella sul su come chi cosa era aveva doveva prima dopo senza mai durante quali ha da dal sono più questa questo l d dell all nell",
+    "nl": "de het een en van in is dat niet op te met voor zijn er aan door ook als bij naar uit maar dan was werd heeft had hebben worden deze dit die om over tot nog wel geen wat wie waar tegen onder tussen zonder tijdens volgens omdat",
+    "pt": "o a os as um uma e é de do da dos das em no na nos nas que não com por para se mais como mas foi ele ela ao à pelo pela são já também até isso antes depois sem durante porque foram estava seu sua",
+    "pl": "i w z na do nie się jest że o to od za po jak przez dla był była było były są nad pod bez przed ale lub oraz który która które tego tym jego jej ich już przy tylko ten ta",
+    "sv": "och att det i en ett som är av för på med inte den de till var har han hon om men från vid när efter före utan eller hade blev under mot mellan också",
+    "da": "og at det i en et som er af for på med ikke den de til var har han hun om men fra ved når efter før uden eller havde blev under mod mellem også",
+    "cs": "a v z na do se je že o to od za po jak pro byl byla bylo byly jsou nad pod bez před ale nebo který která které toho tím jeho její jejich už při jen ten ta není",
+    "ro": "și în de la cu pe pentru că nu este a fost din mai sau dar care ce sunt prin după înainte fără acest această lui ei un o al ale",
+    "hu": "a az és hogy nem is volt egy van meg csak de mint már vagy ki mi el azt ez ezt amely után előtt nélkül során miatt",
+    "fi": "ja on ei se että oli hän mutta tai kun jos niin kuin myös ovat joka mikä sen siitä ennen jälkeen ilman aikana vuoksi",
+    "tr": "ve bir bu da de için ile olarak daha çok ama gibi kadar sonra önce değil var yok olan olduğu tarafından ancak veya",
 }
-_LANGUAGES = {name: frozenset(words.split()) for name, words in FUNCTION_WORDS.items()}
+_EVERY_WORD = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+#: The first five are told apart by all their words, the others only by words that none of the five has.
+_FIRST = frozenset(w for name in ("en", "fr", "de", "es", "it") for w in FUNCTION_WORDS[name].split())
+_LANGUAGES = {name: frozenset(words.split()) - (_FIRST if name not in ("en", "fr", "de", "es", "it") else frozenset()) for name, words in FUNCTION_WORDS.items()}
 
 # Endings after which a text goes on.
 OPEN_ENDS = frozenset(
@@ -55,7 +69,13 @@ _TERMINAL = re.compile(r"[.!?…。！？؟][\"'”’»)\]*_`]*$")
 _CITED = re.compile(r"\[[^\[\]\n]+\][\"'”’»)*_`]*$")
 _LIST_ITEM = re.compile(r"^\s*(?:[-*+•–]|\d{1,3}[.)]|[a-z]\))\s+\S")
 _DANGLING = re.compile(r"^\s*(?:[-*+•–]|\d{1,3}[.)]|[a-z]\)|#{1,6}|>)\s*$")
-_OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "‹": "›"}
+# Brackets and quotations, opener and closers.
+_OPENERS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "‹": "›", "„": "“”"}
+# Names of tags, those without content, and those whose end may be left out.
+_TAGS = frozenset("a b i u s em strong code pre p div span ul ol li table thead tbody tr td th blockquote sup sub h1 h2 h3 h4 h5 h6 details summary dl dt dd br hr img input small mark del ins".split())
+_VOID = frozenset("br hr img input".split())
+_OPTIONAL = frozenset("p li td th tr dt dd thead tbody".split())
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*?(/?)>")
 
 
 def words(text: str) -> list[str]:
@@ -79,7 +99,7 @@ def tiles(pattern: list[str], text: list[str], shortest: int) -> tuple[list[bool
     places: dict[str, list[int]] = {}
     for i, w in enumerate(pattern):
         places.setdefault(w, []).append(i)
-    while True:
+    while True:  # a round for every length of tile
         best, found = shortest - 1, []
         for j, w in enumerate(text):
             if used[j]:
@@ -105,14 +125,15 @@ def is_copied(question: str | None, reply: str) -> bool:
     if not question:
         return False
     q, r = words(question), words(reply)
-    if not q or not r or len(r) > 3 * len(q) + 8 or len(r) < 0.8 * len(q):
+    known = set(q)
+    if not q or len(r) < 0.8 * len(q) or sum(w in known for w in r) < 0.6 * len(r) - 6:
         return False
     covered, used = tiles(q, r, min(3, len(q)))
     if sum(covered) < 0.85 * len(q) or not any(used):
         return False
     first, last = used.index(True), len(used) - 1 - used[::-1].index(True)
-    inside = sum(not u for u in used[first : last + 1])
-    return first <= 6 and last == len(used) - 1 and inside <= 0.15 * len(q) + (sum(used) > 1.5 * len(q)) * 4
+    inside, copies = sum(not u for u in used[first : last + 1]), max(round(sum(used) / len(q)), 1)
+    return first <= 6 and last == len(used) - 1 and inside <= 0.15 * len(q) * copies + 4 * (copies - 1)
 
 
 def outside_quotes(text: str) -> str:
@@ -140,6 +161,10 @@ _REFUSALS = {
         | \bno\s+me\s+(?:es|está|resulta)\s+(?:posible|permitido) | \bno\s+estoy\s+(?:autorizad|en\s+condiciones|en\s+posición|capacitad|facultad) | \b(?:debo|tengo\s+que)\s+(?:declinar|rechazar|negarme) | \bmis\s+(?:normas|directrices|reglas|instrucciones)\b""",
     "it": r"""
         \b(?:mi\s+dispiace|mi\s+rincresce|spiacente|sono\s+spiacente|purtroppo)\b | \bnon\s+(?:posso|possiamo)\b | \bnon\s+mi\s+è\s+(?:possibile|consentito|permesso) | \bnon\s+sono\s+(?:autorizzat|in\s+grado|nella\s+posizione|abilitat) | \b(?:devo|debbo)\s+(?:rifiutare|declinare) | \ble\s+mie\s+(?:regole|linee|istruzioni)\b""",
+    "nl": r"""\b(?:het\s+)?spijt\s+me\b | \bik\s+(?:kan|mag|wil|zal)\b[^.]{0,60}\b(?:niet|geen)\b | \b(?:kan|mag)\s+ik\b[^.]{0,60}\b(?:niet|geen)\b | \bhelaas\b[^.]{0,60}\b(?:niet|geen)\b""",
+    "pt": r"""\blamento\b | \binfelizmente\b[^.]*\bnão\b | ^\W*(?:desculpe|sinto\s+muito)\b | \bnão\s+(?:posso|podemos|me\s+é\s+(?:possível|permitido)|estou\s+(?:autorizad|em\s+condições))""",
+    "pl": r"""\bprzykro\s+mi\b | \bprzepraszam\b | \bniestety\b[^.]*\bnie\b | \bnie\s+(?:mogę|możemy|wolno\s+mi|jestem\s+w\s+stanie)\b""",
+    "sv": r"""\b(?:tyvärr|beklagar|ledsen)\b[^.]*\b(?:inte|ingen|inga)\b | \bjag\s+(?:kan|får|vill)\s+(?:tyvärr\s+)?inte\b""",
 }
 
 
@@ -148,42 +173,107 @@ def _refusal_patterns() -> dict:
     return {name: re.compile(p, re.I | re.X) for name, p in _REFUSALS.items()}
 
 
-def is_refusal(reply: str) -> bool:
-    """Whether the reply, outside quotations, declines to answer. A reply that goes on to answer, by
-    references or at length, is none."""
+# Words by which a sentence speaks to the asker or of the one who answers.
+_ADDRESS = frozenset("i i'm i'll me my we our you your please je j me moi mes mon ma vous votre vos ich mir mich mein meine sie ihre ihnen yo me mi mis usted su io mi mio mie miei lei ik mijn u uw eu meu minha jag min ja mnie moje".split())
+
+
+def _answers(sentence: str, asked: set[str]) -> bool:
+    """Whether a sentence tells something on the matter: a reference, or words of the question that it does not
+    merely address to the asker."""
+    if re.search(r"\[[A-Z]{1,3}\d+\]", sentence):
+        return True
+    found = set(words(sentence))
+    return not found & _ADDRESS and bool(found & asked)
+
+
+def is_refusal(reply: str, question: str | None = None) -> bool:
+    """Whether the reply, outside quotations, declines to answer: some sentence refuses and, outside the sentences
+    that do, nothing answers the question."""
     plain = outside_quotes(reply).replace("’", "'").strip()
-    if len(words(plain)) > 60 or re.search(r"\[[A-Z]{1,3}\d+\]", plain):
+    sentences = [x for x in re.split(r"(?<=[.!?])\s+|\n+", plain) if words(x)]
+    refusing = [any(p.search(x) for p in _refusal_patterns().values()) for x in sentences]
+    if not any(refusing) or re.search(r"\[[A-Z]{1,3}\d+\]", plain):
         return False
-    opening = re.split(r"(?<=[.!?])\s+", plain)[:2]
-    return any(p.search(s) for p in _refusal_patterns().values() for s in opening)
+    asked = {w for w in words(question or "") if len(w) > 3 and w not in _EVERY_WORD}
+    told = [x for x, r in zip(sentences, refusing, strict=True) if not r and _answers(x, asked)]
+    if any(refusing[:2]):
+        # What opens as a refusal stays one unless most of it goes on to answer.
+        return sum(len(words(x)) for x in told) <= 0.5 * len(words(plain))
+    return not told
 
 
 def open_constructs(text: str) -> list[str]:
-    """Constructs still open at the end of a text: a pushdown parser over fences, brackets, quotations and
-    emphasis. A closer without opener is ignored, as list labels such as ``1)`` have none."""
-    stack: list[str] = []
-    fence = False
+    """Constructs still open at the end of a text, outermost first.
+
+    A pushdown parser: fences, code, tags, brackets, quotations and emphasis are pushed when they open and popped
+    when their closer meets them on top of the stack. A closer that does not fit the top is no closer, as list
+    labels such as ``1)`` have no opener; so ``([)]`` leaves its round bracket open.
+    """
+    stack: list[tuple[str, str]] = []
     for line in text.split("\n"):
-        if line.lstrip().startswith("```"):
-            fence = not fence
+        bare = line.lstrip()
+        if stack and stack[-1][0] == "fence":
+            if bare.startswith("```"):
+                stack.pop()
             continue
-        if fence:
+        if bare.startswith("```"):
+            stack.append(("fence", "```"))
             continue
-        i = 0
-        while i < len(line):
-            c = line[i]
-            if line.startswith("**", i):
-                stack.remove("**") if "**" in stack else stack.append("**")
-                i += 2
-                continue
-            if c == '"':
-                stack.remove('"') if '"' in stack else stack.append('"')
+        _read_line(line, stack)
+    return ["```" if kind == "fence" else what for kind, what in stack if not (kind == "tag" and what in _OPTIONAL)]
+
+
+def _read_line(line: str, stack: list[tuple[str, str]]) -> None:
+    i, n = 0, len(line)
+    while i < n:
+        c = line[i]
+        kind, what = stack[-1] if stack else ("", "")
+        if kind == "code":
+            if line.startswith(what, i):
+                stack.pop()
+                i += len(what)
+            else:
+                i += 1
+        elif c == "`":
+            run = re.match(r"`+", line[i:]).group(0)
+            stack.append(("code", run))
+            i += len(run)
+        elif line.startswith(("**", "__", "~~"), i) and not re.match(r"(.)\1\1", line[i:]):
+            sign = line[i : i + 2]
+            if (kind, what) == ("sign", sign):
+                stack.pop()
+            elif i + 2 < n and not line[i + 2].isspace():
+                stack.append(("sign", sign))
+            i += 2
+        elif c == "<":
+            tag = _TAG.match(line, i)
+            if tag and tag.group(2).lower() in _TAGS:
+                _read_tag(tag.group(2).lower(), bool(tag.group(1)), bool(tag.group(3)), stack)
+                i = tag.end()
+            else:
+                if re.fullmatch(r"</?[A-Za-z]*", line[i:]) and line[i + 1 :].strip("/").lower() in _TAGS:
+                    stack.append(("sign", "<"))
+                i += 1
+        else:
+            if kind == "mark" and c in what:
+                stack.pop()
+            elif c == '"':
+                stack.append(("mark", '"'))
             elif c in _OPENERS:
-                stack.append(_OPENERS[c])
-            elif c in _OPENERS.values() and c in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(c)]
-            i += 1
-    return stack + ["```"] * fence
+                stack.append(("mark", _OPENERS[c]))
+            i += 1 if c not in "*_~" else len(re.match(r"[*_~]+", line[i:]).group(0))
+
+
+def _read_tag(name: str, closes: bool, empty: bool, stack: list[tuple[str, str]]) -> None:
+    if not closes:
+        if not empty and name not in _VOID:
+            stack.append(("tag", name))
+        return
+    depth = len(stack)
+    while depth and stack[depth - 1][0] == "tag" and stack[depth - 1][1] != name and stack[depth - 1][1] in _OPTIONAL:
+        depth -= 1
+    if depth and stack[depth - 1] == ("tag", name):
+        del stack[depth - 1 :]
 
 
 def _complete_row(line: str, cells: int) -> bool:
@@ -197,8 +287,9 @@ def is_truncated(reply: str) -> bool:
     text = reply.rstrip()
     if open_constructs(text):
         return True
+    text = _TAG.sub(lambda m: "" if m.group(2).lower() in _TAGS else m.group(0), text)
     lines = [x for x in text.split("\n") if x.strip()]
-    last = lines[-1].strip()
+    last = lines[-1].strip() if lines else "```"
     if last.startswith("```") or re.fullmatch(r"[-*_]{3,}", last):
         return False
     if last.startswith("|"):
@@ -233,12 +324,12 @@ def _plain_words(text: str) -> list[str]:
 
 
 def _hits(text: str) -> dict[str, int]:
-    found = _plain_words(text)
+    found = [w for w in _plain_words(text) if w in _EVERY_WORD]
     return {name: sum(w in bag for w in found) for name, bag in _LANGUAGES.items()}
 
 
 def language_of(text: str, least: int = 2) -> str | None:
-    """The language whose function words clearly prevail; None if none does."""
+    """The language whose function words clearly prevail; None if none does or it has fewer than ``least``."""
     ranked = sorted(_hits(text).items(), key=lambda x: -x[1])
     (best, n), (_, second) = ranked[0], ranked[1]
     return best if n >= least and n > second else None
@@ -271,9 +362,9 @@ def is_other_language(question: str | None, reply: str) -> bool:
     want, got = language_of(question), language_of(plain, 3)
     if not want or not got or want == got:
         return False
-    hits = _hits(plain)
-    own = sum(w in _LANGUAGES[want] and w not in _LANGUAGES[got] for w in _plain_words(plain))
-    return own <= 0.15 * hits[got]
+    found = _plain_words(plain)
+    own = sum(w in _LANGUAGES[want] and w not in _LANGUAGES[got] for w in found)
+    return own <= 0.15 * sum(w in _LANGUAGES[got] for w in found)
 
 
 def defect(question: str | None, reply: str | None) -> str | None:
@@ -282,7 +373,7 @@ def defect(question: str | None, reply: str | None) -> str | None:
         return "empty"
     if is_copied(question, reply):
         return "copied"
-    if is_refusal(reply):
+    if is_refusal(reply, question):
         return "refusal"
     if is_truncated(reply):
         return "truncated"

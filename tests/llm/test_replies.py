@@ -38,3 +38,21 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, Q, None, "x"), (1, Q, None, "x"), (2, Q, LONG + ".", "y"), (3, None, None, None), (4, Q, LONG * 2_000, "z")], "chat_id long, question string, reply string, defect string")
     assert rows(R.defective_pairs(df)) == [(1, "empty"), (3, "empty"), (4, "truncated")]
     assert R.defective_pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ("It was seen ([) by both.", "truncated"), ("It was ([)] seen by both.", "truncated"), ("<ul><li>One thing.</li><li>It was witnessed.", "truncated"), ("<p>It was seen.<p>It was heard.</p>", None), ("Run `make all and it was fine.", "truncated"), ("Run `a ( b` and it was fine.", None),
+        ("**Bold (round) “quoted «twice»”** and it was fine.", None), ("He said „so“ and it was fine.", None), ("It cost 5 < 6 pounds, 1) so 2) so.", None), ("It was seen by <b", "truncated"), ("```\n( [ {\n```\nIt was fine.", None),
+        ("De beklaagde heeft het contract niet op tijd geleverd en dat was in strijd met de afspraak.", "language"), ("Pozwany nie dostarczył umowy na czas i to było przed terminem, ale nie jest to jego wina.", "language"), ("O réu não entregou o contrato antes do prazo e isso foi contra o acordo.", "language"),
+        ("I am sorry, but I cannot answer " + "this kind of question as it goes beyond what I was set up for and " * 8 + "that is all.", "refusal"), ("That is an interesting question. The file is long. I cannot answer it.", "refusal"),
+        ("The ledger bridge failed twice in May. The ledger bridge was repaired in June. I cannot say more than that.", None), (" ".join([Q] * 5), "copied"), ("\n".join(["Again: " + Q] * 5), "copied"), ("Niestety nie mogę odpowiedzieć na to pytanie.", "refusal"), ("Het spijt me, daar kan ik niet op antwoorden.", "refusal"),
+    ],
+)
+def test_grammar_languages_and_length(reply, want):
+    assert R.defect(Q, reply) == want
+
+
+def test_stack():
+    assert R.open_constructs("a (b [c] “d") == [")", "”"] and R.open_constructs("x ``y ` z`` `w") == ["`"] and R.open_constructs("<table><tr><td>1") == ["table"]
