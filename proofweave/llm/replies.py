@@ -52,10 +52,11 @@ FUNCTION_WORDS = {
     "fi": "ja on ei se että oli hän mutta tai kun jos niin kuin myös ovat joka mikä sen siitä ennen jälkeen ilman aikana vuoksi",
     "tr": "ve bir bu da de için ile olarak daha çok ama gibi kadar sonra önce değil var yok olan olduğu tarafından ancak veya",
 }
-_EVERY_WORD = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+_BAGS = {name: frozenset(words.split()) for name, words in FUNCTION_WORDS.items()}
+_EVERY_WORD = frozenset().union(*_BAGS.values())
 #: The first five are told apart by all their words, the others only by words that none of the five has.
-_FIRST = frozenset(w for name in ("en", "fr", "de", "es", "it") for w in FUNCTION_WORDS[name].split())
-_LANGUAGES = {name: frozenset(words.split()) - (_FIRST if name not in ("en", "fr", "de", "es", "it") else frozenset()) for name, words in FUNCTION_WORDS.items()}
+_FIRST = ("en", "fr", "de", "es", "it")
+_LANGUAGES = {name: bag if name in _FIRST else bag.difference(*(_BAGS[f] for f in _FIRST)) for name, bag in _BAGS.items()}
 
 # Endings after which a text goes on.
 OPEN_ENDS = frozenset(
@@ -363,8 +364,8 @@ def is_other_language(question: str | None, reply: str) -> bool:
     if not want or not got or want == got:
         return False
     found = _plain_words(plain)
-    own = sum(w in _LANGUAGES[want] and w not in _LANGUAGES[got] for w in found)
-    return own <= 0.15 * sum(w in _LANGUAGES[got] for w in found)
+    wanted, used = _BAGS[want], _BAGS[got]
+    return sum(w in wanted and w not in used for w in found) <= 0.15 * sum(w in used for w in found)
 
 
 def defect(question: str | None, reply: str | None) -> str | None:
