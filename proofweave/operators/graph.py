@@ -2,8 +2,10 @@
 
 Vertices are propositions and evidence, edges are links (SUPPORTS, UNDERMINES, NEUTRAL) and dependencies.
 Iterative operators keep their state partitioned by vertex and cut the lineage by writing to the shared
-folder. Kernels that are sequential by definition run per connected component; a component over
-:data:`KERNEL_EDGES` edges takes a distributed way, which each of them names.
+folder. Kernels that are sequential by definition run per connected component of at most
+:data:`KERNEL_EDGES` edges; beyond, cut vertices and loops are found another way with the same result, and
+:func:`communities`, whose result depends on the order of visits, refuses (:func:`communities_synchronous` is
+the operator for graphs of any size).
 
 Defined results: self-loops and repeated edges are dropped where a simple graph is asked for; an empty graph
 gives no rows; ties go to the smaller id.
@@ -11,8 +13,9 @@ gives no rows; ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections import Counter
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,21 +192,57 @@ def cut_vertices(adjacency: dict) -> set:
     return found
 
 
-def propagate_labels(adjacency: dict, rounds: int = 40) -> dict:
-    """Labels after at most ``rounds`` passes in id order; a vertex takes the commonest label around it at
-    once, ties to the smallest."""
-    order = sorted(adjacency)
-    label = {v: k for k, v in enumerate(order)}
+class Neighbours:
+    """Neighbours of numbered vertices in arrays: those of edges, and those that share a hub with a vertex. A hub is
+    never expanded to all pairs of its members."""
+
+    def __init__(self, n: int, edges_: np.ndarray, hubs: list[np.ndarray] = ()) -> None:
+        ends = np.concatenate([edges_, edges_[:, ::-1]]) if len(edges_) else np.empty((0, 2), np.int64)
+        ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
+        self.targets = ends[:, 1]
+        self.bounds = np.searchsorted(ends[:, 0], np.arange(n + 1))
+        self.hubs: list[list[np.ndarray]] = [[] for _ in range(n)]
+        for members in hubs:
+            for v in members:
+                self.hubs[v].append(members)
+
+    def of(self, v: int) -> np.ndarray:
+        own = self.targets[self.bounds[v] : self.bounds[v + 1]]
+        if not self.hubs[v]:
+            return own
+        every = np.unique(np.concatenate([own, *self.hubs[v]]))
+        return every[every != v]
+
+
+def settle_labels(near: Neighbours, n: int, rounds: int = 40) -> np.ndarray:
+    """Labels of vertices ``0 .. n - 1`` after at most ``rounds`` visits of all in order, where a visited vertex takes
+    the commonest label of its neighbours, the smallest of several.
+
+    Only vertices with a neighbour that has changed since their last visit are looked at: the ones still ahead
+    in the round come up in it, the others in the next.
+    """
+    label = np.arange(n)
+    now, waiting = list(range(n)), np.ones(n, bool)
     for _ in range(rounds):
-        moved = False
-        for v in order:
-            seen = Counter(label[u] for u in adjacency[v])
-            best = min(seen, key=lambda c: (-seen[c], c))
-            if label[v] != best:
-                label[v], moved = best, True
-        if not moved:
+        later: list[int] = []
+        while now:
+            v = heappop(now)
+            waiting[v] = False
+            around = near.of(v)
+            if not len(around):
+                continue
+            kinds, times = np.unique(label[around], return_counts=True)
+            best = kinds[np.argmax(times)]
+            if best != label[v]:
+                label[v] = best
+                for u in around[~waiting[around]]:
+                    waiting[u] = True
+                    heappush(now, int(u)) if u > v else later.append(int(u))
+        if not later:
             break
-    return {v: order[c] for v, c in label.items()}
+        heapify(later)
+        now = later
+    return label
 
 
 def strong_components(adjacency: dict) -> list[set]:
@@ -256,9 +295,8 @@ def _by_component(pairs: DataFrame) -> DataFrame:
 def articulation(pairs: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
     """``id`` of all cut vertices.
 
-    Vertices with one neighbour are never cut vertices, and what hangs on them is peeled off first where it
-    is a leaf; the kernel sees every component once. Components over ``most`` edges are first reduced, by two
-    rounds of spanning forests, to at most twice as many edges as vertices, which keeps all cut vertices.
+    The kernel sees every component once. Components over ``most`` edges are first reduced, by two rounds of
+    spanning forests, to at most twice as many edges as vertices, which keeps all cut vertices.
     """
     tagged = _by_component(pairs)
     small = tagged.where(F.col("m") <= most)
@@ -293,41 +331,56 @@ def spanning_forest(pairs: DataFrame) -> DataFrame:
     return tree.select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
 
 
-def communities(pairs: DataFrame, links: DataFrame, props: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
-    """``id, community``: label propagation on the probative graph, in which propositions argued through the
-    same witness are neighbours too; communities are numbered by size, then by label.
-
-    The sequential kernel runs per component of the graph with witness hubs. It expands a witness's
-    propositions only inside the kernel, where the component is bounded. Components over ``most`` edges take
-    synchronous rounds in which halves of the vertices move in turn and a witness is a hub of its own.
-    """
+def _with_hubs(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs`` and an edge from every witness, marked U+0001, to its propositions."""
     from proofweave.operators.matrix import witness_groups
 
-    hubs = witness_groups(links).select(F.concat(F.lit("\x01"), "witness").alias("a"), F.col("prop_id").alias("b"))
-    tagged = _by_component(pairs.unionByName(hubs))
+    return pairs.unionByName(witness_groups(links).select(F.concat(F.lit("\x01"), "witness").alias("a"), F.col("prop_id").alias("b")))
 
-    def kernel(table: pa.Table) -> pa.Table:
-        arcs = _arcs(table)
-        adjacency = _adjacency([x for x in arcs if not x[0].startswith("\x01")])
-        groups: dict[str, set] = {}
-        for a, b in arcs:
-            if a.startswith("\x01"):
-                groups.setdefault(a, set()).add(b)
-        for group in groups.values():
-            for v in group:
-                adjacency.setdefault(v, set()).update(group - {v})
-        label = propagate_labels(adjacency)
-        return _strings(id=list(label), label=list(label.values()))
-
-    labels = tagged.where(F.col("m") <= most).select("component", "a", "b").groupBy("component").applyInArrow(kernel, "id string, label string")
-    if tagged.where(F.col("m") > most).limit(1).count():
-        labels = labels.unionByName(_synchronous_labels(tagged.where(F.col("m") > most).select("a", "b")).where(~F.startswith("id", F.lit("\x01"))))
+
+def _numbered_by_size(labels: DataFrame) -> DataFrame:
     labels = materialize(labels, "labels")
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     places = numbered(sizes, "place", F.desc("n"), F.asc("label"))
     return labels.join(places, "label").select("id", (F.col("place") - 1).alias("community"))
 
 
+def communities(pairs: DataFrame, links: DataFrame, props: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
+    """``id, community``: label propagation on the probative graph, in which propositions argued through the
+    same witness are neighbours too; communities are numbered by size, then by label.
+
+    The labels depend on the order in which vertices are visited, so a component goes to one task. Should one
+    have more than ``most`` edges, witness hubs included, a ``ValueError`` names the operator to use instead.
+    """
+    tagged = _by_component(_with_hubs(pairs, links))
+    if tagged.where(F.col("m") > most).limit(1).count():
+        raise ValueError(f"a component has more than {most} edges: use communities_synchronous")
+
+    def kernel(table: pa.Table) -> pa.Table:
+        a, b = table["a"].to_pylist(), table["b"].to_pylist()
+        names = sorted({x for x in a + b if not x.startswith("\x01")})
+        place = {v: k for k, v in enumerate(names)}
+        held: dict[str, list[int]] = {}
+        edges_ = []
+        for x, y in zip(a, b, strict=True):
+            if x.startswith("\x01"):
+                held.setdefault(x, []).append(place[y])
+            else:
+                edges_.append((place[x], place[y]))
+        near = Neighbours(len(names), np.asarray(edges_, np.int64).reshape(-1, 2), [np.asarray(sorted(set(v))) for v in held.values()])
+        return _strings(id=names, label=[names[k] for k in settle_labels(near, len(names))])
+
+    return _numbered_by_size(tagged.select("component", "a", "b").groupBy("component").applyInArrow(kernel, "id string, label string"))
+
+
+def communities_synchronous(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, community``: label propagation in 20 rounds, in each of which one half of the vertices moves at once and
+    a witness is a vertex of its own. Everything is a join, for graphs of any size; other labels than
+    :func:`communities` gives, whose visits are one by one."""
+    labels = _synchronous_labels(_with_hubs(pairs, links)).where(~F.startswith("id", F.lit("\x01")))
+    return _numbered_by_size(labels)
+
+
 def _synchronous_labels(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     arcs = materialize(both_ways(pairs), "arcs")
     state = materialize(arcs.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
@@ -344,7 +397,8 @@ def cycles(deps: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
     the loop's members.
 
     Vertices without premises or without dependents cannot lie on a loop and are peeled off until none is
-    left; what remains is small unless the case is circular, and goes to the kernel by weak component.
+    left; what remains goes to the kernel by weak component, and weak components over ``most`` edges are
+    searched by joins, forwards and backwards.
     """
     state = materialize(deps.where("from_id <> to_id").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct(), "deps")
     size = state.count()
@@ -357,6 +411,8 @@ def cycles(deps: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
             break
     comp = components(state.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     tagged = state.join(comp.withColumnRenamed("id", "a"), "a")
+    sizes = tagged.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    tagged = materialize(tagged.join(sizes, "component"), "weak")
 
     def kernel(table: pa.Table) -> pa.Table:
         arcs = _arcs(table)
@@ -366,7 +422,36 @@ def cycles(deps: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
         rows = [(v, min(g)) for g in strong_components(adjacency) if len(g) > 1 for v in g]
         return _strings(id=[v for v, _ in rows], loop=[g for _, g in rows])
 
-    return tagged.groupBy("component").applyInArrow(kernel, "id string, loop string")
+    found = tagged.where(F.col("m") <= most).select("component", "a", "b").groupBy("component").applyInArrow(kernel, "id string, loop string")
+    big = tagged.where(F.col("m") > most).select("a", "b")
+    return found.unionByName(_loops_by_reach(big)) if big.limit(1).count() else found
+
+
+def _spread(state: DataFrame, arcs: DataFrame, source: str, target: str) -> DataFrame:
+    """``id, mark`` after every vertex has taken the smallest mark of those that reach it along ``arcs``."""
+    while True:
+        sent = arcs.join(state, arcs[source] == state["id"]).select(F.col(target).alias("id"), "mark")
+        fresh = materialize(state.unionByName(sent).groupBy("id").agg(F.min("mark").alias("mark")), "marks")
+        moved = fresh.join(state.withColumnRenamed("mark", "old"), "id", "left").where(F.col("old").isNull() | (F.col("old") != F.col("mark"))).limit(1).count()
+        state = fresh
+        if not moved:
+            return state
+
+
+def _loops_by_reach(arcs: DataFrame) -> DataFrame:
+    """``id, loop`` by joins: every vertex takes the smallest id that reaches it; those of the same mark that reach
+    this id back form its loop. Loops found are taken away and the rest is searched again."""
+    out = arcs.select(F.col("a").alias("id"), F.col("a").alias("loop")).limit(0)
+    while arcs.limit(1).count():
+        ids = arcs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        color = _spread(ids.withColumn("mark", F.col("id")), arcs, "a", "b")
+        inside = arcs.join(color.select(F.col("id").alias("a"), F.col("mark").alias("ma")), "a").join(color.select(F.col("id").alias("b"), F.col("mark").alias("mb")), "b").where("ma = mb").select("a", "b")
+        back = materialize(_spread(color.where("id = mark"), materialize(inside, "inside"), "b", "a"), "loops")
+        several = back.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+        out = out.unionByName(back.join(several, "mark").select("id", F.col("mark").alias("loop")))
+        gone = back.select("id")
+        arcs = materialize(arcs.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti").select("a", "b"), "rest")
+    return out
 
 
 def best_articulation(cut: DataFrame, rank: DataFrame, props: DataFrame) -> DataFrame:

@@ -326,6 +326,10 @@ def communities(spark, d):
     return G.communities(_pairs(spark, d), V.matrix_links(spark, d, "relation", "witness"), V.propositions(spark, d, "prop_id"))
 
 
+def communities_synchronous(spark, d):
+    return G.communities_synchronous(_pairs(spark, d), V.matrix_links(spark, d, "relation", "witness"))
+
+
 def articulation(spark, d):
     return G.articulation(_pairs(spark, d))
 
@@ -396,6 +400,6 @@ QUERIES = {
         contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, goal_filter_whole, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
         rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
-        fragments, ego_2hop, communities, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,
+        fragments, ego_2hop, communities, communities_synchronous, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,
     )
 }

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from proofweave.operators import graph as G
@@ -51,13 +52,74 @@ def test_empty(spark):
         assert df.count() == 0
 
 
+def labels_of(near):
+    names = sorted(near)
+    place = {v: k for k, v in enumerate(names)}
+    arcs = np.asarray([(place[a], place[b]) for a in near for b in near[a]], np.int64).reshape(-1, 2)
+    return {v: names[k] for v, k in zip(names, G.settle_labels(G.Neighbours(len(names), arcs), len(names)), strict=True)}
+
+
 def test_labels():
     near = {"E1": {"P1", "P2"}, "E2": {"P2"}, "E3": {"P3"}, "E4": {"P3"}, "P1": {"E1"}, "P2": {"E1", "E2"}, "P3": {"E3", "E4"}}
-    label = G.propagate_labels(near)
+    label = labels_of(near)
     assert len({label[v] for v in ("E1", "E2", "P1", "P2")}) == 1 and len({label[v] for v in ("E3", "E4", "P3")}) == 1
     assert label["E1"] != label["E3"]
 
 
+def every_visit(near, rounds):
+    """All vertices in order, again and again: what the operator must equal."""
+    label = {v: v for v in near}
+    for _ in range(rounds):
+        for v in sorted(near):
+            votes = {}
+            for u in near[v]:
+                votes[label[u]] = votes.get(label[u], 0) + 1
+            if votes:
+                label[v] = min(votes, key=lambda c: (-votes[c], c))
+    return label
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_labels_as_by_every_visit(seed):
+    rng = random.Random(seed)
+    n = rng.randint(2, 40)
+    arcs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(1, 60))}
+    hubs = [sorted(rng.sample(range(n), rng.randint(1, min(n, 6)))) for _ in range(rng.randint(0, 5))]
+    near = {v: set() for v in range(n)}
+    for a, b in arcs | {(x, y) for h in hubs for x in h for y in h}:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    for rounds in (1, 2, 40):
+        got = G.settle_labels(G.Neighbours(n, np.asarray(sorted(arcs)), [np.asarray(h) for h in hubs]), n, rounds)
+        assert dict(enumerate(got.tolist())) == every_visit(near, rounds)
+
+
+def test_communities(spark):
+    """Against brute force; two groups that share a witness are one."""
+    arcs = [(f"E{k}{j}", f"P{k}{i}") for k in range(4) for j in range(4) for i in range(3)]
+    links = spark.createDataFrame([("P00", "supportive", "w"), ("P10", "supportive", "w"), ("P20", "supportive", ""), ("P30", "adverse", "v")], "prop_id string, relation string, witness string").selectExpr("*", "concat('E', prop_id) as evidence_id")
+    props = spark.createDataFrame([(f"P{k}{i}",) for k in range(4) for i in range(3)], "prop_id string")
+    near = {}
+    for a, b in [*arcs, ("P00", "P10")]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for v, label in every_visit(near, 40).items():
+        want.setdefault(label, set()).add(v)
+    got = {}
+    for r in G.communities(pairs(spark, arcs), links, props).collect():
+        got.setdefault(r["community"], set()).add(r["id"])
+    order = sorted(want, key=lambda c: (-len(want[c]), c))
+    assert got == {k: want[c] for k, c in enumerate(order)}
+    with pytest.raises(ValueError, match="communities_synchronous"):
+        G.communities(pairs(spark, arcs), links, props, most=5)
+    alike = {}
+    for r in G.communities_synchronous(pairs(spark, arcs), links).collect():
+        alike.setdefault(r["community"], set()).add(r["id"])
+    assert {v for g in alike.values() for v in g} == set(near) and all(len({v[1] for v in g} - {"0", "1"}) <= 1 for g in alike.values())
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_graphs(spark, seed):
     rng = random.Random(seed)
@@ -87,6 +149,7 @@ def test_cycles(spark, seed):
     want = sorted((a, min(b for x, b in reach if x == a and (b, a) in reach)) for a in {a for a, b in reach if a == b})
     deps = spark.createDataFrame(sorted(arcs), "from_id string, to_id string")
     assert rows(G.cycles(deps)) == want
+    assert rows(G.cycles(deps, most=0)) == want  # by joins
 
 
 def test_cycle_by_hand(spark):

@@ -60,6 +60,18 @@ def test_docx(spark, tmp_path):
     assert rows(files.manifest(docx.read(spark, str(tmp_path)))) == [("failed", 1), ("ok", 1)]
 
 
+def test_docx_spans_and_containers():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t, p="": f"<w:tc><w:tcPr>{p}</w:tcPr><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    inner = f"<w:tc><w:tbl><w:tr>{cell('x')}{cell('y')}</w:tr></w:tbl><w:p/></w:tc>"
+    top = f"<w:tr>{cell('wide', '<w:gridSpan w:val=\"2\"/>')}{cell('c', '<w:vMerge w:val=\"restart\"/>')}</w:tr>"
+    xml = f"<w:document {w}><w:body><w:sdt><w:sdtContent><w:p><w:r><w:t>In a control</w:t></w:r></w:p></w:sdtContent></w:sdt><w:tbl>{top}<w:tr>{cell('a')}{inner}{cell('again', '<w:vMerge/>')}</w:tr></w:tbl></w:body></w:document>"
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", xml)
+    assert docx.body_text(raw.getvalue()) == "In a control\n\n| wide |  | c |\n| --- | --- | --- |\n| a | x y |  |"
+
+
 def test_json(spark, tmp_path):
     matrix = [{"proposition": {"id": "P1", "text": "t", "source": {"doc_id": "D"}}, "links": [{"evidence_id": "E1", "relation": "supportive", "confidence": 0.7}]}, {"proposition": {"text": "no id"}, "links": []}]
     (tmp_path / "m.json").write_text(json.dumps(matrix))
