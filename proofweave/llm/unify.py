@@ -81,8 +81,8 @@ def _stable_ranges() -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=1)
 def unstable_java() -> str:
-    """Java pattern of any unstable character."""
-    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _stable_ranges()) + "]"
+    """Java pattern of any unstable character. What is ASCII is ruled out before the ranges are looked at."""
+    return r"[\x{80}-\x{10FFFF}&&[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in _stable_ranges() if b > 0x7F) + "]]"
 
 
 @lru_cache(maxsize=1)
@@ -194,7 +194,7 @@ def _unify(texts: pd.Series) -> pd.DataFrame:
 
 def unstable(text: Column) -> Column:
     """The quick check: whether the text must be looked at; false for null."""
-    return F.coalesce(text.rlike(unstable_java()), F.lit(False))
+    return F.coalesce(text.rlike(r"[^\x{0}-\x{7F}]") & text.rlike(unstable_java()), F.lit(False))
 
 
 def unified(rows: DataFrame, text: str, out: str = "unified", kinds: str = "kinds") -> DataFrame:
