@@ -8,7 +8,7 @@ Rows are paragraphs (or the parts a page end leaves of them) with layout lines.
 * decides for every line-end hyphen whether the layout broke a word, by the lexicon's counts of the joined
   word and of the compound;
 * joins rare words to frequent ones through a symmetric-delete index (words that share a form after at most
-  two deletions), keeps candidates whose weighted edit distance uses confusion pairs only, and picks the
+  two deletions; words of a few letters, which would share too many, meet in their rewritings), keeps candidates whose weighted edit distance uses confusion pairs only, and picks the
   repair by frequency, distance and bigram context;
 * joins lines, rows and pages into continuous paragraphs.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from proofweave.session import materialize
 
-#: Lines at the top and bottom of a page among which furniture is sought.
-EDGE = 3
+#: Body lines that may stand between furniture and the page's edge, and lines of a page's edge that are looked at.
+GAP, EDGE = 2, 24
 #: Pages on which a stamp must come back, and their least share of the document's pages.
 STAMP_PAGES, STAMP_SHARE = 2, 0.15
 #: Count from which a word is trusted as the right form of another, and by how many times it must prevail.
@@ -42,14 +43,16 @@ TRUSTED, PREVAILS = 4, 10
 COMMON = 20_000
 #: Rows of a block in which neighbours are sought.
 BLOCK = 512
+#: Length from which words are indexed by deletions, and up to which by rewritings.
+LONG, SHORT = 5, 6
 #: Cost of a confusion and the most a repair may cost.
 CONFUSION, MOST = 0.5, 1.0
 
 # What a recogniser reads for what is printed.
 CONFUSIONS = (
     "1 l", "1 i", "1 I", "l 1", "l i", "i l", "I l", "l I", "| l", "| i", "| I", "! l", "! i", "j i", "i j", "0 o", "o 0", "0 O", "O 0", "5 s", "s 5", "5 S", "8 b", "8 B", "6 b", "9 g", "g 9", "9 q", "q g", "g q", "2 z", "4 a", "3 e", "7 t",
-    "@ a", "$ s", "€ e", "c e", "e c", "o e", "e o", "o c", "c o", "a o", "o a", "h b", "b h", "f t", "t f", "i t", "t i", "l t", "t l", "r i", "u v", "v u", "u n", "n u", "v y", "y v", "n h", "h n", "k h", "f r",
-    "rn m", "m rn", "in m", "m in", "ni m", "nn m", "iii m", "ri n", "n ri", "ii n", "ii u", "li u", "u li", "li h", "lh h", "vv w", "w vv", "cl d", "d cl", "c1 d", "ol d", "tl d", "fi h", "l< k", "rt n", "lc k", "ti n", "th m", "fl ff", "tt n", "h li", "d cl", "u ii", "n ii", "b li",
+    "@ a", "c e", "e c", "o e", "e o", "o c", "c o", "a o", "o a", "h b", "b h", "f t", "t f", "i t", "t i", "l t", "t l", "r i", "u v", "v u", "u n", "n u", "v y", "y v", "n h", "h n", "k h", "f r",
+    "rn m", "m rn", "in m", "m in", "ni m", "nn m", "iii m", "ri n", "n ri", "ii n", "ii u", "li u", "u li", "li h", "lh h", "vv w", "w vv", "cl d", "d cl", "c1 d", "ol d", "tl d", "fi h", "rt n", "lc k", "ti n", "th m", "fl ff", "tt n", "h li", "u ii", "n ii", "b li",
 )
 _PAIRS = frozenset(tuple(c.split(" ")) for c in CONFUSIONS)
 
@@ -90,22 +93,30 @@ def page_number(line: Column, page: Column) -> Column:
 def furniture(rows: DataFrame) -> DataFrame:
     """``doc_id, pos, line_no, noise`` for stamps (``header``) and page numbers (``page_no``).
 
-    The cut to the edge lines of a page is made by rank filters, which Spark applies before the shuffle.
+    The cut to the edge lines of a page is made by rank filters, which Spark applies before the shuffle. Of
+    these, a line counts that has at most :data:`GAP` lines between it and the edge that are no furniture
+    themselves, so a letterhead of many lines is found whole.
     """
     lines = rows.select("doc_id", "page", "pos", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
     page = Window.partitionBy("doc_id", "page")
-    top = lines.withColumn("n", F.row_number().over(page.orderBy("pos", "line_no"))).where(F.col("n") <= EDGE)
-    bottom = lines.withColumn("n", F.row_number().over(page.orderBy(F.desc("pos"), F.desc("line_no")))).where(F.col("n") <= EDGE)
-    edge = top.unionByName(bottom).drop("n").distinct()
+    top = lines.withColumn("n", F.row_number().over(page.orderBy("pos", "line_no"))).where(F.col("n") <= EDGE).withColumn("side", F.lit("top"))
+    bottom = lines.withColumn("n", F.row_number().over(page.orderBy(F.desc("pos"), F.desc("line_no")))).where(F.col("n") <= EDGE).withColumn("side", F.lit("bottom"))
     running = F.col("line").rlike(r"^\s*\p{Ll}") & F.col("line").rlike(r"[.;,]\s*$")
-    edge = edge.withColumn("is_no", page_number(F.col("line"), F.col("page"))).withColumn("key", F.when(F.col("is_no") | running | (F.length("line") > 90), F.lit("")).otherwise(stamp_key(F.col("line"))))
+    edge = top.unionByName(bottom).withColumn("is_no", page_number(F.col("line"), F.col("page"))).withColumn("key", F.when(F.col("is_no") | running, F.lit("")).otherwise(stamp_key(F.col("line"))))
+    edge = materialize(edge, "edges")
     pages = rows.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"))
-    stamps = (
-        edge.where(F.col("key") != "").groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on_pages")).join(pages, "doc_id")
-        .where((F.col("on_pages") >= STAMP_PAGES) & (F.col("on_pages") >= STAMP_SHARE * F.col("pages"))).select("doc_id", "key", F.lit(True).alias("stamp"))
-    )
+
+    def stamps(lines_: DataFrame) -> DataFrame:
+        counted = lines_.where(F.col("key") != "").groupBy("doc_id", "key").agg(F.countDistinct("page").alias("on_pages")).join(pages, "doc_id")
+        return counted.where((F.col("on_pages") >= STAMP_PAGES) & (F.col("on_pages") >= STAMP_SHARE * F.col("pages"))).select("doc_id", "key", F.lit(True).alias("stamp"))
+
     noise = F.when(F.col("is_no"), "page_no").when(F.col("stamp"), "header")
-    return edge.join(stamps, ["doc_id", "key"], "left").select("doc_id", "pos", F.col("line_no").cast("long").alias("line_no"), noise.alias("noise")).where(F.col("noise").isNotNull())
+    marked = edge.join(stamps(edge), ["doc_id", "key"], "left").withColumn("noise", noise)
+    nearer = Window.partitionBy("doc_id", "page", "side").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    near = marked.withColumn("between", F.coalesce(F.count_if(F.col("noise").isNull()).over(nearer), F.lit(0))).where(F.col("noise").isNotNull() & (F.col("between") <= GAP))
+    # What comes back must come back at the edge: pages on which a line of the text repeats a stamp do not count.
+    near = near.drop("stamp").join(stamps(near), ["doc_id", "key"], "left").where(F.col("is_no") | F.col("stamp"))
+    return near.select("doc_id", "pos", F.col("line_no").cast("long").alias("line_no"), "noise").distinct()
 
 
 # --- rows with their neighbours -------------------------------------------------------------------------
@@ -237,6 +248,24 @@ def deletes(word: str, most: int = 2) -> set[str]:
     return out
 
 
+def rewritings(word: str) -> set[str]:
+    """Words that a short word can stand for after at most ``MOST / CONFUSION`` confusions."""
+    out, last = {word}, {word}
+    for _ in range(int(MOST / CONFUSION)):
+        last = {w[:i] + printed + w[i + len(read) :] for w in last for read, printed in _PAIRS for i in range(len(w)) if w.startswith(read, i)}
+        out |= last
+    return out
+
+
+def index_forms(word: str, asked: bool) -> set[str]:
+    """Forms under which a word is looked up. Long words meet in their forms after deletions, which never fall below
+    three characters; short ones, whose such forms would be shared by all, in their rewritings, marked ``=``."""
+    out = deletes(word) if len(word) >= LONG else set()
+    if len(word) <= SHORT:
+        out |= {"=" + w for w in (rewritings(word) if asked else (word,))}
+    return out
+
+
 def confusion_distance(read: str, printed: str, limit: float = MOST) -> float:
     """Weighted edit distance in which only confusion pairs are allowed; infinite beyond ``limit``."""
     endless = float("inf")
@@ -274,15 +303,15 @@ def repairs(counts: DataFrame, broken: DataFrame) -> DataFrame:
     most = trusted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m")).first()["m"]  # one number
     doubtful = words.unionByName(joined).where((_odd(F.col("word")) | (F.col("n") * PREVAILS <= most)) & F.col("word").rlike(r"\p{L}") & (F.length("word") >= 2))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch], is_asked: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(word), 2_000):
-                forms = [(w, c, f) for w, c in zip(word[at : at + 2_000], n[at : at + 2_000], strict=True) for f in deletes(w)]
+                forms = [(w, c, f) for w, c in zip(word[at : at + 2_000], n[at : at + 2_000], strict=True) for f in index_forms(w, is_asked)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in forms], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["word", "n", "form"])
 
-    index = trusted.mapInArrow(spell, "word string, n long, form string").select(F.col("word").alias("candidate"), F.col("n").alias("cn"), "form")
-    asked = doubtful.mapInArrow(spell, "word string, n long, form string")
+    index = trusted.mapInArrow(partial(spell, is_asked=False), "word string, n long, form string").select(F.col("word").alias("candidate"), F.col("n").alias("cn"), "form")
+    asked = doubtful.mapInArrow(partial(spell, is_asked=True), "word string, n long, form string")
     prevails = (F.col("cn") >= F.col("n") * PREVAILS) | (_odd(F.col("word")) & (F.col("cn") >= F.col("n")))
     pairs = asked.join(index, "form").where((F.col("word") != F.col("candidate")) & prevails).select("word", "candidate", F.col("cn").alias("n")).distinct()
 

@@ -64,3 +64,25 @@ def test_deletes():
 @pytest.mark.parametrize(("token", "want"), [("l7", True), ("2O23", True), ("£1,O45", False), ("1,O45", True), ("1st", False), ("P0001", False), ("2023", False), ("room", False), ("S88", True), ("EX00012", False)])
 def test_figures(token, want):
     assert S._misread_number(token) is want
+
+
+def test_deep_letterhead_and_long_stamp(spark):
+    head = ["Quorndale Print Limited", "Registered office of the company", "Seventeen Harbour Lane Northolme", "Confidential to the parties and their experts in this matter and not to be copied to anyone else at all without leave"]
+    cells = [("D", k, k, "\n".join([*head, f"The ledger bridge number {w} was seen", f"by the director of {w} on the day."])) for k, w in enumerate(["one", "two", "three"])]
+    got = {(r["pos"], r["line_no"]) for r in scan(spark, cells).noise().where("noise = 'header'").collect()}
+    assert got == {(k, n) for k in range(3) for n in range(4)}
+
+
+def test_index_misses_no_allowed_repair():
+    """Every word and every reading of it within the allowed cost meet in a form of the index."""
+    words = ["in", "the", "time", "dock", "bridge", "crane", "month", "director", "ledger"]
+    for printed in words:
+        reads = {printed}
+        for _ in range(2):
+            reads |= {w[:i] + r + w[i + len(p) :] for w in reads for r, p in S._PAIRS for i in range(len(w)) if w.startswith(p, i)}
+        for read in reads - {printed}:
+            if S.confusion_distance(read, printed) <= S.MOST and abs(len(read) - len(printed)) <= 2:
+                together = S.index_forms(read, True) & S.index_forms(printed, False)
+                fits = len(set(S.deletes(read)) & set(S.deletes(printed))) > 0
+                assert together or not fits, (read, printed)
+    assert all(len(f) >= 3 for w in words if len(w) >= S.LONG for f in S.deletes(w))
