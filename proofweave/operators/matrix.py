@@ -235,6 +235,16 @@ def keyword_top(questions: DataFrame, props: DataFrame, words: Column, n: int =
     return scored.withColumn("rnk", F.row_number().over(order).cast("long")).where(F.col("rnk") <= n).select("query_id", "prop_id", "score", "rnk")
 
 
+def chat_candidates(questions: DataFrame, props: DataFrame, status: DataFrame, words: Column, n: int = 3) -> DataFrame:
+    """``query_id, prop_id, score, rnk``: :func:`keyword_top`, and for questions of which no word hits the first ``n``
+    MISSING or undermined propositions by id, with score 0."""
+    hits = materialize(keyword_top(questions, props, words, n), "hits")
+    risky = [r["prop_id"] for r in status.where(F.col("status").isin("MISSING", "undermined")).orderBy("prop_id").limit(n).select("prop_id").collect()]  # n ids
+    rest = questions.select("query_id").distinct().join(hits.select("query_id"), "query_id", "left_anti")
+    given = rest.select("query_id", F.posexplode(F.array(*[F.lit(i) for i in risky]).cast("array<string>")).alias("k", "prop_id"))
+    return hits.unionByName(given.select("query_id", "prop_id", F.lit(0).cast("long").alias("score"), (F.col("k") + 1).cast("long").alias("rnk")))
+
+
 def human_review(status: DataFrame, rank: DataFrame, n: int = 8) -> DataFrame:
     """The ``n`` propositions to judge first: by status, then rank, ties by id."""
     level = F.when(F.col("status") == "MISSING", 0).when(F.col("status") == "undermined", 1).otherwise(2)

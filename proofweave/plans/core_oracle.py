@@ -218,3 +218,77 @@ ORACLE = {
       SELECT prop_id AS id, 'proposition' AS kind, {_short('text', 90)} AS label, status, '' AS witness, coalesce(doc_id, '') AS doc_id, coalesce(supports, 0) AS supports, coalesce(undermines, 0) AS undermines FROM props JOIN st USING (prop_id) LEFT JOIN p USING (prop_id)
       UNION ALL SELECT evidence_id, 'evidence', {_short("coalesce(nullif(f.q, ''), nullif(f.r, ''), evidence_id)", 70)}, '', f.w, coalesce(f.d, ''), supports, undermines FROM f""",
 }
+
+
+def _sub(name: str) -> str:
+    """Another twin as a table expression."""
+    return f"({ORACLE[name]})"
+
+
+# A vertex is a cut vertex if its component falls apart without it: from one neighbour of every vertex of two or
+# more edges all others are sought that can be reached without passing it.
+_CUT = f"""{_PAIRS},
+cand AS (SELECT src AS v, min(dst) AS start FROM arcs GROUP BY src HAVING count(*) > 1),
+walk(v, id) AS (SELECT v, start FROM cand UNION SELECT w.v, a.dst FROM walk w JOIN arcs a ON a.src = w.id WHERE a.dst <> w.v),
+cut AS (SELECT DISTINCT a.src AS id FROM arcs a JOIN cand ON cand.v = a.src LEFT JOIN walk w ON w.v = a.src AND w.id = a.dst WHERE w.id IS NULL)"""
+
+ORACLE["articulation"] = f"WITH RECURSIVE {_CUT} SELECT id FROM cut"
+ORACLE["best_articulation"] = f"""WITH p AS (SELECT prop_id AS id FROM {_sub("matrix_status")}), r AS {_sub("pagerank")}, c AS {_sub("articulation")}
+    SELECT p.id FROM p LEFT JOIN r USING (id) LEFT JOIN c ON c.id = p.id ORDER BY c.id IS NOT NULL DESC, coalesce(r.rank, 0) DESC, p.id LIMIT 1"""
+ORACLE["fragments"] = f"""WITH RECURSIVE {_PAIRS}, out AS (SELECT id FROM {_sub("best_articulation")}),
+    kept AS (SELECT src, dst FROM arcs WHERE src NOT IN (SELECT id FROM out) AND dst NOT IN (SELECT id FROM out)),
+    every AS (SELECT DISTINCT src AS id FROM arcs WHERE src NOT IN (SELECT id FROM out)),
+    cc(id, component) USING KEY (id) AS (SELECT id, id FROM every UNION SELECT k.dst, min(c.component) FROM cc c JOIN kept k ON k.src = c.id JOIN recurring.cc r ON r.id = k.dst WHERE c.component < r.component GROUP BY k.dst)
+    SELECT count(DISTINCT component) AS n FROM cc"""
+
+_FINDINGS = f"""{_BASE}, st AS {_sub("matrix_status")}, con AS {_sub("contradicted")}, loops AS {_sub("cycles")}, sp AS {_sub("spof")}, cutv AS {_sub("articulation")}, wa AS {_sub("weak_arguments")}, wp AS {_sub("weak_premises")},
+frail AS (SELECT prop_id, bool_and(confidence < 0.5) AS fragile FROM ml WHERE relation <> 'neutral' GROUP BY prop_id),
+counts AS (
+  SELECT 'high' AS severity, 'extraction' AS lens, 'unverified source quotes' AS title, (SELECT count(*) FILTER (NOT coalesce(quote_ok, true)) FROM props) AS n
+  UNION ALL SELECT 'low', 'extraction', 'denials not linked to an allegation', (SELECT count(*) FILTER (prop_type = 'denial' AND coalesce(responds_to, '') = '') FROM props)
+  UNION ALL SELECT 'medium', 'classification', 'propositions on low-confidence evidence only', (SELECT count(*) FILTER (fragile) FROM frail)
+  UNION ALL SELECT 'medium', 'classification', 'links with an unverified quote', (SELECT count(*) FILTER (NOT coalesce(quote_ok, true)) FROM ml)
+  UNION ALL SELECT 'critical', 'contradiction', 'propositions without evidence', (SELECT count(*) FILTER (status = 'MISSING') FROM st)
+  UNION ALL SELECT 'high', 'contradiction', 'propositions undermined', (SELECT count(*) FILTER (status = 'undermined') FROM st)
+  UNION ALL SELECT 'high', 'contradiction', 'propositions with evidence both ways', (SELECT count(*) FILTER (contradicted) FROM con)
+  UNION ALL SELECT 'high', 'stress', 'single points of failure', (SELECT count(DISTINCT evidence_id) FROM sp)
+  UNION ALL SELECT 'medium', 'stress', 'structural cut points', (SELECT count(*) FROM cutv)
+  UNION ALL SELECT 'high', 'stress', 'argument on weak ground', n FROM (SELECT method_id, count(*) AS n FROM wa GROUP BY method_id)
+  UNION ALL SELECT 'high', 'stress', 'weak premise with dependents', n_dependents FROM wp),
+always AS (
+  SELECT 'info' AS severity, 'extraction' AS lens, 'propositions extracted' AS title, (SELECT count(*) FROM props) AS n
+  UNION ALL SELECT 'info', 'human_review', 'propositions for a lawyer''s judgement', (SELECT count(*) FROM st WHERE status <> 'supported')
+  UNION ALL SELECT CASE WHEN n > 0 THEN 'high' ELSE 'info' END, 'grounding', CASE WHEN n > 0 THEN 'links without a document' ELSE 'every link carries a document' END, n FROM (SELECT count(*) AS n FROM ml WHERE coalesce(doc_id, '') = '')
+  UNION ALL SELECT CASE WHEN n > 0 THEN 'critical' ELSE 'info' END, 'contradiction', CASE WHEN n > 0 THEN 'loops of premises' ELSE 'no loop of premises' END, n FROM (SELECT count(DISTINCT loop) AS n FROM loops)),
+found AS (SELECT * FROM counts WHERE n > 0 UNION ALL SELECT * FROM always
+  UNION ALL SELECT 'info', 'stress', 'no single point of failure', 0 WHERE NOT EXISTS (SELECT 1 FROM counts WHERE lens = 'stress' AND n > 0))"""
+
+ORACLE["stress_findings"] = f"WITH {_FINDINGS} SELECT severity, lens, title, CAST(n AS BIGINT) AS n FROM found"
+ORACLE["stress_score"] = f"""WITH {_FINDINGS}, c AS (SELECT {", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low", "info"))} FROM found)
+    SELECT CAST(greatest(0, 100 - least(critical, 6) * 10 - least(high, 6) * 6 - least(medium, 6) * 3 - least(low, 6)) AS BIGINT) AS score, * FROM c"""
+
+_START = r"^\s*(\d+\.|\(?[a-z]\)|[a-z]\.|\(?(?:i|ii|iii|iv|v|vi|vii|viii|ix|x)\)|Question\b|Answer\b)"
+ORACLE["reflow"] = f"""WITH once AS (SELECT DISTINCT doc_id, CAST(pos AS BIGINT) AS pos, text FROM scan_paras WHERE text IS NOT NULL),
+    folded AS (SELECT doc_id, pos, list_reduce(list_prepend('', list_transform(string_split(text, chr(10)), lambda s: trim(s, {_WS}))), lambda acc, s:
+      CASE WHEN s = '' THEN CASE WHEN acc = '' OR ends_with(acc, chr(1)) THEN acc ELSE acc || chr(1) END
+           WHEN acc = '' OR ends_with(acc, chr(1)) THEN acc || s
+           WHEN regexp_matches(s, '{_START}', 'i') THEN acc || chr(1) || s
+           WHEN ends_with(acc, '-') THEN acc[:-2] || s ELSE acc || ' ' || s END) AS f FROM once),
+    parts AS (SELECT doc_id, pos, list_filter(string_split(f, chr(1)), lambda x: x <> '') AS p FROM folded)
+    SELECT doc_id, pos, CAST(i - 1 AS BIGINT) AS n, p[i] AS text FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts)"""
+
+_META = {"witness_name": r"^Witness\s*Name\s*:?\s*(.+)", "statement_no": r"^Statement\s*No\.?\s*:?\s*(.+)", "exhibits": r"^Exhibits?\s*:?\s*(.+)", "date": r"^\s*Date\s*:?\s*(.+)"}
+_FIELDS = " UNION ALL ".join(f"SELECT doc_id, pos, line_no, '{k}' AS key, trim(regexp_extract(s, '{p}', 1, 'i'), {_WS}) AS value FROM bare" for k, p in _META.items())
+ORACLE["scan_metadata"] = f"""WITH {_LINES}, bare AS (SELECT doc_id, pos, line_no, trim(line, {_WS}) AS s FROM lines),
+    every AS ({_FIELDS} UNION ALL SELECT doc_id, pos, line_no, 'title', s FROM bare WHERE regexp_matches(s, 'WITNESS STATEMENT OF', 'i'))
+    SELECT doc_id, key, arg_min(value, {{'p': pos, 'l': line_no}}) AS value FROM every WHERE value <> '' GROUP BY doc_id, key"""
+
+_LIT = "coalesce(CAST(to_json({c}) AS VARCHAR), 'null')"
+ORACLE["graph_cypher"] = f"""WITH n AS {_sub("graph_nodes")}, e AS {_sub("graph_edges")}
+    SELECT 'MERGE (n:' || CASE kind WHEN 'proposition' THEN 'Proposition' ELSE 'Evidence' END || ' {{id: ' || {_LIT.format(c="id")} || '}}) SET n.label=' || {_LIT.format(c="label")} || ', n.status=' || {_LIT.format(c="status")} || ', n.witness=' || {_LIT.format(c="witness")} || ';' AS statement FROM n
+    UNION ALL SELECT 'MATCH (a {{id: ' || {_LIT.format(c="source")} || '}}), (b {{id: ' || {_LIT.format(c="target")} || '}}) MERGE (a)-[r:' || relation || ']->(b) SET r.confidence=' || CAST(confidence AS VARCHAR) || ';' FROM e WHERE relation <> 'DEPENDS_ON'"""
+
+ORACLE["chat_candidates"] = f"""WITH hits AS {_sub("keyword_topk")}, st AS {_sub("matrix_status")},
+    risky AS (SELECT prop_id, row_number() OVER (ORDER BY prop_id) AS rnk FROM st WHERE status IN ('MISSING', 'undermined') ORDER BY prop_id LIMIT 3),
+    q AS (SELECT DISTINCT chat_id AS query_id FROM chat_cache WHERE chat_id % 50 = 0)
+    SELECT * FROM hits UNION ALL SELECT query_id, prop_id, 0::BIGINT AS score, rnk FROM q, risky WHERE query_id NOT IN (SELECT query_id FROM hits)"""

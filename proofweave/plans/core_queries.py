@@ -141,6 +141,10 @@ def keyword_topk(spark, d):
     return M.keyword_top(_questions(spark, d), V.propositions(spark, d, "prop_id", "text"), X.chat_words(F.col("question")))
 
 
+def chat_candidates(spark, d):
+    return M.chat_candidates(_questions(spark, d), V.propositions(spark, d, "prop_id", "text"), _status(spark, d), X.chat_words(F.col("question")))
+
+
 def matrix_signature(spark, d):
     return M.signature(V.propositions(spark, d, "prop_id", "text"), _status(spark, d))
 
@@ -397,7 +401,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         matrix_status, status_counts, trial_readiness, case_summary, party_type_counts, count_phrases, matrix_csv, load_bearing, evidence_load, contradicted, sole_witness, spof, witness_pairs,
-        contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, goal_filter_whole, keyword_topk, matrix_signature, tokens, bm25_stats, bm25_topk,
+        contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, goal_filter_whole, keyword_topk, chat_candidates, matrix_signature, tokens, bm25_stats, bm25_topk,
         rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
         fragments, ego_2hop, communities, communities_synchronous, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,

@@ -46,28 +46,47 @@ def write_report(nested: DataFrame, path: str) -> None:
     report(nested).orderBy("ord").select(F.col("block").alias("value")).write.mode("overwrite").option("lineSep", "\n\n").text(path)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
-    """``status, n, pages``: totals of a conversion run."""
-    return docs.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def manifest(docs: DataFrame, pages: str | None = None) -> DataFrame:
+    """``status, n, pages``: totals of a conversion run; pages are summed from the column named, 0 without one."""
+    held = F.coalesce(F.sum(F.col(pages)), F.lit(0)).cast("long") if pages else F.lit(0).cast("long")
+    return docs.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"), held.alias("pages"))
+
+
+#: Versions of an upserted table that are kept: the current one, and the one before for readers under way.
+KEPT = 2
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Complete versions of a table, oldest first: those whose job left its mark of success."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(target)]
+    return sorted(n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table last written by :func:`upsert`, or None."""
+    versions = _versions(spark, path)
+    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Merge ``rows`` into the Parquet table at ``path``: the highest ``version`` of a key wins, ties by the
-    new rows. The merged table is written beside the old one and then takes its place; running it again with
-    the same rows changes nothing."""
-    try:
-        old = spark.read.parquet(path).withColumn("__new", F.lit(0))
-    except Exception as e:  # noqa: BLE001 - the first run has no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
+    """Merge ``rows`` into the table at ``path``: the highest ``version`` of a key wins, ties by the new rows.
+
+    Every merge writes a new version folder, which counts from the moment Spark marks it complete; nothing that
+    is read is overwritten, so a merge that is lost half-way leaves the table as it was and can be run again.
+    """
+    path = path.rstrip("/")
+    versions = _versions(spark, path)
     both = rows.withColumn("__new", F.lit(1))
-    if old is not None:
-        both = old.unionByName(both, allowMissingColumns=True)
+    if versions:
+        both = spark.read.parquet(f"{path}/{versions[-1]}").withColumn("__new", F.lit(0)).unionByName(both, allowMissingColumns=True)
     newest = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("__new"))
     merged = both.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k", "__new")
-    fresh = f"{path.rstrip('/')}.next"
-    merged.write.mode("overwrite").parquet(fresh)
-    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
-    drop_path(spark, fresh)
-    return spark.read.parquet(path)
+    fresh = f"v{int(versions[-1][1:]) + 1 if versions else 0:012}"
+    merged.write.mode("overwrite").parquet(f"{path}/{fresh}")
+    for old in versions[: max(len(versions) + 1 - KEPT, 0)]:
+        drop_path(spark, f"{path}/{old}")
+    return spark.read.parquet(f"{path}/{fresh}")

@@ -6,6 +6,7 @@ import zipfile
 from datetime import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofweave.jobs import run
 from proofweave.sinks import files
@@ -57,7 +58,8 @@ def test_docx(spark, tmp_path):
     got = {r["doc_id"]: r for r in docx.read(spark, str(tmp_path)).collect()}
     assert got["03_Some_name"]["text"] == "One two\n\n| a | b\\|c |\n| --- | --- |\n| d |  |"
     assert got["03_Some_name"]["title"] == "Some name" and got["bad"]["error"] == "BadZipFile"
-    assert rows(files.manifest(docx.read(spark, str(tmp_path)))) == [("failed", 1), ("ok", 1)]
+    assert rows(files.manifest(docx.read(spark, str(tmp_path))), "status", "n") == [("failed", 1), ("ok", 1)]
+    assert rows(files.manifest(docx.read(spark, str(tmp_path)).withColumn("p", F.lit(2)), "p")) == [("failed", 1, 2), ("ok", 1, 2)]
 
 
 def test_docx_spans_and_containers():
