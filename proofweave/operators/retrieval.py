@@ -15,13 +15,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofweave.operators import skew
+
 K1, B = 1.5, 0.75
 #: Bytes of the query terms up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Cells of the term by query matrix that is sent to the tasks at once (8 bytes each).
-CELLS = 4_000_000
+#: Cells of a matrix that a task holds at once (8 bytes each), and tokens of documents that it scores at once.
+CELLS, TOKENS = 4_000_000, 100_000
+#: Documents of a term from which the join by term splits it.
+HOT_TERM = 100_000
 #: Query vectors that are sent to the tasks at once.
-VECTORS_AT_ONCE = 4_096
+VECTORS_AT_ONCE = 16_384
 
 
 def term_counts(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
@@ -43,10 +47,11 @@ def bm25_stats(docs: DataFrame, words: Column) -> DataFrame:
 def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words: Column, k: int = 25, k1: float = K1, b: float = B, by_matrix: bool | None = None) -> DataFrame:
     """``query_id, doc_id, rnk, score`` for ``queries(query_id, ...)`` and ``docs(doc_id, ...)``.
 
-    A repeated query token adds again. If the query terms are within :data:`BROADCAST_BYTES` (checked), they
-    go to the tasks as term by query matrices in blocks, and every batch of documents is scored as a matrix
-    product of which only the best rows of each query are shuffled. Beyond that bound documents and queries
-    are joined by term. ``by_matrix`` forces one of the two in tests.
+    A repeated query token adds again. If the query terms are within :data:`BROADCAST_BYTES` (checked), their
+    weights go to the tasks as sparse rows, and every batch of documents is scored in one scan: the terms it
+    holds make a small matrix, of whose product with the queries, block by block, only the best rows of each
+    query are shuffled. Beyond that bound documents and queries are joined by term, frequent terms in pieces by
+    their exact count. ``by_matrix`` forces one of the two in tests.
     """
     asked = queries.select("query_id", F.explode(query_words).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("m"))
     held = docs.select("doc_id", doc_words.alias("w"))
@@ -64,7 +69,9 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words
         scored = _scored_by_matrix(weighed, held, k, k1, b, mean)
     else:
         part = F.col("weight") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.greatest("dl", F.lit(1)) / F.lit(mean)))
-        scored = term_counts(docs, doc_words).join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+        hot = skew.hot_keys(df, ["term"], HOT_TERM, "df")
+        counted, asked_ = skew.salted(term_counts(docs, doc_words), hot, ["term"], F.col("doc_id")), skew.repeated(weighed, hot, ["term"])
+        scored = counted.join(asked_, ["term", "salt"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rnk", F.row_number().over(order).cast("long")).where(F.col("rnk") <= k).select("query_id", "doc_id", "rnk", "score")
 
@@ -72,44 +79,53 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words
 def _scored_by_matrix(weighed: DataFrame, held: DataFrame, k: int, k1: float, b: float, mean: float) -> DataFrame:
     """``query_id, doc_id, score``: of every batch of documents the best ``k`` of each query, ties included."""
     kinds = {f.name: f.dataType.simpleString() for f in weighed.schema} | {f.name: f.dataType.simpleString() for f in held.schema}
-    shape = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
-    local = weighed.toPandas()
-    names = np.asarray(sorted(local["query_id"].unique()), object)
-    at_once = max(1, CELLS // max(local["term"].nunique(), 1))
-    out = held.sparkSession.createDataFrame([], shape)
-    for at in range(0, len(names), at_once):
-        block = names[at : at + at_once]
-        part = local[local["query_id"].isin(set(block))]
-        terms = sorted(part["term"].unique())
-        matrix = np.zeros((len(terms), len(block)))
-        matrix[np.searchsorted(terms, part["term"].to_numpy(object)), np.searchsorted(block, part["query_id"].to_numpy(object))] = part["weight"]
-        sent = held.sparkSession.sparkContext.broadcast((list(block), terms, matrix))
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block, terms, matrix = sent.value
-            table, ids = pa.array(terms, pa.string()), pa.array(block)
-            for batch in batches:
-                for start in range(0, batch.num_rows, 2_000):
-                    yield _score_batch(batch.slice(start, 2_000), table, ids, matrix, k, k1, b, mean)
-
-        out = out.unionByName(held.mapInArrow(score, shape))
-    return out
+    local = weighed.toPandas().sort_values(["term", "query_id"], ignore_index=True)  # within BROADCAST_BYTES
+    terms, starts = np.unique(local["term"].to_numpy(object), return_index=True)
+    names, query = np.unique(local["query_id"].to_numpy(object), return_inverse=True)
+    sent = held.sparkSession.sparkContext.broadcast((list(names), list(terms), np.append(starts, len(local)), query, local["weight"].to_numpy(float)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, starts, query, weight = sent.value
+        table, ids = pa.array(terms, pa.string()), pa.array(names)
+        if not len(terms):
+            return
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")), at + 1)
+                yield from _score_batch(batch.slice(at, to - at), table, ids, starts, query, weight, k, k1, b, mean)
+                at = to
+
+    return held.mapInArrow(score, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
 
 
-def _score_batch(batch: pa.RecordBatch, table: pa.Array, ids: pa.Array, matrix: np.ndarray, k: int, k1: float, b: float, mean: float) -> pa.RecordBatch:
+def _score_batch(batch: pa.RecordBatch, table: pa.Array, ids: pa.Array, starts: np.ndarray, query: np.ndarray, weight: np.ndarray, k: int, k1: float, b: float, mean: float) -> Iterator[pa.RecordBatch]:
     lists = batch.column(1)
     offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
     length = np.diff(offsets)
     term = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=table), -1), np.int64)
     row = np.repeat(np.arange(len(length)), length)[term >= 0]
     cell, tf = np.unique(row * len(table) + term[term >= 0], return_counts=True)
-    row, term = cell // len(table), cell % len(table)
-    weight = np.zeros((len(length), len(table)))
-    weight[row, term] = tf / (tf + k1 * (1 - b + b * np.maximum(length[row], 1) / mean))
-    scores = np.round(weight @ matrix, 9)
-    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(scores.shape[1])
-    doc, query = np.nonzero((scores >= least) & (scores > 0))
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(doc)), pa.array(scores[doc, query])], names=["query_id", "doc_id", "score"])
+    row, present = cell // len(table), cell % len(table)
+    here, column = np.unique(present, return_inverse=True)
+    if not len(here):
+        return
+    held = np.zeros((len(length), len(here)))
+    held[row, column] = tf / (tf + k1 * (1 - b + b * np.maximum(length[row], 1) / mean))
+    # Postings of the terms that the batch holds.
+    many = starts[here + 1] - starts[here]
+    posting = np.repeat(starts[here] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    line, asked, value = np.repeat(np.arange(len(here)), many), query[posting], weight[posting]
+    wide = max(1, CELLS // max(len(here), len(length)))
+    for first in range(0, len(ids), wide):
+        own = (asked >= first) & (asked < first + wide)
+        matrix = np.zeros((len(here), min(wide, len(ids) - first)))
+        matrix[line[own], asked[own] - first] = value[own]
+        scores = np.round(held @ matrix, 9)
+        least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.zeros(scores.shape[1])
+        doc, found = np.nonzero((scores >= least) & (scores > 0))
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(found + first)), batch.column(0).take(pa.array(doc)), pa.array(scores[doc, found])], names=["query_id", "doc_id", "score"])
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 25, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -118,10 +134,10 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 25, key: str = "
     Query vectors go to the tasks in blocks of bounded size; every batch keeps its own best ``k`` per query,
     so only ``k`` rows a batch and query are shuffled.
     """
-    ids = [r[0] for r in queries.select(key).orderBy(key).collect()]
+    n_blocks = -(-queries.count() // VECTORS_AT_ONCE)
     out = None
-    for at in range(0, max(len(ids), 1), VECTORS_AT_ONCE):
-        block = queries.where(F.col(key).isin(ids[at : at + VECTORS_AT_ONCE])) if len(ids) > VECTORS_AT_ONCE else queries
+    for k_ in range(max(n_blocks, 1)):
+        block = queries.where(F.pmod(F.xxhash64(key), F.lit(n_blocks)) == k_) if n_blocks > 1 else queries
         part = _cosine_block(block, vectors, k, key, vector)
         out = part if out is None else out.unionByName(part)
     return out

@@ -292,3 +292,12 @@ ORACLE["chat_candidates"] = f"""WITH hits AS {_sub("keyword_topk")}, st AS {_sub
     risky AS (SELECT prop_id, row_number() OVER (ORDER BY prop_id) AS rnk FROM st WHERE status IN ('MISSING', 'undermined') ORDER BY prop_id LIMIT 3),
     q AS (SELECT DISTINCT chat_id AS query_id FROM chat_cache WHERE chat_id % 50 = 0)
     SELECT * FROM hits UNION ALL SELECT query_id, prop_id, 0::BIGINT AS score, rnk FROM q, risky WHERE query_id NOT IN (SELECT query_id FROM hits)"""
+
+ORACLE["rrf_hybrid"] = f"""WITH v AS (SELECT CAST(vec_id AS BIGINT) AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+    txt AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM v)),
+    asked AS (SELECT doc_id AS query_id, text AS q FROM txt WHERE doc_id % 50 = 0), {_bm25("t", "text", 100)},
+    sims AS (SELECT q.doc_id AS query_id, v.doc_id, round(list_cosine_similarity(q.e, v.e), 9) AS sim FROM v q, v WHERE q.doc_id % 50 = 0),
+    top_c AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rnk FROM sims) WHERE rnk <= 100),
+    u AS (SELECT query_id, doc_id, rnk AS r0, CAST(NULL AS BIGINT) AS r1 FROM top_t UNION ALL SELECT query_id, doc_id, NULL, rnk FROM top_c),
+    f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + coalesce(r0, r1))), 12) AS score, coalesce(min(r0), 1::BIGINT << 40) AS r0, coalesce(min(r1), 1::BIGINT << 40) AS r1 FROM u GROUP BY ALL)
+    SELECT query_id, doc_id, rnk, round(score, 9) AS score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0, r1, doc_id) AS rnk FROM f) WHERE rnk <= 25"""

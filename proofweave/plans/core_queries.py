@@ -179,6 +179,18 @@ def rrf(spark, d):
     return R.fuse([whole, quoted]).select("query_id", "doc_id", "rnk", F.round("score", 9).alias("score"))
 
 
+def rrf_hybrid(spark, d):
+    """Fusion of a lexical and a dense ranking of the documents that have a vector: BM25 of the texts, asked by a
+    document's text, and cosine of the vectors; vectors belong to the document of their number."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("doc_id"), "embedding")
+    docs = table(spark, d, "documents").select("doc_id", "text").distinct().join(vectors.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = docs.where(_every("doc_id", 0)).select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
+    lexical = R.bm25_top(asked, docs, X.tokens(F.col("q")), X.tokens(F.col("text")), 100)
+    wanted = vectors.join(asked.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    held = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return R.fuse([lexical, R.cosine_top(wanted, held, 100, "doc_id")]).select("query_id", "doc_id", "rnk", F.round("score", 9).alias("score"))
+
+
 def cosine_topk(spark, d):
     vectors = table(spark, d, "embeddings")
     return R.cosine_top(vectors.where(_every("vec_id", 0)), vectors).select("query_id", "vec_id", "rnk", F.round("sim", 6).alias("sim"))
@@ -402,7 +414,7 @@ QUERIES = {
     for f in (
         matrix_status, status_counts, trial_readiness, case_summary, party_type_counts, count_phrases, matrix_csv, load_bearing, evidence_load, contradicted, sole_witness, spof, witness_pairs,
         contradictions, case_collapse, valid_ids, valid_deps, weak_arguments, weak_premises, missing_docs, apply_additions, goal_filter, goal_filter_whole, keyword_topk, chat_candidates, matrix_signature, tokens, bm25_stats, bm25_topk,
-        rrf, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
+        rrf, rrf_hybrid, cosine_topk, sentences, atomic_spans, heuristic_props, heuristic_evidence, classify_docs, kind_counts, document_pages, verify_quote, canon_id, concepts, navigation, cache_keys,
         page_headers, clean_pages, reflow, scan_metadata, verify_matrix, verify_summary, verify_citations, guard, graph_edges, graph_nodes, graph_cypher, probative_edges, pagerank, components,
         fragments, ego_2hop, communities, communities_synchronous, articulation, best_articulation, cycles, human_review, stress_findings, stress_score, case_digest, strongest_edges, next_ids, fragile, priority, community_summary, event_windows,
     )
