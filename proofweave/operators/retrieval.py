@@ -58,7 +58,7 @@ def bm25_top(queries: DataFrame, docs: DataFrame, query_words: Column, doc_words
     shape = held.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
     n, mean = shape["n"], float(shape["mean"] or 1.0)
     if by_matrix is None:
-        by_matrix = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
+        by_matrix = 0 < asked.agg(F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)).alias("b")).first()["b"] <= BROADCAST_BYTES
     wanted = asked.select("term").distinct()
     if by_matrix:
         wanted = F.broadcast(wanted)

@@ -47,3 +47,5 @@ def test_views_shuffle_only_what_is_read(spark, data):
 def test_ranking_sends_only_bounded_queries(spark, data, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
     assert "MapInArrow" not in plan(QUERIES["bm25_topk"](spark, data))
+    larger = data.replace("sf0.001", "sf0.01")  # the smallest tables hold no query
+    assert "MapInArrow" not in plan(QUERIES["bm25_topk"](spark, larger)) and "SortMergeJoin" in plan(QUERIES["bm25_topk"](spark, larger))
