@@ -52,41 +52,45 @@ def manifest(docs: DataFrame, pages: str | None = None) -> DataFrame:
     return docs.groupBy(F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"), held.alias("pages"))
 
 
-#: Versions of an upserted table that are kept: the current one, and the one before for readers under way.
-KEPT = 2
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Complete versions of a table, oldest first: those whose job left its mark of success."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return []
-    names = [x.getPath().getName() for x in fs.listStatus(target)]
-    return sorted(n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table last written by :func:`upsert`, or None."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
+def recover(spark: SparkSession, path: str) -> bool:
+    """Finish a merge that was lost between its two moves; whether there is a table at ``path``."""
+    fs, make = _files(spark, path)
+    if fs.exists(make(path)):
+        return True
+    for held in (f"{path}.next", f"{path}.old"):
+        if fs.exists(make(f"{held}/_SUCCESS")):
+            return fs.rename(make(held), make(path))
+    return False
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Merge ``rows`` into the table at ``path``: the highest ``version`` of a key wins, ties by the new rows.
+    """Merge ``rows`` into the Parquet table at ``path``: the highest ``version`` of a key wins, ties by the
+    new rows. Running it again with the same rows changes nothing.
 
-    Every merge writes a new version folder, which counts from the moment Spark marks it complete; nothing that
-    is read is overwritten, so a merge that is lost half-way leaves the table as it was and can be run again.
+    The merged table is written whole beside the old one, which is then moved away and the new one moved in; data
+    that is in use is never overwritten. A merge lost while writing leaves the table as it was, one lost between
+    the moves is finished by :func:`recover`, which every merge calls first. One writer at a time.
     """
     path = path.rstrip("/")
-    versions = _versions(spark, path)
     both = rows.withColumn("__new", F.lit(1))
-    if versions:
-        both = spark.read.parquet(f"{path}/{versions[-1]}").withColumn("__new", F.lit(0)).unionByName(both, allowMissingColumns=True)
+    exists = recover(spark, path)
+    if exists:
+        both = spark.read.parquet(path).withColumn("__new", F.lit(0)).unionByName(both, allowMissingColumns=True)
     newest = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("__new"))
     merged = both.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k", "__new")
-    fresh = f"v{int(versions[-1][1:]) + 1 if versions else 0:012}"
-    merged.write.mode("overwrite").parquet(f"{path}/{fresh}")
-    for old in versions[: max(len(versions) + 1 - KEPT, 0)]:
-        drop_path(spark, f"{path}/{old}")
-    return spark.read.parquet(f"{path}/{fresh}")
+    merged.write.mode("overwrite").parquet(f"{path}.next")
+    fs, make = _files(spark, path)
+    if exists:
+        drop_path(spark, f"{path}.old")
+        if not fs.rename(make(path), make(f"{path}.old")):
+            raise OSError(f"cannot move {path}")
+    if not fs.rename(make(f"{path}.next"), make(path)):
+        raise OSError(f"cannot move {path}.next")
+    drop_path(spark, f"{path}.old")
+    return spark.read.parquet(path)

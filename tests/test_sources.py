@@ -97,6 +97,9 @@ def test_sinks(spark, tmp_path):
         got = files.upsert(spark, str(tmp_path / "up"), spark.createDataFrame([("k1", 2), ("k2", 1)], "id string, v long"), ["id"], "v")
     got = files.upsert(spark, str(tmp_path / "up"), spark.createDataFrame([("k1", 1), ("k2", 5)], "id string, v long"), ["id"], "v")
     assert rows(got) == [("k1", 2), ("k2", 5)]
+    (tmp_path / "up").rename(tmp_path / "up.next")  # a merge lost between its moves
+    got = files.upsert(spark, str(tmp_path / "up"), spark.createDataFrame([("k3", 1)], "id string, v long"), ["id"], "v")
+    assert rows(got) == [("k1", 2), ("k2", 5), ("k3", 1)]
 
 
 def test_report(spark, data, tmp_path):
