@@ -13,6 +13,7 @@ gives no rows; ties go to the smaller id.
 
 from __future__ import annotations
 
+import tempfile
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,6 +27,8 @@ from proofweave.session import materialize, shuffle_width
 
 #: Edges of a component up to which a sequential kernel takes it.
 KERNEL_EDGES = 2_000_000
+#: Vertices up to which one task computes PageRank: it holds 8 bytes for each of them, the arcs lie in a file.
+ARRAY_VERTICES = 64_000_000
 _RELATION = {"supportive": "SUPPORTS", "adverse": "UNDERMINES", "neutral": "NEUTRAL"}
 
 
@@ -69,18 +72,91 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
 
 
-def pagerank(pairs: DataFrame, damping: float = 0.85, iterations: int = 60, cut_every: int = 5) -> DataFrame:
+def _places(ids: DataFrame) -> DataFrame:
+    """``id, place``: every id once with its place from 0 in the order of ids."""
+    return materialize(numbered(materialize(ids.distinct(), "ids"), "place", F.col("id")).select("id", (F.col("place") - 1).cast("int").alias("place")), "places")
+
+
+def _by_place(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """``pairs`` with the places of their ends instead of their ids."""
+    ends = pairs.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
+    return ends.select(*[F.col({"a": "pa", "b": "pb"}.get(c, c)).alias(c) for c in pairs.columns])
+
+
+def pagerank(pairs: DataFrame, damping: float = 0.85, iterations: int = 60, cut_every: int = 5, most: int = ARRAY_VERTICES) -> DataFrame:
     """``id, rank``: undirected PageRank after a fixed number of iterations, divided by the largest.
 
-    Vertices without edges are not part of ``pairs``, so no rank dangles. The adjacency stays partitioned by
-    its source; an iteration shuffles only the summed shares, pre-summed map-side.
+    Vertices without edges are not part of ``pairs``, so no rank dangles. Up to ``most`` vertices one task
+    iterates over numbered arcs in a file; beyond, every iteration is a join.
     """
+    pairs = materialize(pairs, "pairs")
+    ids = materialize(both_ways(pairs).select(F.col("src").alias("id")).distinct(), "ids")
+    n = ids.count()
+    if not n:
+        return ids.select("id", F.lit(0.0).alias("rank"))
+    if n > most:
+        return _pagerank_by_joins(pairs, n, damping, iterations, cut_every)
+    places = _places(ids)
+
+    def kernel(batches):
+        rank = ranks((np.stack([b["a"].to_numpy(), b["b"].to_numpy()], 1) for b in batches), n, damping, iterations)
+        for k in range(0, n, 1 << 20):
+            part = np.asarray(rank[k : k + (1 << 20)])
+            yield pa.RecordBatch.from_pydict({"place": pa.array(np.arange(k, k + len(part), dtype=np.int32)), "rank": pa.array(part)})
+
+    ranked = materialize(_by_place(pairs, places).repartition(1).mapInArrow(kernel, "place int, rank double"), "rank")
+    return places.join(ranked, "place").select("id", "rank")
+
+
+def ranks(pairs, n: int, damping: float = 0.85, iterations: int = 60) -> np.ndarray:
+    """PageRank of vertices ``0 .. n - 1``, divided by the largest; ``pairs`` are blocks of pairs of their numbers. The arcs
+    lie in a file, in pieces sorted by source; only the shares of the vertices are in memory."""
+    pieces, file = [], tempfile.TemporaryFile()
+
+    def held(array: np.ndarray) -> np.ndarray:
+        at = file.seek(0, 2)
+        array.tofile(file)
+        file.flush()
+        return np.memmap(file, array.dtype, "r+", at, array.shape)
+
+    degree = held(np.zeros(n, np.int64))
+    for block in _blocks(pairs):
+        arcs = np.sort(np.concatenate([block[:, 0] << 32 | block[:, 1], block[:, 1] << 32 | block[:, 0]]))
+        source = arcs >> 32
+        first = np.flatnonzero(np.diff(source, prepend=-1))
+        degree[source[first]] += np.diff(first, append=len(arcs))
+        pieces.append((held(source[first]), held(first), held(arcs & 0xFFFFFFFF)))
+    rank, share = held(np.full(n, 1.0 / n)), np.empty(n)
+    for _ in range(iterations):
+        np.divide(rank, degree, out=share)
+        rank[:] = 0
+        for ids, first, targets in pieces:
+            rank[ids] += np.add.reduceat(share[targets], first)
+        rank *= damping
+        rank += (1 - damping) / n
+    rank /= rank.max()
+    return rank
+
+
+def _blocks(parts, rows: int = 1 << 20):
+    """Blocks of at least ``rows`` rows, but for the last, as 64-bit numbers."""
+    waiting, size = [], 0
+    for part in parts:
+        waiting.append(part)
+        size += len(part)
+        if size >= rows:
+            yield np.concatenate(waiting).astype(np.int64)
+            waiting, size = [], 0
+    if size:
+        yield np.concatenate(waiting).astype(np.int64)
+
+
+def _pagerank_by_joins(pairs: DataFrame, n: int, damping: float, iterations: int, cut_every: int) -> DataFrame:
+    """The adjacency stays partitioned by its source; an iteration shuffles only the summed shares, pre-summed
+    map-side."""
     width = shuffle_width(pairs.sparkSession)
     arcs = materialize(both_ways(pairs), "arcs")
     degree = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    n = degree.count()
-    if not n:
-        return degree.select(F.col("src").alias("id"), F.lit(0.0).alias("rank"))
     adjacency = arcs.join(degree, "src").repartition(width, "src").persist()
     rank = degree.select(F.col("src").alias("id"), F.lit(1.0 / n).alias("rank"))
     for i in range(iterations):

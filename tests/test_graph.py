@@ -52,6 +52,21 @@ def test_empty(spark):
         assert df.count() == 0
 
 
+def test_pagerank_in_arrays(spark, monkeypatch):
+    """The same ranks as by joins, from pieces of any size, without a join for every iteration."""
+    rng = random.Random(5)
+    p = pairs(spark, [(f"E{rng.randint(0, 30):02}", f"P{rng.randint(0, 9)}") for _ in range(60)])
+    want = {r["id"]: r["rank"] for r in G.pagerank(p, iterations=3, most=0).collect()}
+    names = sorted(want)
+    place = {v: k for k, v in enumerate(names)}
+    ends = np.asarray([(place[r["a"]], place[r["b"]]) for r in p.collect()])
+    for block in (1, 7, 1 << 20):
+        monkeypatch.setattr(G._blocks, "__defaults__", (block,))
+        assert G.ranks(np.array_split(ends, 9), len(names), iterations=3) == pytest.approx([want[v] for v in names])
+    monkeypatch.setattr(G, "_pagerank_by_joins", None)
+    assert {r["id"]: r["rank"] for r in G.pagerank(p, iterations=3).collect()} == pytest.approx(want)
+
+
 def labels_of(near):
     names = sorted(near)
     place = {v: k for k, v in enumerate(names)}
