@@ -3,9 +3,9 @@
 Vertices are propositions and evidence, edges are links (SUPPORTS, UNDERMINES, NEUTRAL) and dependencies.
 Iterative operators keep their state partitioned by vertex and cut the lineage by writing to the shared
 folder. Kernels that are sequential by definition run per connected component of at most
-:data:`KERNEL_EDGES` edges; beyond, cut vertices and loops are found another way with the same result, and
-:func:`communities`, whose result depends on the order of visits, refuses (:func:`communities_synchronous` is
-the operator for graphs of any size).
+:data:`KERNEL_EDGES` edges; beyond, cut vertices and loops are found another way with the same result.
+:func:`communities`, whose result depends on the order of visits, gives a component of any size to one task
+(:func:`communities_synchronous` is another operator, all of joins).
 
 Defined results: self-loops and repeated edges are dropped where a simple graph is asked for; an empty graph
 gives no rows; ties go to the smaller id.
@@ -14,7 +14,6 @@ gives no rows; ties go to the smaller id.
 from __future__ import annotations
 
 import tempfile
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,8 @@ from proofweave.session import materialize, shuffle_width
 
 #: Edges of a component up to which a sequential kernel takes it.
 KERNEL_EDGES = 2_000_000
+#: Edges up to which :func:`communities` takes all components to one task instead of looking for them.
+ONE_TASK_EDGES = 20_000_000
 #: Vertices up to which one task computes PageRank: it holds 8 bytes for each of them, the arcs lie in a file.
 ARRAY_VERTICES = 64_000_000
 _RELATION = {"supportive": "SUPPORTS", "adverse": "UNDERMINES", "neutral": "NEUTRAL"}
@@ -273,51 +274,198 @@ class Neighbours:
     never expanded to all pairs of its members."""
 
     def __init__(self, n: int, edges_: np.ndarray, hubs: list[np.ndarray] = ()) -> None:
-        ends = np.concatenate([edges_, edges_[:, ::-1]]) if len(edges_) else np.empty((0, 2), np.int64)
-        ends = np.unique(ends[ends[:, 0] != ends[:, 1]], axis=0)
-        self.targets = ends[:, 1]
-        self.bounds = np.searchsorted(ends[:, 0], np.arange(n + 1))
-        self.hubs: list[list[np.ndarray]] = [[] for _ in range(n)]
-        for members in hubs:
-            for v in members:
-                self.hubs[v].append(members)
+        keys = np.concatenate([edges_[:, 0].astype(np.int64) << 32 | edges_[:, 1], edges_[:, 1].astype(np.int64) << 32 | edges_[:, 0]]) if len(edges_) else np.empty(0, np.int64)
+        keys = np.unique(keys[keys >> 32 != keys & 0xFFFFFFFF])
+        self.targets = (keys & 0xFFFFFFFF).astype(np.int32)
+        self.bounds = np.searchsorted(keys >> 32, np.arange(n + 1))
+        self.members = [np.unique(h).astype(np.int32) for h in hubs]
+        self.hubs: dict[int, list[int]] = {}
+        for h, members in enumerate(self.members):
+            for v in members.tolist():
+                self.hubs.setdefault(v, []).append(h)
+
+    def linked(self, v: int) -> np.ndarray:
+        """Neighbours by an edge."""
+        return self.targets[self.bounds[v] : self.bounds[v + 1]]
 
     def of(self, v: int) -> np.ndarray:
-        own = self.targets[self.bounds[v] : self.bounds[v + 1]]
-        if not self.hubs[v]:
-            return own
-        every = np.unique(np.concatenate([own, *self.hubs[v]]))
+        """All neighbours, each once."""
+        if v not in self.hubs:
+            return self.linked(v)
+        every = np.unique(np.concatenate([self.linked(v), *[self.members[h] for h in self.hubs[v]]]))
         return every[every != v]
 
 
+class HubCounts:
+    """How often every label occurs in every hub, without the one vertex that still has its own number as label.
+
+    Labels held by several members of a hub have a column of :attr:`wide` (exact, own numbers included), the others an entry
+    of :attr:`rare`, whose largest value is at most :attr:`most`. From these follow bounds of a label's number of
+    neighbours, which hubs with members in common do not add up to; they mostly decide which label is the commonest.
+    """
+
+    FEW = 3
+
+    def __init__(self, near: Neighbours, label: np.ndarray) -> None:
+        self.near, self.label = near, label
+        n = len(near.members)
+        self.columns = max(16, min(256, (1 << 26) // max(n, 1)))
+        self.wide = np.zeros((n, 0), np.int32)
+        self.used = 0
+        self.column: dict[int, int] = {}
+        self.names = np.zeros(self.columns, np.int64)
+        self.rare: list[dict[int, int]] = [{} for _ in range(n)]
+        self.most = [0] * n
+
+    def move(self, v: int, old: int, new: int) -> None:
+        """``v`` has given up the label ``old`` for ``new``."""
+        held = self.near.hubs.get(v, ())
+        if not held:
+            return
+        if old in self.column:
+            self.wide[held, self.column[old]] -= 1
+        elif old != v:
+            for h in held:
+                self.rare[h][old] -= 1
+                if not self.rare[h][old]:
+                    del self.rare[h][old]
+        if new in self.column:
+            self.wide[held, self.column[new]] += 1
+        elif new != v:
+            widest = 0
+            for h in held:
+                n = self.rare[h][new] = self.rare[h].get(new, 0) + 1
+                self.most[h] = max(self.most[h], n)
+                widest = max(widest, n)
+            if widest > self.FEW and self.used < self.columns:
+                self._widen(new)
+
+    def _widen(self, label: int) -> None:
+        j = self.used
+        if j == self.wide.shape[1]:
+            more = np.zeros((len(self.rare), min(max(8, 2 * j), self.columns)), np.int32)
+            more[:, :j] = self.wide
+            self.wide = more
+        self.wide[:, j] = [counts.pop(label, 0) for counts in self.rare]
+        if self.label[label] == label:
+            self.wide[self.near.hubs.get(label, []), j] += 1
+        self.column[label], self.names[j] = j, label
+        self.used += 1
+
+    def settle(self) -> None:
+        """Between rounds: columns without a large count become entries again, and the bounds exact."""
+        top = self.wide[:, : self.used].max(axis=0, initial=0)
+        keep = np.flatnonzero(top > self.FEW)
+        for j in np.flatnonzero(top <= self.FEW).tolist():
+            name = int(self.names[j])
+            counts = self.wide[:, j].copy()
+            if self.label[name] == name:
+                counts[self.near.hubs.get(name, [])] -= 1
+            for h in np.flatnonzero(counts).tolist():
+                self.rare[h][name] = int(counts[h])
+        self.wide = self.wide[:, keep].copy()
+        self.names[: len(keep)] = self.names[keep]
+        self.used = len(keep)
+        self.column = {int(name): j for j, name in enumerate(self.names[: self.used])}
+        self.most = [max(counts.values(), default=0) for counts in self.rare]
+
+    def commonest(self, v: int, own: int) -> int:
+        """The commonest label of the neighbours of ``v``, whose label is ``own``, the smallest of several; -1 if the bounds
+        leave it open."""
+        held = self.near.hubs[v]
+        linked = _counts(self.label[self.near.linked(v)])
+        rest = sum([self.most[h] for h in held]) + 1
+        best, least = -1, 0
+        others = []
+        for label, n in linked.items():
+            if label in self.column:
+                continue
+            inside = [self.rare[h].get(label, 0) for h in held]
+            off = label == own != v
+            low, high = max(n, max(inside) - off), n + sum(inside) - off * len(held) + (own != v or label != v)
+            others.append((label, high))
+            if low > least or low == least and label < best:
+                best, least = label, low
+        if self.used:
+            here = self.wide[held, : self.used]
+            high, low = here.sum(axis=0), here.max(axis=0)
+            if own in self.column:
+                high[self.column[own]] -= len(held)
+                low[self.column[own]] -= 1
+            for label, n in linked.items():
+                if label in self.column:
+                    j = self.column[label]
+                    high[j] += n
+                    low[j] = max(low[j], n)
+            top = int(low.max())
+            if top >= least:
+                label = int(self.names[: self.used][low == top].min())
+                if top > least or best < 0 or label < best:
+                    best, least = label, top
+            near_by = np.flatnonzero(high >= least)
+            others += zip(self.names[near_by].tolist(), high[near_by].tolist(), strict=True)
+        if rest >= least or any(n > least or n == least and label < best for label, n in others if label != best):
+            return -1
+        return best
+
+
+def _counts(labels: np.ndarray) -> dict[int, int]:
+    if len(labels) > 64:
+        kinds, times = np.unique(labels, return_counts=True)
+        return dict(zip(kinds.tolist(), times.tolist(), strict=True))
+    out: dict[int, int] = {}
+    for label in labels.tolist():
+        out[label] = out.get(label, 0) + 1
+    return out
+
+
 def settle_labels(near: Neighbours, n: int, rounds: int = 40) -> np.ndarray:
     """Labels of vertices ``0 .. n - 1`` after at most ``rounds`` visits of all in order, where a visited vertex takes
     the commonest label of its neighbours, the smallest of several.
 
-    Only vertices with a neighbour that has changed since their last visit are looked at: the ones still ahead
-    in the round come up in it, the others in the next.
+    Vertices without a neighbour that has changed since their last visit are passed over: a vertex that changes marks
+    those it is linked with, and its hubs take the time of the change. Neighbours by hubs are gathered only where the
+    counts of the hubs leave the label open.
     """
     label = np.arange(n)
-    now, waiting = list(range(n)), np.ones(n, bool)
+    counts = HubCounts(near, label)
+    marked, seen, changed = np.ones(n, bool), {}, [0] * len(near.members)
+    hubs, bounds, targets, mark, now = near.hubs, memoryview(near.bounds), memoryview(near.targets), memoryview(marked), memoryview(label)
+    time = 0
     for _ in range(rounds):
-        later: list[int] = []
-        while now:
-            v = heappop(now)
-            waiting[v] = False
-            around = near.of(v)
-            if not len(around):
+        before = time
+        for v in range(n):
+            held = hubs.get(v)
+            if not mark[v] and not (held and any(changed[h] > seen[v] for h in held)):
                 continue
-            kinds, times = np.unique(label[around], return_counts=True)
-            best = kinds[np.argmax(times)]
-            if best != label[v]:
-                label[v] = best
-                for u in around[~waiting[around]]:
-                    waiting[u] = True
-                    heappush(now, int(u)) if u > v else later.append(int(u))
-        if not later:
+            mark[v] = False
+            own, lo, hi = now[v], bounds[v], bounds[v + 1]
+            if held:
+                seen[v] = time
+                best = counts.commonest(v, own)
+                if best < 0:
+                    around = near.of(v)
+                    if not len(around):
+                        continue
+                    kinds, times = np.unique(label[around], return_counts=True)
+                    best = int(kinds[np.argmax(times)])
+            elif hi - lo == 1:
+                best = now[targets[lo]]
+            elif hi > lo:
+                best = min((-k, x) for x, k in _counts(label[near.targets[lo:hi]]).items())[1]
+            else:
+                continue
+            if best != own:
+                now[v] = best
+                time += 1
+                marked[near.targets[lo:hi]] = True
+                if held:
+                    counts.move(v, own, best)
+                    for h in held:
+                        changed[h] = time
+        if time == before:
             break
-        heapify(later)
-        now = later
+        counts.settle()
     return label
 
 
@@ -421,32 +569,43 @@ def _numbered_by_size(labels: DataFrame) -> DataFrame:
     return labels.join(places, "label").select("id", (F.col("place") - 1).alias("community"))
 
 
-def communities(pairs: DataFrame, links: DataFrame, props: DataFrame, most: int = KERNEL_EDGES) -> DataFrame:
+def communities(pairs: DataFrame, links: DataFrame, props: DataFrame, most: int | None = None, together: int = ONE_TASK_EDGES) -> DataFrame:
     """``id, community``: label propagation on the probative graph, in which propositions argued through the
     same witness are neighbours too; communities are numbered by size, then by label.
 
-    The labels depend on the order in which vertices are visited, so a component goes to one task. Should one
-    have more than ``most`` edges, witness hubs included, a ``ValueError`` names the operator to use instead.
+    The labels depend on the order in which vertices are visited, so a component goes to one task, whatever its size;
+    up to ``together`` edges the whole graph does. Should ``most`` be given and a component have more edges than that,
+    witness hubs included, a ``ValueError`` names the operator to use instead.
     """
-    tagged = _by_component(_with_hubs(pairs, links))
-    if tagged.where(F.col("m") > most).limit(1).count():
+    every = materialize(_with_hubs(pairs, links), "hubs")
+    if most is not None and _by_component(every).where(F.col("m") > most).limit(1).count():
         raise ValueError(f"a component has more than {most} edges: use communities_synchronous")
-
-    def kernel(table: pa.Table) -> pa.Table:
-        a, b = table["a"].to_pylist(), table["b"].to_pylist()
-        names = sorted({x for x in a + b if not x.startswith("\x01")})
-        place = {v: k for k, v in enumerate(names)}
-        held: dict[str, list[int]] = {}
-        edges_ = []
-        for x, y in zip(a, b, strict=True):
-            if x.startswith("\x01"):
-                held.setdefault(x, []).append(place[y])
-            else:
-                edges_.append((place[x], place[y]))
-        near = Neighbours(len(names), np.asarray(edges_, np.int64).reshape(-1, 2), [np.asarray(sorted(set(v))) for v in held.values()])
-        return _strings(id=names, label=[names[k] for k in settle_labels(near, len(names))])
-
-    return _numbered_by_size(tagged.select("component", "a", "b").groupBy("component").applyInArrow(kernel, "id string, label string"))
+    places = _places(both_ways(every).select(F.col("src").alias("id")))
+    ends = _by_place(every.withColumn("hub", F.startswith("a", F.lit("\x01"))), places)
+    if every.count() <= together:
+        ends = ends.repartition(1)
+    else:
+        ends = materialize(ends, "ends")
+        ends = ends.join(components(ends.select("a", "b")).withColumnRenamed("id", "a"), "a").repartition("component")
+    settled = materialize(ends.select("a", "b", "hub").mapInArrow(_settled, "place int, label int"), "settled")
+    return _numbered_by_size(places.join(settled, "place").select("id", "label"))
+
+
+def _settled(batches):
+    """``place, label`` of the vertices of ``a, b, hub``: components do not meet, so any number of them is one graph."""
+    parts = [(b["a"].to_numpy(), b["b"].to_numpy(), b["hub"].to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b, hub = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    places = np.unique(np.concatenate([a[~hub], b]))
+    of = np.searchsorted(places, b[hub]).astype(np.int32)
+    order = np.argsort(a[hub], kind="stable")
+    hubs = np.split(of[order], np.flatnonzero(np.diff(a[hub][order])) + 1) if len(order) else []
+    ends = np.stack([np.searchsorted(places, a[~hub]), np.searchsorted(places, b[~hub])], 1)
+    label = places[settle_labels(Neighbours(len(places), ends, hubs), len(places))]
+    for k in range(0, len(places), 1 << 20):
+        yield pa.RecordBatch.from_pydict({"place": pa.array(places[k : k + (1 << 20)]), "label": pa.array(label[k : k + (1 << 20)])})
 
 
 def communities_synchronous(pairs: DataFrame, links: DataFrame) -> DataFrame:

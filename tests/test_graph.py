@@ -1,5 +1,6 @@
 """Graph operators against hand-worked values and brute force on random graphs."""
 
+import inspect
 import random
 
 import numpy as np
@@ -110,6 +111,36 @@ def test_labels_as_by_every_visit(seed):
         assert dict(enumerate(got.tolist())) == every_visit(near, rounds)
 
 
+@pytest.mark.parametrize("few", [0, 1, 3])
+def test_hubs_are_seldom_gathered(monkeypatch, few):
+    """Counts of the hubs decide most visits, and never otherwise than the neighbours themselves."""
+    monkeypatch.setattr(G.HubCounts, "FEW", few)
+    rng = random.Random(few)
+    n, first = 600, 300
+    arcs = {(rng.randrange(first), first + min(rng.randrange(300), rng.randrange(300))) for _ in range(900)}
+    hubs = [sorted(rng.sample(range(first, n), size)) for size in (150, 120, 60, 20, 2)]
+    near = {v: set() for v in range(n)}
+    for a, b in arcs | {(x, y) for h in hubs for x in h for y in h if x != y}:
+        near[a].add(b)
+        near[b].add(a)
+    held = G.Neighbours(n, np.asarray(sorted(arcs)), [np.asarray(h) for h in hubs])
+    gathered, of = [], held.of
+    held.of = lambda v: gathered.append(v) or of(v)
+    got = G.settle_labels(held, n)
+    assert dict(enumerate(got.tolist())) == every_visit(near, 40)
+    assert len(gathered) < 100
+
+
+def test_communities_of_any_size(spark):
+    """No component is refused unless asked for, and components found first give the same rows."""
+    rng = random.Random(1)
+    arcs = [(f"E{rng.randint(0, 40):02}", f"P{rng.randint(0, 29):02}") for _ in range(45)]
+    links = spark.createDataFrame([(f"P{i:02}", "supportive", rng.choice("uvw")) for i in range(0, 30, 3)], "prop_id string, relation string, witness string").selectExpr("*", "'E00' as evidence_id")
+    whole = rows(G.communities(pairs(spark, arcs), links, None))
+    assert rows(G.communities(pairs(spark, arcs), links, None, together=0)) == whole and len(whole) > 30
+    assert inspect.signature(G.communities).parameters["most"].default is None
+
+
 def test_communities(spark):
     """Against brute force; two groups that share a witness are one."""
     arcs = [(f"E{k}{j}", f"P{k}{i}") for k in range(4) for j in range(4) for i in range(3)]
