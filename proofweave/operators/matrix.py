@@ -7,6 +7,9 @@ of buckets is listed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,16 +207,70 @@ def goal_matches(goals: DataFrame, props: DataFrame, words: Column, links: DataF
     ``links``, also in its quote or in the witness, rationale or quote of one of its links.
 
     The goals' different words are a bounded literal that is sought in every proposition once; goals are
-    joined back by word.
+    joined back by word. With ``links`` the words go to Python workers (:func:`_words_within`), and the goals of a
+    proposition are gathered from its words in one array (:func:`_goals_of`), so that no pair is met twice or shuffled;
+    the words must not hold spaces.
     """
     asked = goals.select("goal_id", F.explode(words).alias("word")).distinct()
     hay = F.lower(F.concat_ws(" ", "text", "prop_type", "party", *([] if links is None else ["quote"])))
-    found = contained_words(props.select("prop_id", hay.alias("hay")), "hay", asked)
-    if links is not None:
-        told = F.lower(F.concat_ws(" ", "witness", "rationale", "quote"))
-        found = found.unionByName(contained_words(links.select("prop_id", told.alias("hay")), "hay", asked))
-        found = found.repartition("prop_id").distinct()  # by proposition, so that the pairs need no other shuffle
-    return found.join(asked, "word").select("goal_id", "prop_id").distinct()
+    own = props.select("prop_id", hay.alias("hay"))
+    if links is None:
+        return contained_words(own, "hay", asked).join(asked, "word").select("goal_id", "prop_id").distinct()
+    known = asked.toArrow().combine_chunks()
+    names = pc.unique(known["word"])
+    places = pc.index_in(known["word"], names).to_numpy()
+    order = np.argsort(places, kind="stable")
+    held = props.sparkSession.sparkContext.broadcast((names.to_pylist(), known["goal_id"].to_numpy()[order], np.searchsorted(places[order], np.arange(len(names) + 1))))
+    told = links.select("prop_id", F.lower(F.concat_ws(" ", "witness", "rationale", "quote")).alias("hay"))
+    found = own.unionByName(told).mapInArrow(lambda batches: _words_within(batches, held.value[0]), "prop_id string, words array<int>")
+    merged = found.groupBy("prop_id").agg(F.array_distinct(F.flatten(F.collect_set("words"))).alias("words"))
+    return merged.mapInArrow(lambda batches: _goals_of(batches, *held.value[1:]), "prop_id string, goals array<bigint>").select(F.explode("goals").alias("goal_id"), "prop_id")
+
+
+def _words_within(batches, words: list[str]):
+    """``prop_id, words``: the places of the ``words`` that occur in the texts of a proposition, for every proposition of a
+    batch. A word holds no space, so it is sought in the pieces between spaces, and in equal pieces once."""
+    seen: dict[str, list[int]] = {}
+    for batch in batches:
+        out: dict[str, set[int]] = {}
+        for prop, text in zip(batch["prop_id"].to_pylist(), batch["hay"].to_pylist(), strict=True):
+            inside = out.setdefault(prop, set())
+            for piece in text.split():
+                hits = seen.get(piece)
+                if hits is None:
+                    if len(seen) >= 1_000_000:  # a cache: what is dropped is sought again
+                        seen.clear()
+                    hits = seen[piece] = [k for k, w in enumerate(words) if w in piece]
+                inside.update(hits)
+        some = {prop: sorted(inside) for prop, inside in out.items() if inside}
+        yield pa.RecordBatch.from_pydict({"prop_id": pa.array(list(some), pa.string()), "words": pa.array(list(some.values()), pa.list_(pa.int32()))})
+
+
+def _goals_of(batches, goals: np.ndarray, bounds: np.ndarray, at_once: int = 1 << 20):
+    """``prop_id, goals``: the different goals of the words of every proposition; ``goals`` are those of all words, word
+    by word, between ``bounds``."""
+    different, place = np.unique(goals, return_inverse=True)
+    of = np.split(place, bounds[1:-1]) if len(bounds) > 1 else []
+    hit = np.zeros(len(different), bool)
+    for batch in batches:
+        props, parts, size = [], [], 0
+        for prop, words in zip(batch["prop_id"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            hit[:] = False
+            for w in words:
+                hit[of[w]] = True
+            props.append(prop)
+            parts.append(different[hit])
+            size += len(parts[-1])
+            if size >= at_once:
+                yield _lists(props, parts)
+                props, parts, size = [], [], 0
+        if props:
+            yield _lists(props, parts)
+
+
+def _lists(props: list[str], parts: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.RecordBatch.from_pydict({"prop_id": pa.array(props, pa.string()), "goals": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype(np.int64)))})
 
 
 def contained_words(rows: DataFrame, hay: str, asked: DataFrame, at_once: int = 2_000) -> DataFrame:

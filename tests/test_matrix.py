@@ -1,5 +1,7 @@
 """Roll-ups on hand-made rows."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from proofweave.operators import matrix as M
@@ -91,3 +93,19 @@ def test_goals_are_sought_in_links_and_quotes(spark):
     goals = spark.createDataFrame([(1, "berth")], "goal_id long, question string")
     assert rows(M.goal_matches(goals, held, F.array("question"), told)) == [(1, "A"), (1, "B"), (1, "C")]
     assert rows(M.goal_matches(goals, held, F.array("question"))) == []
+
+
+def test_goals_of_links_are_gathered_without_a_join(spark):
+    """Every goal of every word once, whatever the number of links, words and batches; no pair is shuffled."""
+    from pyspark.sql import functions as F
+
+    goals = spark.createDataFrame([(k, w) for k in range(40) for w in ("berth", f"crane{k % 3}")], "goal_id long, question string")
+    props = spark.createDataFrame([("A", "Berth crane1", "x", "y", None), ("B", None, "x", "y", "xcrane2, z"), ("C", "none", "x", "y", None)], "prop_id string, text string, prop_type string, party string, quote string")
+    links = spark.createDataFrame([("A", "", None, "the berthing"), ("B", "Crane0", "CRANE2", None), ("C", "cran", "e1", "nil")] * 3, "prop_id string, witness string, rationale string, quote string")
+    found = M.goal_matches(goals, props, F.array("question"), links)
+    want = {(k, "A") for k in range(40)} | {(k, "B") for k in range(40) if k % 3 in (0, 2)}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert M.goal_matches(goals.limit(0), props, F.array("question"), links).count() == 0
+    parts = list(M._goals_of([pa.RecordBatch.from_pydict({"prop_id": ["A", "B"], "words": [[0, 1], [1]]})], np.asarray([7, 9, 7]), np.asarray([0, 2, 3]), at_once=1))
+    assert [b.to_pylist() for b in parts] == [[{"prop_id": "A", "goals": [7, 9]}], [{"prop_id": "B", "goals": [7]}]]
